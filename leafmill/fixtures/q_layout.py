@@ -40,7 +40,8 @@ SELECT document_id, chunk_ord, cast(pos AS integer) AS pos,
 )
 def _(spark, sf):
     scan = L.layout_items_scan(D.payloads(spark, sf), KEYS)
-    return scan.select(*KEYS, "pos", V.join_text(V.first_truthy(F.col("item"), "text", "content")).alias("text"))
+    texts = scan.withColumn("v", F.array(V.first_truthy("item", "text", "content"))).withColumn("t", V.join_texts("v"))
+    return texts.select(*KEYS, "pos", F.get("t", F.lit(0)).alias("text"))
 
 
 @query(

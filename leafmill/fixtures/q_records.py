@@ -72,7 +72,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, reaction_s
 )
 def _(spark, sf):
     c = K.reaction_candidates(D.entry_blocks(spark, sf))
-    p = c.withColumn("p", R.known_fields(S.null_skeleton(R.DEFAULT_SCHEMA)))
+    p = R.known_fields(c).withColumn("p", R.apply_known_fields(None))
     return p.select("document_id", "page_no", "entry_no", "p.reaction_text", "p.reaction_smiles", "p.reaction_latex", "p.conditions.*", "p.yield_percent")
 
 
@@ -98,7 +98,7 @@ def _(spark, sf):
 def _(spark, sf):
     # Early pages are stored first; the second pass over every page adds only the rest.
     path = scratch_path(spark, "reactions")
-    found = R.keep_reaction(R.enrich_record(R.without_answers(K.reaction_candidates(D.entry_blocks(spark, sf)))))
+    found = R.keep_reaction(R.enrich_record(K.reaction_candidates(D.entry_blocks(spark, sf))))
     new = found.withColumn("provenance", R.reaction_provenance()).select("document_id", *ORDER, "payload", "provenance", "validation")
     R.append_reactions(new.filter("page_no <= 20"), None, ORDER).write.parquet(path)
     stored = spark.read.parquet(path)
@@ -124,7 +124,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     c = K.reaction_candidates(D.entry_blocks(spark, sf))
-    p = c.withColumn("payload", R.known_fields(S.null_skeleton(R.DEFAULT_SCHEMA)))
+    p = R.known_fields(c).withColumn("payload", R.apply_known_fields(None))
     return R.keep_reaction(p).select("document_id", "page_no", "entry_no", F.col("payload.reaction_text").alias("reaction_text"))
 
 
@@ -400,7 +400,7 @@ def _(spark, sf):
     "reaction_participants",
     """
 WITH s AS (SELECT id, string_split(reaction_smiles, '>>') AS h FROM reactions WHERE contains(reaction_smiles, '>>')),
-p AS (SELECT id, string_split(string_split(h[1], '>')[1], '.') AS a, string_split(coalesce(string_split(h[1], '>')[2], ''), '.') AS b, string_split(h[2], '.') AS c FROM s)
+p AS (SELECT id, string_split(string_split(h[1], '>')[1], '.') AS a, CASE WHEN contains(h[1], '>') THEN string_split(substr(h[1], instr(h[1], '>') + 1), '.') ELSE [] END AS b, string_split(h[2], '.') AS c FROM s)
 SELECT id, 'reactant' AS role, cast(generate_subscripts(a, 1) - 1 AS integer) AS position, unnest(a) AS smiles FROM p
 UNION ALL SELECT id, 'agent', cast(generate_subscripts(b, 1) - 1 AS integer), unnest(b) FROM p
 UNION ALL SELECT id, 'product', cast(generate_subscripts(c, 1) - 1 AS integer), unnest(c) FROM p

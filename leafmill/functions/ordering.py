@@ -40,13 +40,13 @@ def running_offset(totals: DataFrame, group: Sequence[str], pos: str, weight: st
     runs = totals.withColumn("_run", _run(F.col(pos)))
     per_run = runs.groupBy(*group, "_run").agg(F.sum(weight).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    bases = per_run.select(*group, "_run", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    bases = per_run.select(*group, "_run", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_run_base"))
     inside = Window.partitionBy(*group, "_run").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     return (
         runs.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
         .join(bases, [*group, "_run"])
-        .withColumn(out, (F.col("_base") + F.col("_in")).cast("bigint"))
-        .drop("_base", "_in", "_run")
+        .withColumn(out, (F.col("_run_base") + F.col("_in")).cast("bigint"))
+        .drop("_run_base", "_in", "_run")
     )
 
 
@@ -91,7 +91,11 @@ def gather(df: DataFrame, group: Sequence[str], order: Sequence[str], **lists: C
     )
     whole = runs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_run", "_items"))).alias("_runs"))
     flat = whole.withColumn("_flat", F.flatten(F.transform("_runs", lambda r: r["_items"])))
-    return flat.select(*group, *[F.transform("_flat", lambda x, k=k: x[k]).alias(k) for k in lists])
+
+    def pick(name: str) -> Column:
+        return F.transform("_flat", lambda x: x[name]).alias(name)
+
+    return flat.select(*group, *[pick(k) for k in lists])
 
 
 def gather_text(df: DataFrame, group: Sequence[str], order: Sequence[str], text: Column, sep: str, out: str) -> DataFrame:

@@ -37,6 +37,12 @@ CONVERSION_TEXT = r"(?i)(>>|→|->|生成.{2,40}|转化为|afford|gave |obtained
 MAPPED_ATOM = r":\d+"
 PERCENT_NUMBER = rf"([0-9.]+){WS}*%"
 
+# Sides of a reaction text, split at the first >>; agents follow the first single >.
+REACTION_TEXT = rf"(?s)^[^>]*[^>.{WS[1:-1]}][^>]*(?:(?!>>).)*>>.*[^.{WS[1:]}"
+REACTANT_SIDE = r"^([^>]*)>"
+AGENT_SIDE = r"(?s)^[^>]*>(?!>)((?:(?!>>).)*)>>"
+PRODUCT_SIDE = r"(?s)^(?:(?!>>).)*>>(.*)$"
+
 TABLE_TAG = r"(?i)<table[\s>]"
 TABLE_CAPTION = rf"(?i)表{WS}*\d+|table{WS}+\d+"
 
@@ -150,31 +156,21 @@ def loose_json(text: Column) -> Column:
     return F.try_parse_json(F.when(found, F.substring(body, first, last - first + 1)).otherwise(body))
 
 
-def reaction_parts(smiles: Column) -> Column:
-    """struct<reactants, agents, products>, null unless A>>B with both sides non-empty."""
-    text = strip(smiles)
-    halves = F.split(text, ">>", 2)
-    left, right = F.try_element_at(halves, F.lit(1)), F.try_element_at(halves, F.lit(2))
-    lefts = F.split(left, ">", 2)
+def is_reaction(smiles: Column) -> Column:
+    """Does the text read as reactants>>products with something on both sides?"""
+    return smiles.rlike(REACTION_TEXT)
 
-    def pieces(c: Column) -> Column:
-        return F.filter(F.transform(F.split(c, r"\."), lambda x: strip(x)), lambda x: x != "")
 
-    reactants = pieces(F.try_element_at(lefts, F.lit(1)))
-    agents = F.coalesce(pieces(F.try_element_at(lefts, F.lit(2))), F.array().cast("array<string>"))
-    products = pieces(right)
-    ok = F.contains(text, F.lit(">>")) & (F.size(reactants) > 0) & (F.size(products) > 0)
-    return F.when(
-        ok,
-        F.struct(reactants.alias("reactants"), agents.alias("agents"), products.alias("products")),
-    )
+def reaction_side(smiles: Column, pattern: str) -> Column:
+    """Non-empty dot-separated parts of one side of a reaction text."""
+    return F.filter(F.transform(F.split(F.regexp_extract(smiles, pattern, 1), r"\."), strip), lambda x: x != "")
 
 
 def reaction_syntax_error(smiles: Column) -> Column:
     """Error code, null when the text reads as reactants>>products."""
-    blank = smiles.isNull() | (strip(smiles) == "")
+    blank = smiles.isNull() | ~smiles.rlike(rf"[^{WS[1:]}")
     return F.when(blank, F.lit("empty_reaction_smiles")).when(
-        reaction_parts(smiles).isNull(), F.lit("reaction_smiles_must_use_reactants_>>_products")
+        ~is_reaction(smiles), F.lit("reaction_smiles_must_use_reactants_>>_products")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,40 +36,53 @@ def is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def is_truthy(v: Column) -> Column:
-    """Present and not null, empty, zero or false."""
-    k = kind(v)
-    falsy = (
-        (k == "VOID")
-        | ((k == "STRING") & (text_of(v) == ""))
-        | ((k == "ARRAY") & (F.size(items(v)) == 0))
-        | ((k == "OBJECT") & (text_of(v) == "{}"))
-        | ((k == "BOOLEAN") & (text_of(v) == "false"))
-        | (k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (F.try_variant_get(v, "$", "double") == 0))
-    )
-    return v.isNotNull() & ~F.coalesce(falsy, F.lit(False))
-
-
-def first_truthy(v: Column, *keys: str) -> Column:
-    """First truthy sub-variant among the keys."""
-    return F.coalesce(*[F.when(is_truthy(field(v, k)), field(v, k)) for k in keys])
-
-
-def join_text(v: Column, depth: int = TEXT_DEPTH) -> Column:
-    """Text of a value: trimmed string, list items on lines, or an object's text key."""
-    k = kind(v)
-    text = F.regexp_replace(text_of(v), r"(?U)^\s+|\s+$", "")
-    boolean = F.initcap(text_of(v))
-    if depth == 0:
-        return F.when(k == "STRING", F.nullif(text, F.lit("")))
-    parts = F.filter(F.transform(items(v), lambda x: join_text(x, depth - 1)), lambda x: x.isNotNull() & (x != ""))
-    # A key that is present but null still ends the search.
-    named = F.coalesce(*[field(v, key) for key in TEXT_KEYS])
-    return (
-        F.when(v.isNull() | (k == "VOID"), F.lit(None).cast("string"))
-        .when(k == "STRING", F.nullif(text, F.lit("")))
-        .when(k == "ARRAY", F.nullif(F.array_join(parts, "\n"), F.lit("")))
-        .when(k == "OBJECT", join_text(named, depth - 1))
-        .when(k == "BOOLEAN", boolean)
-        .otherwise(text_of(v))
-    )
+def bind(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``c`` once and use it several times inside one expression."""
+    return F.get(F.transform(F.array(c), lambda x: fn(x)), F.lit(0))
+
+
+def bind(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """Evaluate ``c`` once and use it several times inside one expression."""
+    return F.get(F.transform(F.array(c), lambda x: fn(x)), F.lit(0))
+
+
+_KIND = "regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0)"
+_TRUTHY = (
+    "case {kind} when 'STRING' then try_variant_get({v}, '$', 'string') <> ''"
+    " when 'ARRAY' then size(try_variant_get({v}, '$', 'array<variant>')) > 0"
+    " when 'OBJECT' then try_variant_get({v}, '$', 'string') <> '{{}}'"
+    " when 'BOOLEAN' then try_variant_get({v}, '$', 'boolean')"
+    " when 'VOID' then false else try_variant_get({v}, '$', 'double') <> 0 end"
+)
+
+
+def first_truthy(v: str, *keys: str) -> Column:
+    """First sub-variant of column ``v`` that is not absent, null, empty, zero or false."""
+    subs = ", ".join(f"try_variant_get({v}, '$.{k}', 'variant')" for k in keys)
+    test = _TRUTHY.format(v="f", kind=_KIND.format(v="f"))
+    return F.expr(f"get(filter(array({subs}), f -> f is not null and {test}), 0)")
+
+
+def _text_sql(v: str, depth: int) -> str:
+    """SQL of a value's text; ``v`` is a lambda variable. Each level names its own."""
+    k, x, e, o = (f"{n}{depth}" for n in "kxeo")
+    text = f"try_variant_get({x}, '$', 'string')"
+    cases = [f"when {k} = 'STRING' then nullif(regexp_replace({text}, '(?U)^\\\\s+|\\\\s+$', ''), '')"]
+    if depth > 0:
+        inner = _text_sql(e, depth - 1)
+        cases.append(
+            f"when {k} = 'ARRAY' then nullif(array_join(filter(transform(try_variant_get({x}, '$', 'array<variant>'), {e} -> {inner}), {o} -> {o} is not null), '\\n'), '')"
+        )
+        # A key that is present but null still ends the search.
+        named = "coalesce(" + ", ".join(f"try_variant_get({x}, '$.{key}', 'variant')" for key in TEXT_KEYS) + ")"
+        cases.append(f"when {k} = 'OBJECT' then get(transform(array({named}), {e} -> {_text_sql(e, depth - 1)}), 0)")
+    cases.append(f"when {k} = 'BOOLEAN' then initcap({text})")
+    cases.append(f"when {k} not in ('VOID', 'ARRAY', 'OBJECT') then {text}")
+    body = f"case {' '.join(cases)} end"
+    return f"get(transform(array({v}), {x} -> get(transform(array({_KIND.format(v=x)}), {k} -> {body}), 0)), 0)"
+
+
+def join_texts(values: str, depth: int = TEXT_DEPTH) -> Column:
+    """Texts of an array<variant> column: a trimmed string, list items on lines, or
+    an object's text key, nested ``depth`` deep."""
+    return F.expr(f"transform({values}, v -> {_text_sql('v', depth)})")

@@ -29,49 +29,44 @@ def block_text(body: Column, caption: Column) -> Column:
 
 
 def item_columns(items: DataFrame, keys: list[str], item: str = "item") -> DataFrame:
-    """Typed columns of variant layout items (one projection, no shuffle)."""
-    v = F.col(item)
+    """Typed columns of variant layout items, without a shuffle.
 
-    def text(*names: str) -> Column:
-        return V.join_text(V.first_truthy(v, *names))
+    The three text sources of an item pass through one text expression together.
+    """
 
     def scalar(name: str, to: str) -> Column:
-        return F.try_variant_get(v, f"$.{name}", to)
+        return F.try_variant_get(item, f"$.{name}", to)
 
-    kind = V.first_truthy(v, "type", "block_type")
-    body = text("text", "content", "table_body", "image_caption", "table_caption")
-    retry = F.when(F.col("type").isin("title", "paragraph") & F.col("body").isNull(), F.col("content")).otherwise(F.col("body"))
-    image = V.first_truthy(v, "img_path", "image_path")
-    return (
-        items.withColumns(
-            {
-                "type": F.coalesce(V.text_of(kind), F.lit("text")),
-                "body": body,
-                "content": V.join_text(V.field(v, "content")),
-                "caption": text("image_caption", "table_caption", "code_caption"),
-                "image_path": V.text_of(image),
-                "page_no": scalar("page_no", "int"),
-                "bbox": scalar("bbox", "array<double>"),
-                "item_size": scalar("page_size", "array<double>"),
-                "own_order": scalar("reading_order", "int"),
-                "text_level": scalar("text_level", "string"),
-                "sub_type": scalar("sub_type", "string"),
-                "table_body": scalar("table_body", "string"),
-                "table_caption": V.join_text(V.field(v, "table_caption")),
-                "table_footnote": V.join_text(V.field(v, "table_footnote")),
-                "image_footnote": V.join_text(V.field(v, "image_footnote")),
-            }
-        )
-        .withColumn("body", retry)
-        .drop(item, "content")
-        .select(*keys, *_ITEM_COLUMNS)
+    sources = F.array(
+        V.first_truthy(item, "text", "content", "table_body", "image_caption", "table_caption"),
+        F.try_variant_get(item, "$.content", "variant"),
+        V.first_truthy(item, "image_caption", "table_caption", "code_caption"),
+    )
+    typed = items.withColumns(
+        {
+            "_sources": sources,
+            "type": F.coalesce(V.text_of(V.first_truthy(item, "type", "block_type")), F.lit("text")),
+            "image_path": V.text_of(V.first_truthy(item, "img_path", "image_path")),
+            "page_no": scalar("page_no", "int"),
+            "bbox": scalar("bbox", "array<double>"),
+            "item_size": scalar("page_size", "array<double>"),
+            "own_order": scalar("reading_order", "int"),
+            # Kept as they came: a list or object stays JSON text.
+            **{c: scalar(c, "string") for c in _AS_GIVEN},
+        }
+    ).withColumn("_texts", V.join_texts("_sources"))
+    retry = F.col("type").isin("title", "paragraph") & F.get("_texts", F.lit(0)).isNull()
+    return typed.select(
+        *keys,
+        "type",
+        F.when(retry, F.get("_texts", F.lit(1))).otherwise(F.get("_texts", F.lit(0))).alias("body"),
+        F.get("_texts", F.lit(2)).alias("caption"),
+        *_ITEM_COLUMNS,
     )
 
 
-_ITEM_COLUMNS = [
-    "type", "body", "caption", "image_path", "page_no", "bbox", "item_size", "own_order", "text_level",
-    "sub_type", "table_body", "table_caption", "table_footnote", "image_footnote",
-]
+_AS_GIVEN = ["text_level", "sub_type", "table_body", "table_caption", "table_footnote", "image_footnote"]
+_ITEM_COLUMNS = ["image_path", "page_no", "bbox", "item_size", "own_order", *_AS_GIVEN]
 
 
 def normalize_blocks(items: DataFrame, sizes: DataFrame | None = None) -> DataFrame:

@@ -65,9 +65,7 @@ def update_document(documents: DataFrame, patches: DataFrame, now: Column | None
     def patched(c: str) -> Column:
         if c == "updated_at":
             return F.when(F.col("_hit"), stamp).otherwise(F.col(c))
-        if c not in given:
-            return F.col(c)
-        value = F.coalesce(f"p_{c}", c)
+        value = F.coalesce(f"p_{c}", c) if c in given else F.col(c)
         if c == "parse_error" and "clear_error" in patches.columns:
             value = F.when(F.coalesce("clear_error", F.lit(False)), F.lit(None).cast("string")).otherwise(value)
         return value

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.functions.ordering import dense_position
+from leafmill.functions.variants import bind
 
 # Cell texts read as null.
 NULL_CELLS = ["", "na", "n/a", "-", "—", "null"]
@@ -88,29 +89,35 @@ def column_type(kinds: Column) -> Column:
 
 def parsed_tables(tables: DataFrame, html: str = "html") -> DataFrame:
     """Adds headers, rows (cleaned cells, padded to the header width, blank rows
-    dropped), types and malformed to each table row. Only the first table counts."""
-    d = tables.withColumn("_body", F.regexp_extract(F.coalesce(html, F.lit("")), TABLE_SPAN, 1))
-    d = d.withColumn(
-        "_cells",
-        F.transform(
-            F.regexp_extract_all("_body", F.lit(ROW_SPAN), 1),
-            lambda r: F.transform(F.regexp_extract_all(r, F.lit(CELL_SPAN), 1), cell_text),
-        ),
-    )
-    d = d.withColumn("headers", header_suffix(header_names(F.coalesce(F.get("_cells", F.lit(0)), F.array().cast("array<string>")))))
-    full = F.filter(F.slice("_cells", F.lit(2), F.greatest(F.size("_cells") - 1, F.lit(0))), lambda r: F.exists(r, lambda c: c != ""))
-    d = d.withColumn(
-        "rows",
-        F.transform(full, lambda r: F.transform("headers", lambda h, i: F.coalesce(F.get(r, i), F.lit("")))),
-    )
-    d = d.withColumn(
-        "types",
-        F.transform("headers", lambda h, i: column_type(F.transform("rows", lambda r: cell_kind(F.get(r, i))))),
-    )
-    opens = F.size(F.regexp_extract_all("_body", F.lit(r"(?i)<t[dh][\s>]"), 0))
-    closes = F.size(F.regexp_extract_all("_body", F.lit(r"(?i)</t[dh]\s*>"), 0))
-    malformed = F.col("_body").rlike(X.TABLE_TAG) | (opens != closes)
-    return d.withColumn("malformed", malformed).drop("_body", "_cells")
+    dropped), types and malformed to each table row. Only the first table counts.
+
+    Each step is bound once, so no later filter or projection repeats the parse.
+    """
+    body = F.regexp_extract(F.coalesce(html, F.lit("")), TABLE_SPAN, 1)
+
+    def cells(b: Column) -> Column:
+        found = F.regexp_extract_all(b, F.lit(ROW_SPAN), 1)
+        return F.transform(found, lambda r: F.transform(F.regexp_extract_all(r, F.lit(CELL_SPAN), 1), cell_text))
+
+    def table(b: Column, c: Column) -> Column:
+        first = F.coalesce(F.get(c, F.lit(0)), F.array().cast("array<string>"))
+        return bind(header_names(first), lambda n: bind(header_suffix(n), lambda h: with_headers(b, c, h)))
+
+    def with_headers(b: Column, c: Column, h: Column) -> Column:
+        later = F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+        full = F.filter(later, lambda r: F.exists(r, lambda x: x != ""))
+        padded = F.transform(full, lambda r: F.transform(h, lambda _, i: F.coalesce(F.get(r, i), F.lit(""))))
+        return bind(padded, lambda rows: with_rows(b, h, rows))
+
+    def with_rows(b: Column, h: Column, rows: Column) -> Column:
+        types = F.transform(h, lambda _, i: bind(F.transform(rows, lambda r: cell_kind(F.get(r, i))), column_type))
+        opens = F.size(F.regexp_extract_all(b, F.lit(r"(?i)<t[dh][\s>]"), 0))
+        closes = F.size(F.regexp_extract_all(b, F.lit(r"(?i)</t[dh]\s*>"), 0))
+        malformed = b.rlike(X.TABLE_TAG) | (opens != closes)
+        return F.struct(h.alias("headers"), rows.alias("rows"), types.alias("types"), malformed.alias("malformed"))
+
+    parse = bind(body, lambda b: bind(cells(b), lambda c: table(b, c)))
+    return tables.withColumn("_p", parse).select("*", "_p.*").drop("_p")
 
 
 def html_cells(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -259,7 +266,8 @@ def typed_rows(parsed: DataFrame, keys: list[str], columns: list[tuple[str, str]
     """
     names, kinds = [n for n, _ in columns], [k for _, k in columns]
     same = (F.col("headers") == F.array(*[F.lit(n) for n in names])) & (F.col("types") == F.array(*[F.lit(k) for k in kinds]))
-    rows = parsed.filter(same).select(*keys, F.posexplode("rows").alias("row", "_r"))
+    # Tested inside the generator: as a filter it would be pushed below the parse and repeat it.
+    rows = parsed.select(*keys, F.posexplode(F.when(same, F.col("rows"))).alias("row", "_r"))
 
     def value(i: int, kind: str) -> Column:
         raw = F.get("_r", F.lit(i))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import example_schema as S
 from leafmill.functions import text as X
 from leafmill.functions.ordering import first_per_key
-from leafmill.schemas import MISSING, REACTION_PAYLOAD
+from leafmill.schemas import CONDITIONS, MISSING, REACTION_PAYLOAD
 
 # Cuts of stored and fallback text.
 PROVENANCE_CUT, FALLBACK_CUT = 1200, 400
@@ -24,34 +24,57 @@ def no_missing() -> Column:
     return F.array().cast(MISSING)
 
 
-def known_fields(payload: Column) -> Column:
-    """Payload with what the candidate itself tells; candidate columns are in scope.
+def known_fields(df: DataFrame) -> DataFrame:
+    """Adds what each candidate itself tells: known_text, known_smiles, known_latex.
 
-    The entry's yield overrides; page conditions, text, SMILES and LaTeX only fill
-    gaps.
+    Flat columns, so each pattern runs once per candidate however often its
+    result is used. The entry sentence comes before the source's first lines.
     """
     lines = F.slice(F.filter(F.split("source_text", "\n"), lambda x: x != ""), 1, 3)
-    source_head = X.truthy(X.cut(F.array_join(lines, " "), FALLBACK_CUT))
-    sentence = F.when(
-        X.truthy(F.col("entry_label")).isNotNull(), F.format_string(X.ENTRY_SENTENCE, F.col("entry_label"), F.col("page_no"))
-    )
-    smiles = X.first_match(F.col("source_text"), X.SMILES_TOKEN)
-    latex = X.first_match(F.col("source_text"), X.LATEX_SPAN, 0)
-    conditions = payload["conditions"]
-    filled = F.struct(
-        *[
-            F.coalesce(conditions[k], F.col("inherited_conditions")[k]).alias(k)
-            for k in ("catalyst", "temperature_c", "time_h")
-        ]
+    head = X.truthy(X.cut(F.array_join(lines, " "), FALLBACK_CUT))
+    sentence = F.format_string(X.ENTRY_SENTENCE, F.col("entry_label"), F.col("page_no"))
+    return df.withColumns(
+        {
+            "known_text": F.when(F.col("entry_label") != "", sentence).otherwise(head),
+            "known_smiles": X.first_match(F.col("source_text"), X.SMILES_TOKEN),
+            "known_latex": X.first_match(F.col("source_text"), X.LATEX_SPAN, 0),
+        }
     )
+
+
+KNOWN = ["known_text", "known_smiles", "known_latex"]
+
+
+def apply_known_fields(payload: Column | None) -> Column:
+    """Payload completed from the known fields; no payload means the null skeleton.
+
+    The entry's yield overrides; page conditions, text, SMILES and LaTeX only fill
+    gaps.
+    """
+
+    def own(f: str) -> Column:
+        return F.lit(None).cast("string") if payload is None else payload[f]
+
+    def gap(f: str, known: str) -> Column:
+        return F.col(known) if payload is None else F.coalesce(X.truthy(own(f)), F.col(known), own(f))
+
+    inherited = F.col("inherited_conditions")
+    if payload is None:
+        conditions = F.struct(*[inherited[k].alias(k) for k in CONDITIONS.fieldNames()])
+        share = F.col("yield_percent")
+    else:
+        given = payload["conditions"]
+        filled = F.struct(*[F.coalesce(given[k], inherited[k]).alias(k) for k in CONDITIONS.fieldNames()])
+        conditions = F.when(given.isNotNull(), filled)
+        share = F.coalesce(F.col("yield_percent"), payload["yield_percent"])
     return F.struct(
-        F.coalesce(X.truthy(payload["reaction_text"]), sentence, source_head).alias("reaction_text"),
-        F.coalesce(X.truthy(payload["reaction_smiles"]), smiles, payload["reaction_smiles"]).alias("reaction_smiles"),
-        payload["atom_mapped_reaction_smiles"].alias("atom_mapped_reaction_smiles"),
-        F.coalesce(X.truthy(payload["reaction_latex"]), latex, payload["reaction_latex"]).alias("reaction_latex"),
-        payload["rxn_path"].alias("rxn_path"),
-        F.when(conditions.isNotNull(), filled).alias("conditions"),
-        F.coalesce("yield_percent", payload["yield_percent"]).alias("yield_percent"),
+        gap("reaction_text", "known_text").alias("reaction_text"),
+        gap("reaction_smiles", "known_smiles").alias("reaction_smiles"),
+        own("atom_mapped_reaction_smiles").alias("atom_mapped_reaction_smiles"),
+        gap("reaction_latex", "known_latex").alias("reaction_latex"),
+        own("rxn_path").alias("rxn_path"),
+        conditions.alias("conditions"),
+        share.alias("yield_percent"),
     )
 
 
@@ -72,13 +95,50 @@ def with_answers(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-def without_answers(candidates: DataFrame) -> DataFrame:
-    none = F.parse_json(F.lit(None).cast("string"))
-    return candidates.withColumns({"answer": none, "repair": none})
+def _choose_value(d: DataFrame) -> DataFrame:
+    """_value, _valid, _errors and _missing from answer, repair and known fields."""
+    schema = DEFAULT_SCHEMA
+    fallback = apply_known_fields(None)
+    no_errors = F.array().cast("array<string>")
+    if "answer" not in d.columns:
+        return d.withColumns(
+            {"_value": fallback, "_valid": F.lit(True), "_errors": no_errors, "_missing": S.missing_of(schema, fallback)}
+        )
+
+    def present(c: str) -> Column:
+        # A JSON null answer is as good as none.
+        return F.coalesce(~F.is_variant_null(c), F.lit(False))
+
+    d = d.withColumns(
+        {
+            "_c1": F.when(present("answer"), S.validate(schema, F.col("answer"))),
+            "_c2": F.when(present("repair"), S.validate(schema, F.col("repair"))),
+        }
+    )
+    ok1 = F.size("_c1.errors") == 0
+    use2 = F.col("_c1").isNotNull() & F.col("_c2").isNotNull() & ~ok1
+    d = d.withColumn(
+        "_pick",
+        F.when(F.coalesce(ok1, F.lit(False)), 1)
+        .when(use2 & (F.size("_c2.errors") == 0), 2)
+        .when(use2, 3)
+        .otherwise(0),
+    )
+    pick = F.col("_pick")
+    return d.withColumns(
+        {
+            "_value": F.when(pick == 1, F.col("_c1.value")).when(pick == 2, F.col("_c2.value")).otherwise(fallback),
+            "_valid": pick != 3,
+            "_errors": F.when(pick == 3, F.col("_c2.errors")).otherwise(no_errors),
+            "_missing": F.when(pick == 1, F.col("_c1.missing"))
+            .when(pick >= 2, F.col("_c2.missing"))
+            .otherwise(S.missing_of(schema, fallback)),
+        }
+    ).drop("_c1", "_c2", "_pick", "answer", "repair")
 
 
 def enrich_record(df: DataFrame, mapped_smiles: str | None = None) -> DataFrame:
-    """Adds payload and validation to candidates carrying ``answer`` and ``repair``.
+    """Adds payload and validation to candidates, with answers or without.
 
     First answer if it fits the schema, else the repair if that fits, else the
     known-field fallback. A missing answer counts as the fallback, which fits; a
@@ -86,59 +146,38 @@ def enrich_record(df: DataFrame, mapped_smiles: str | None = None) -> DataFrame:
     with the repair's errors. A mapped SMILES comes from the named input column
     only, never from an answer.
     """
-    schema = DEFAULT_SCHEMA
-    d = df.withColumn("_fallback", known_fields(S.null_skeleton(schema)))
-    # A JSON null answer is as good as none.
-    answered = F.col("answer").isNotNull() & ~F.coalesce(F.is_variant_null("answer"), F.lit(False))
-    repaired = F.col("repair").isNotNull() & ~F.coalesce(F.is_variant_null("repair"), F.lit(False))
-    d = d.withColumns(
-        {
-            "_has1": F.coalesce(answered, F.lit(False)),
-            "_has2": F.coalesce(repaired, F.lit(False)),
-            "_c1": F.when(answered, S.validate(schema, F.col("answer"))),
-            "_c2": F.when(repaired, S.validate(schema, F.col("repair"))),
-        }
-    )
-    ok1 = F.col("_has1") & F.col("_c1.valid")
-    use2 = F.col("_has1") & ~F.col("_c1.valid") & F.col("_has2")
-    ok2 = use2 & F.col("_c2.valid")
-    failed = use2 & ~F.col("_c2.valid")
-    fallback_missing = S.missing_of(schema, F.col("_fallback"))
-    d = d.withColumns(
-        {
-            "_value": F.when(ok1, F.col("_c1.value")).when(ok2, F.col("_c2.value")).otherwise(F.col("_fallback")),
-            "_valid": ~failed,
-            "_errors": F.when(failed, F.col("_c2.errors")).otherwise(F.array().cast("array<string>")),
-            "_missing": F.when(ok1, F.col("_c1.missing")).when(use2, F.col("_c2.missing")).otherwise(fallback_missing),
-        }
-    ).drop("_c1", "_c2", "_fallback", "answer", "repair")
-    d = d.withColumn("payload", known_fields(F.col("_value")))
-    smiles = X.truthy(F.col("payload.reaction_smiles"))
-    bad = smiles.isNotNull() & X.reaction_syntax_error(smiles).isNotNull()
-    kept = F.when(~bad, smiles)
-    mapped = F.when(kept.isNotNull(), F.col(mapped_smiles)) if mapped_smiles else F.lit(None).cast("string")
+    d = _choose_value(known_fields(df))
+    completed = F.col("_value") if "answer" not in df.columns else apply_known_fields(F.col("_value"))
+    d = d.withColumn("payload", completed).drop("_value")
+    d = d.withColumn("_smiles", X.truthy(F.col("payload.reaction_smiles")))
+    d = d.withColumn("_good", F.coalesce(X.is_reaction(F.col("_smiles")), F.lit(False)))
+    bad = F.col("_smiles").isNotNull() & ~F.col("_good")
+    none = F.lit(None).cast("string")
+    mapped = F.when(F.col("_good"), F.col(mapped_smiles)) if mapped_smiles else none
     p = F.col("payload")
-    final_payload = F.struct(
+    payload = F.struct(
         p["reaction_text"].alias("reaction_text"),
-        F.when(bad, F.lit(None).cast("string")).otherwise(p["reaction_smiles"]).alias("reaction_smiles"),
+        F.when(~bad, p["reaction_smiles"]).alias("reaction_smiles"),
         mapped.alias("atom_mapped_reaction_smiles"),
         p["reaction_latex"].alias("reaction_latex"),
-        F.when(kept.isNull(), p["rxn_path"]).alias("rxn_path"),
+        F.when(~F.col("_good"), p["rxn_path"]).alias("rxn_path"),
         p["conditions"].alias("conditions"),
         p["yield_percent"].alias("yield_percent"),
     )
+    failed_smiles = missing_entry("reaction_smiles", "extraction_failed")
+    failed_mapping = missing_entry("atom_mapped_reaction_smiles", "extraction_failed")
     validation = F.struct(
         F.col("_valid").alias("schema_valid"),
         F.col("_errors").alias("schema_errors"),
         F.concat(
             F.col("_missing"),
-            F.when(bad, missing_entry("reaction_smiles", "extraction_failed")).otherwise(no_missing()),
-            F.when(mapped.isNull(), missing_entry("atom_mapped_reaction_smiles", "extraction_failed")).otherwise(no_missing()),
+            F.when(bad, failed_smiles).otherwise(no_missing()),
+            F.when(mapped.isNull(), failed_mapping).otherwise(no_missing()),
         ).alias("missing"),
         F.when(~F.col("_valid"), "validation_failed").alias("status"),
     )
-    return d.withColumn("validation", validation).withColumn("payload", final_payload).drop(
-        "_value", "_valid", "_errors", "_missing", "_has1", "_has2"
+    return d.withColumns({"validation": validation, "payload": payload}).drop(
+        "_smiles", "_good", "_valid", "_errors", "_missing", *KNOWN
     )
 
 
@@ -311,18 +350,14 @@ def batch_progress(outcomes: DataFrame) -> DataFrame:
 def reaction_participants(records: DataFrame, smiles: str = "smiles", keys: list[str] | None = None) -> DataFrame:
     """One row per participant: keys, role, position, smiles."""
     keys = keys or ["id"]
-    parts = X.reaction_parts(F.col(smiles))
+    text = records.filter(X.is_reaction(F.col(smiles))).select(*keys, X.strip(F.col(smiles)).alias("_t"))
+    sides = [("reactant", X.REACTANT_SIDE), ("agent", X.AGENT_SIDE), ("product", X.PRODUCT_SIDE)]
 
-    def role(name: str, plural: str) -> Column:
+    def role(name: str, pattern: str) -> Column:
         return F.transform(
-            F.col("_p")[plural],
+            X.reaction_side(F.col("_t"), pattern),
             lambda x, i: F.struct(F.lit(name).alias("role"), i.alias("position"), x.alias("smiles")),
         )
 
-    rows = F.concat(role("reactant", "reactants"), role("agent", "agents"), role("product", "products"))
-    return (
-        records.select(*keys, parts.alias("_p"))
-        .filter("_p is not null")
-        .select(*keys, F.explode(rows).alias("_r"))
-        .select(*keys, "_r.role", "_r.position", "_r.smiles")
-    )
+    rows = F.concat(*[role(n, p) for n, p in sides])
+    return text.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.role", "_r.position", "_r.smiles")

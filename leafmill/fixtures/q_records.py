@@ -240,7 +240,7 @@ SELECT document_id, candidate_index, attempt, kind = 'good' AS valid, CASE kind
 )
 def _(spark, sf):
     a = D.model_answers(spark, sf).withColumn("c", S.validate(R.DEFAULT_SCHEMA, X.loose_json(F.col("answer_text"))))
-    return a.select("document_id", "candidate_index", "attempt", "c.valid", F.array_join("c.errors", ";").alias("errors"), pairs(F.col("c.missing")).alias("missing"))
+    return a.select("document_id", "candidate_index", "attempt", (F.size("c.errors") == 0).alias("valid"), F.array_join("c.errors", ";").alias("errors"), pairs(F.col("c.missing")).alias("missing"))
 
 
 @query(

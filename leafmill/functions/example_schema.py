@@ -104,107 +104,90 @@ def _none(element: T.DataType) -> Column:
     return F.array().cast(T.ArrayType(element) if not isinstance(element, T.ArrayType) else element)
 
 
-def _walk(node: Node, v: Column, path: Column, at_root: bool) -> tuple[Column, Column, Column]:
-    """(value, errors, missing) expressions of one node."""
-    k = V.kind(v)
+def _result(value: Column, errors: Column, missing: Column) -> Column:
+    return F.struct(value.alias("v"), errors.alias("e"), missing.alias("m"))
+
+
+def _check(node: Node, v: Column, path: Column, at_root: bool = False) -> Column:
+    """struct<v, e, m>: value, errors and missing of one node, each part computed once."""
+    return V.bind(v, lambda x: V.bind(V.kind(x), lambda k: _check_kind(node, x, k, path, at_root)))
+
+
+def _check_kind(node: Node, v: Column, k: Column, path: Column, at_root: bool) -> Column:
     s = V.text_of(v)
-    null_type = F.lit(None).cast(node.spark_type())
-    is_null = (k == "VOID") | ((k == "STRING") & (s == "null"))
-    if node.nullable:
-        is_null = is_null | ((k == "STRING") & (s == ""))
-    is_null = F.coalesce(is_null, F.lit(False))
-
-    numeric_leaf = "number" in node.types or "integer" in node.types
-    from_text = X.to_number(s) if numeric_leaf else F.lit(None).cast("double")
-    text_number = (k == "STRING") & from_text.isNotNull()
-    is_number = k.isin(*NUMERIC_KINDS)
-    allowed = F.lit(False)
-    if numeric_leaf:
-        allowed = allowed | is_number | text_number
-    if "string" in node.types:
-        allowed = allowed | (k == "STRING")
-    if "boolean" in node.types:
-        allowed = allowed | (k == "BOOLEAN")
-    if "array" in node.types:
-        allowed = allowed | (k == "ARRAY")
-    if "object" in node.types:
-        allowed = allowed | (k == "OBJECT")
+    numeric = "number" in node.types or "integer" in node.types
+    blank = s.isin("null", "") if node.nullable else s == "null"
+    is_null = F.coalesce((k == "VOID") | ((k == "STRING") & blank), F.lit(False))
+
+    kinds = [name for t, name in (("string", "STRING"), ("boolean", "BOOLEAN"), ("array", "ARRAY"), ("object", "OBJECT")) if t in node.types]
+    allowed = k.isin(*kinds, *(NUMERIC_KINDS if numeric else ()))
+    if numeric and "STRING" not in kinds:
+        allowed = allowed | ((k == "STRING") & s.rlike(X.NUMERIC_TEXT))
     allowed = F.coalesce(allowed, F.lit(False))
-    if node.nullable:
-        ok = is_null | allowed
-    else:
-        ok = allowed & ~is_null
 
-    shown = F.when(v.isNull(), F.lit("undefined")).when(is_null, F.lit("null")).otherwise(F.to_json(v))
-    error = F.array(
-        F.concat(
-            F.when(path == "", F.lit("$")).otherwise(path),
-            F.lit(f" expected {node.label()}, got "),
-            shown,
-        )
-    )
+    null_value = F.lit(None).cast(node.spark_type())
     no_errors, no_missing = _none(T.StringType()), _none(MISSING)
+    shown = F.when(v.isNull(), F.lit("undefined")).when(is_null, F.lit("null")).otherwise(F.to_json(v))
+    where = F.when(path == "", F.lit("$")).otherwise(path)
+    error = F.array(F.concat(where, F.lit(f" expected {node.label()}, got "), shown))
+    refused = _result(null_value, error, no_missing)
+    empty = refused
+    if node.nullable:
+        empty = _result(null_value, no_errors, F.when(path != "", _missing(path)).otherwise(no_missing))
+    return F.when(is_null, empty).when(allowed, _accepted(node, v, k, s, path, at_root)).otherwise(refused)
 
+
+def _accepted(node: Node, v: Column, k: Column, s: Column, path: Column, at_root: bool) -> Column:
+    no_errors, no_missing = _none(T.StringType()), _none(MISSING)
     if "object" in node.types:
-        values, errors, missing = [], [], []
-        for key, child in node.children.items():
-            child_path = F.lit(key) if at_root else F.concat(path, F.lit(f".{key}"))
-            value, errs, miss = _walk(child, V.field(v, key), child_path, False)
-            values.append(value.alias(key))
-            errors.append(errs)
-            missing.append(miss)
-        return (
-            F.when(ok, F.struct(*values)).otherwise(null_type),
-            F.when(ok, F.concat(*errors)).otherwise(error),
-            F.when(ok, F.concat(*missing)).otherwise(no_missing),
+        checked = F.struct(
+            *[
+                _check(child, V.field(v, key), F.lit(key) if at_root else F.concat(path, F.lit(f".{key}"))).alias(key)
+                for key, child in node.children.items()
+            ]
         )
-
-    if "array" in node.types:
-        pairs = F.transform(
-            V.items(v),
-            lambda x, i: F.struct(*[c.alias(n) for c, n in zip(_walk(node.items, x, _index(path, i), False), "vem")]),
+        return V.bind(
+            checked,
+            lambda c: _result(
+                F.struct(*[c[key]["v"].alias(key) for key in node.children]),
+                F.concat(*[c[key]["e"] for key in node.children]),
+                F.concat(*[c[key]["m"] for key in node.children]),
+            ),
         )
-        return (
-            F.when(ok, F.transform(pairs, lambda p: p["v"])).otherwise(null_type),
-            F.when(ok, F.flatten(F.transform(pairs, lambda p: p["e"]))).otherwise(error),
-            F.when(ok, F.flatten(F.transform(pairs, lambda p: p["m"]))).otherwise(no_missing),
+    if "array" in node.types:
+        index = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        checked = F.transform(V.items(v), lambda x, i: _check(node.items, x, index(i)))
+        return V.bind(
+            checked,
+            lambda c: _result(
+                F.transform(c, lambda r: r["v"]),
+                F.flatten(F.transform(c, lambda r: r["e"])),
+                F.flatten(F.transform(c, lambda r: r["m"])),
+            ),
         )
-
+    numeric = "number" in node.types or "integer" in node.types
+    number = F.coalesce(F.when(k == "STRING", X.to_number(s)), F.try_variant_get(v, "$", "double"))
     if "string" in node.types:
-        # A numeric string on a string-or-number leaf becomes the number, printed plainly.
-        leaf = F.when(k == "STRING", F.coalesce(X.number_text(from_text), s) if numeric_leaf else s).otherwise(
-            X.number_text(F.try_variant_get(v, "$", "double"))
-        )
+        # On a string-or-number leaf a numeric string becomes the number, printed plainly.
+        leaf = F.coalesce(V.bind(number, X.number_text), s) if numeric else s
     elif "boolean" in node.types:
         leaf = F.try_variant_get(v, "$", "boolean")
     else:
-        leaf = F.coalesce(from_text, F.try_variant_get(v, "$", "double"))
-    value = F.when(ok & ~is_null, leaf.cast(node.spark_type()))
-    return (
-        value,
-        F.when(ok, no_errors).otherwise(error),
-        F.when(is_null & ok & (path != ""), _missing(path)).otherwise(no_missing),
-    )
-
-
-def _index(path: Column, i: Column) -> Column:
-    return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        leaf = number
+    return _result(leaf.cast(node.spark_type()), no_errors, no_missing)
 
 
 def validate(node: Node, v: Column) -> Column:
-    """struct<value, errors, missing, valid> of a variant checked against the schema."""
-    value, errors, missing = _walk(node, v, F.lit(""), True)
-    return F.struct(
-        value.alias("value"),
-        errors.alias("errors"),
-        missing.alias("missing"),
-        (F.size(errors) == 0).alias("valid"),
+    """struct<value, errors, missing> of a variant checked against the schema; no errors means valid."""
+    return V.bind(
+        _check(node, v, F.lit(""), True),
+        lambda r: F.struct(r["v"].alias("value"), r["e"].alias("errors"), r["m"].alias("missing")),
     )
 
 
 def project(node: Node, v: Column) -> Column:
     """Declared keys only, in schema order; values that do not fit become null."""
-    return _walk(node, v, F.lit(""), True)[0]
+    return _check(node, v, F.lit(""), True)["v"]
 
 
 def missing_of(node: Node, value: Column, path: str = "") -> Column:

@@ -217,7 +217,7 @@ def with_titles(table_blocks: DataFrame, answers: DataFrame | None = None) -> Da
     if answers is None:
         return table_blocks.withColumns({"title": X.caption_line(F.col("text")), "description": F.lit(None).cast("string")})
     a = answers.select("document_id", "table_id", X.loose_json(F.col("answer_text")).alias("_a"))
-    read = F.col("_a").isNotNull() & ~F.coalesce(F.is_variant_null("_a"), F.lit(False))
+    read = F.col("_a").isNotNull() & ~F.is_variant_null("_a")
     return (
         table_blocks.join(a, ["document_id", "table_id"], "left")
         .withColumn("title", F.when(read, F.try_variant_get("_a", "$.table_title", "string")).otherwise(X.caption_line(F.col("text"))))

@@ -107,7 +107,7 @@ def _choose_value(d: DataFrame) -> DataFrame:
 
     def present(c: str) -> Column:
         # A JSON null answer is as good as none.
-        return F.coalesce(~F.is_variant_null(c), F.lit(False))
+        return F.col(c).isNotNull() & ~F.is_variant_null(c)
 
     d = d.withColumns(
         {

@@ -314,10 +314,9 @@ SELECT id, good_mapped AS mapped, good_yield AS yield_percent, concat_ws(',', CA
 """,
 )
 def _(spark, sf):
-    r = D.reactions(spark, sf)
-    payload, missing = R.evidence_rules(F.col("payload"), F.col("provenance.source_text"))
+    r = R.evidence_rules(D.reactions(spark, sf))
     return r.select(
-        "id", payload["atom_mapped_reaction_smiles"].alias("mapped"), payload["yield_percent"].alias("yield_percent"), pairs(missing).alias("missing")
+        "id", F.col("payload.atom_mapped_reaction_smiles").alias("mapped"), "payload.yield_percent", pairs(F.col("rule_missing")).alias("missing")
     )
 
 

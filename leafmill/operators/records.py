@@ -210,39 +210,38 @@ def keep_reaction(df: DataFrame) -> DataFrame:
     return df.filter(keep)
 
 
-def evidence_rules(payload: Column, source_text: Column, yield_text: Column | None = None) -> tuple[Column, Column]:
-    """(payload, missing) after the business rules.
+def evidence_rules(df: DataFrame, yield_text: str | None = None) -> DataFrame:
+    """Payload after the business rules, and what they add as ``rule_missing``.
 
     A mapped SMILES must hold >> and a mapped atom. A yield must be written as
-    ``N%`` in the source text. ``yield_text`` is the yield as given when it may
-    not be a number.
+    ``N%`` in the source text. ``yield_text`` names a column with the yield as
+    given, when that may not be a number.
     """
-    mapped = payload["atom_mapped_reaction_smiles"]
-    mapped_ok = F.coalesce(F.contains(mapped, F.lit(">>")) & mapped.rlike(X.MAPPED_ATOM), F.lit(False))
-    given = F.when(yield_text.isNotNull(), X.truthy(yield_text)) if yield_text is not None else payload["yield_percent"].cast("string")
-    number = X.to_number(yield_text) if yield_text is not None else payload["yield_percent"]
-    seen = X.mentions_percent(source_text, number)
-    good = number.isNotNull() & seen
-    rules = F.struct(
-        *[
-            (
-                F.when(mapped_ok, mapped)
-                if f == "atom_mapped_reaction_smiles"
-                else F.when(good, number)
-                if f == "yield_percent"
-                else payload[f]
-            ).alias(f)
-            for f in REACTION_PAYLOAD.fieldNames()
-        ]
+    mapped = F.col("payload.atom_mapped_reaction_smiles")
+    share = F.col("payload.yield_percent")
+    given = X.truthy(F.col(yield_text)) if yield_text else share.cast("string")
+    d = df.withColumns(
+        {
+            "_mapped_ok": F.coalesce(F.contains(mapped, F.lit(">>")) & mapped.rlike(X.MAPPED_ATOM), F.lit(False)),
+            "_number": X.to_number(F.col(yield_text)) if yield_text else share,
+            "_given": given.isNotNull(),
+        }
     )
+    # Flat columns, so the source text is searched once.
+    d = d.withColumn("_seen", X.mentions_percent(F.col("provenance.source_text"), F.col("_number")))
+    changed = {
+        "atom_mapped_reaction_smiles": F.when(F.col("_mapped_ok"), mapped),
+        "yield_percent": F.when(F.col("_seen"), F.col("_number")),
+    }
+    payload = F.struct(*[changed.get(f, F.col(f"payload.{f}")).alias(f) for f in REACTION_PAYLOAD.fieldNames()])
+    unread = F.col("_given") & F.col("_number").isNull()
     missing = F.concat(
-        F.when(mapped_ok, no_missing()).otherwise(missing_entry("atom_mapped_reaction_smiles", "extraction_failed")),
-        F.when(given.isNull(), missing_entry("yield_percent", "source_not_present"))
-        .when(number.isNull(), missing_entry("yield_percent", "extraction_failed"))
-        .when(~seen, missing_entry("yield_percent", "source_not_present"))
-        .otherwise(no_missing()),
+        F.when(F.col("_mapped_ok"), no_missing()).otherwise(missing_entry("atom_mapped_reaction_smiles", "extraction_failed")),
+        F.when(unread, missing_entry("yield_percent", "extraction_failed"))
+        .when(F.col("_seen"), no_missing())
+        .otherwise(missing_entry("yield_percent", "source_not_present")),
     )
-    return rules, missing
+    return d.withColumns({"payload": payload, "rule_missing": missing}).drop("_mapped_ok", "_number", "_given", "_seen")
 
 
 def missing_union(existing: Column, added: Column) -> Column:
@@ -253,50 +252,52 @@ def missing_union(existing: Column, added: Column) -> Column:
 
 def apply_rules(df: DataFrame) -> DataFrame:
     """Save-time rules on payload, provenance and validation columns."""
-    payload, missing = evidence_rules(F.col("payload"), F.col("provenance.source_text"))
     existing = F.coalesce("validation.missing", no_missing())
-    return df.withColumns(
-        {
-            "payload": payload,
-            "validation": F.col("validation").withField("missing", missing_union(existing, missing)),
-        }
+    whole = missing_union(existing, F.col("rule_missing"))
+    return (
+        evidence_rules(df)
+        .withColumn("validation", F.col("validation").withField("missing", whole))
+        .drop("rule_missing")
     )
 
 
 def fingerprint(payload: Column, page_no: Column) -> Column:
-    """Null-safe identity of a record inside its document."""
-    key = F.struct(
-        payload["reaction_smiles"].alias("smiles"),
-        payload["reaction_text"].alias("text"),
-        page_no.alias("page"),
-        payload["yield_percent"].alias("yield"),
-    )
-    return F.sha1(F.to_json(key, {"ignoreNullFields": "false"}))
+    """Null-safe identity of a record inside its document: each part length-prefixed."""
+    parts = [payload["reaction_smiles"], payload["reaction_text"], page_no.cast("string"), payload["yield_percent"].cast("string")]
+    return F.sha1(F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]))
+
+
+# The page is part of the identity, so naming it beside the fingerprint lets work
+# already partitioned by (document, page) stay where it is.
+IDENTITY = ["document_id", "page_no", "fingerprint"]
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
-    return df.withColumn("fingerprint", fingerprint(F.col("payload"), F.col("provenance.page_no")))
+    if "page_no" not in df.columns:
+        # Null and 0 still differ in the fingerprint.
+        df = df.withColumn("page_no", F.coalesce("provenance.page_no", F.lit(0)))
+    return df.withColumn("fingerprint", fingerprint(F.col("payload"), F.col("page_no")))
 
 
 def duplicate_check(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """New records whose fingerprint is not stored for the document yet.
+    """New records whose identity is not stored for the document yet.
 
-    The stored side is one row per fingerprint, so a hot document spreads over
-    its fingerprints.
+    The stored side is one row per identity, so a hot document spreads out.
     """
-    seen = with_fingerprint(stored).select("document_id", "fingerprint").distinct()
-    return with_fingerprint(new).join(seen, ["document_id", "fingerprint"], "left_anti")
+    seen = with_fingerprint(stored).select(*IDENTITY).distinct()
+    return with_fingerprint(new).join(seen, IDENTITY, "left_anti")
 
 
 def dedupe_first(df: DataFrame, order: list[str]) -> DataFrame:
-    """First record per (document, fingerprint)."""
-    return first_per_key(df, ["document_id", "fingerprint"], order)
+    """First record per identity."""
+    return first_per_key(df, IDENTITY, order)
 
 
 def append_reactions(new: DataFrame, stored: DataFrame | None, order: list[str]) -> DataFrame:
-    """Rows to append: rules applied, then only fingerprints not seen before.
+    """Rows to append: rules applied, then only identities not seen before.
 
-    Both sides are compared after the rules, so a rerun appends nothing.
+    Both sides are compared after the rules, so a rerun appends nothing. ``new``
+    has page_no equal to its provenance page.
     """
     ruled = apply_rules(new)
     fresh = with_fingerprint(ruled) if stored is None else duplicate_check(ruled, stored)

@@ -125,6 +125,8 @@ def union_bbox(blocks: DataFrame) -> DataFrame:
 
 # ---- hit test ----------------------------------------------------------------
 GRID = 16
+# A page with more boxes than this is cut into GRID x GRID cells.
+CROWDED = 256
 
 
 def hit_union(blocks: DataFrame, reactions: DataFrame, tables: DataFrame) -> DataFrame:
@@ -155,15 +157,22 @@ def _cell(c: Column) -> Column:
     return F.least(F.greatest(F.floor(c * GRID), F.lit(0)), F.lit(GRID - 1)).cast("int")
 
 
-def hit_test(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
+def hit_test(clicks: DataFrame, boxes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Smallest box containing each click, ties by kind then input order.
 
-    Boxes are spread over the cells of a page grid and clicks fall in one cell
-    each. Where boxes cover a whole cell only the best of them can win there, so
-    one per cell is kept and partly covering boxes that rank behind it are
-    dropped before the join. A crowded page meets its clicks cell by cell.
+    Usual pages join on (document, page). On a crowded page boxes are spread over
+    the cells of a grid and a click falls in one cell. Where boxes cover a whole
+    cell only the best of them can win there, so one per cell is kept, and partly
+    covering boxes that rank behind it are dropped before the join.
     """
-    b = boxes.withColumns(
+    page = ["document_id", "page_no"]
+    busy = (
+        boxes.groupBy(*page)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > crowded)
+        .select(*page, F.lit(True).alias("_busy"))
+    )
+    b = boxes.join(busy, page, "left").withColumns(
         {
             "_l": F.least(F.col("bbox")[0], F.col("bbox")[2]),
             "_r": F.greatest(F.col("bbox")[0], F.col("bbox")[2]),
@@ -172,19 +181,25 @@ def hit_test(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
             "_rank": F.struct(G.area(F.col("bbox")).alias("area"), F.col("kind_rank"), F.col("seq")),
         }
     )
+    one = F.array(F.lit(0))
+
+    def cells(low: str, high: str) -> Column:
+        return F.explode(F.when(F.col("_busy"), F.sequence(_cell(F.col(low)), _cell(F.col(high)))).otherwise(one))
+
     spread = (
-        b.withColumn("_cx", F.explode(F.sequence(_cell(F.col("_l")), _cell(F.col("_r")))))
-        .withColumn("_cy", F.explode(F.sequence(_cell(F.col("_t")), _cell(F.col("_b")))))
+        b.withColumn("_cx", cells("_l", "_r"))
+        .withColumn("_cy", cells("_t", "_b"))
         .withColumn(
             "_full",
             # Cells strictly between the corner cells lie inside the box.
-            (F.col("_cx") > _cell(F.col("_l")))
+            F.coalesce("_busy", F.lit(False))
+            & (F.col("_cx") > _cell(F.col("_l")))
             & (F.col("_cx") < _cell(F.col("_r")))
             & (F.col("_cy") > _cell(F.col("_t")))
             & (F.col("_cy") < _cell(F.col("_b"))),
         )
     )
-    cell = ["document_id", "page_no", "_cx", "_cy"]
+    cell = [*page, "_cx", "_cy"]
     box = ["kind", "id", "bbox", "_rank", "_l", "_r", "_t", "_b"]
     full = spread.filter("_full").groupBy(*cell).agg(F.min_by(F.struct(*box), "_rank").alias("_best"))
     partial = (
@@ -195,12 +210,14 @@ def hit_test(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
         .drop("_limit")
     )
     targets = partial.unionByName(full.select(*cell, "_best.*"))
-    points = clicks.withColumns({"_cx": _cell(F.col("x")), "_cy": _cell(F.col("y"))})
+    points = clicks.join(busy, page, "left").withColumns(
+        {c: F.when(F.col("_busy"), _cell(F.col(p))).otherwise(F.lit(0)) for c, p in (("_cx", "x"), ("_cy", "y"))}
+    )
     inside = (F.col("x") >= F.col("_l")) & (F.col("x") <= F.col("_r")) & (F.col("y") >= F.col("_t")) & (F.col("y") <= F.col("_b"))
-    pairs = points.join(targets, cell).filter(inside)
+    pairs = points.drop("_busy").join(targets, cell).filter(inside)
     return (
         pairs.groupBy("click_id")
-        .agg(F.min_by(F.struct("document_id", "page_no", "kind", "id", "bbox"), "_rank").alias("h"))
+        .agg(F.min_by(F.struct(*page, "kind", "id", "bbox"), "_rank").alias("h"))
         .select("click_id", "h.*")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.ordering import dense_position
 from leafmill.operators.blocks import item_columns, normalize_blocks
 from leafmill.operators.merge import image_path_rewrite, overlap_keep_first, page_tree_keep_first, rebase_page
+from leafmill.session import materialize
 from leafmill.sources.layout import layout_items_scan, page_sizes, page_tree_scan, tree_pages
 
 
@@ -18,9 +19,10 @@ def merged_items(payloads: DataFrame, chunks: DataFrame, images: DataFrame | Non
     the item's position in the merged document.
     """
     completed = chunks.filter("status = 'completed'")
-    scanned = layout_items_scan(payloads, ["document_id", "chunk_ord"])
-    typed = item_columns(scanned, ["document_id", "chunk_ord", "pos", "page_idx"])
-    kept = overlap_keep_first(rebase_page(typed, completed))
+    scanned = rebase_page(layout_items_scan(payloads, ["document_id", "chunk_ord"]), completed)
+    # The JSON is parsed once; page ownership and positions then read key columns only.
+    typed = materialize(item_columns(scanned, ["document_id", "chunk_ord", "chunk_id", "pos", "page_idx"]), "layout-items")
+    kept = overlap_keep_first(typed)
     if images is not None:
         kept = image_path_rewrite(kept, images)
     return dense_position(kept, ["document_id"], "chunk_ord", "pos", [], "item_index")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "leafmill", cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -40,3 +40,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write once to the shared folder and read back.
+
+    For an expensive result that several later steps read: each step then scans
+    only the columns it needs instead of computing the result again, and a lost
+    executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

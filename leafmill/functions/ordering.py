@@ -19,6 +19,16 @@ def _run(c: Column) -> Column:
     return F.floor(c / F.lit(SPAN)).cast("bigint")
 
 
+def filter_here(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter after the columns the condition reads have been computed.
+
+    Catalyst pushes a plain filter below the projection that computes its input and
+    evaluates the input a second time there. A generator stays in place.
+    """
+    one = F.array(F.lit(0))
+    return df.select("*", F.explode(F.when(condition, one)).alias("_here")).drop("_here")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """First row of each key. Spark limits each map task to one row per key before
     the shuffle (WindowGroupLimit), so a key with many copies does not pile up."""

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: patterns and texts that stored results depend on ----------
 WS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+SPACE_CODES = [9, 10, 11, 12, 13, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACES = "".join(map(chr, [*SPACE_CODES, 0xFEFF]))
+# The layout reader's own notion of a blank adds separators and drops the byte-order mark.
+LAYOUT_SPACES = "".join(map(chr, [*SPACE_CODES, *range(0x1C, 0x20), 0x85]))
 NOT_WORD_AHEAD = r"(?![A-Za-z0-9_])"
 NOT_WORD_BEHIND = r"(?<![A-Za-z0-9_])"
 
+# The look-ahead lists the alternatives' first characters; it only saves time.
 REACTION_HINT = (
-    r"(?i)(反应|催化|酯化|萃取|scheme|reaction|yield|产率|catalyst|smiles|→|->|>>|℃|°c"
+    r"(?i)(?=[反催酯萃产→℃°>scrypa-])(反应|催化|酯化|萃取|scheme|reaction|yield|产率|catalyst|smiles|→|->|>>|℃|°c"
     r"|substrate|reagent|afford|product \d)"
 )
 INTERESTING_TYPES = ["image", "table", "chart", "equation"]
@@ -70,7 +75,7 @@ def clean(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace from both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def truthy(c: Column) -> Column:

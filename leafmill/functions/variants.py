@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import LAYOUT_SPACES
+
 # Fixed value: keys of a text-bearing object, first present one wins.
 TEXT_KEYS = ["text", "content", "paragraph_content", "title_content", "math_content"]
 # Lists and objects nest this deep in layout output (list of spans of an object).
@@ -20,7 +22,7 @@ def field(v: Column, key: str) -> Column:
 
 def kind(v: Column) -> Column:
     """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, ARRAY or OBJECT."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def text_of(v: Column) -> Column:
@@ -46,7 +48,7 @@ def bind(c: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), lambda x: fn(x)), F.lit(0))
 
 
-_KIND = "regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0)"
+_KIND = "substring_index(substring_index(schema_of_variant({v}), '<', 1), '(', 1)"
 _TRUTHY = (
     "case {kind} when 'STRING' then try_variant_get({v}, '$', 'string') <> ''"
     " when 'ARRAY' then size(try_variant_get({v}, '$', 'array<variant>')) > 0"
@@ -67,7 +69,7 @@ def _text_sql(v: str, depth: int) -> str:
     """SQL of a value's text; ``v`` is a lambda variable. Each level names its own."""
     k, x, e, o = (f"{n}{depth}" for n in "kxeo")
     text = f"try_variant_get({x}, '$', 'string')"
-    cases = [f"when {k} = 'STRING' then nullif(regexp_replace({text}, '(?U)^\\\\s+|\\\\s+$', ''), '')"]
+    cases = [f"when {k} = 'STRING' then nullif(btrim({text}, '{LAYOUT_SPACES}'), '')"]
     if depth > 0:
         inner = _text_sql(e, depth - 1)
         cases.append(

@@ -39,13 +39,13 @@ def item_columns(items: DataFrame, keys: list[str], item: str = "item") -> DataF
 
     sources = F.array(
         V.first_truthy(item, "text", "content", "table_body", "image_caption", "table_caption"),
-        F.try_variant_get(item, "$.content", "variant"),
+        F.when(F.col("type").isin("title", "paragraph"), F.try_variant_get(item, "$.content", "variant")),
         V.first_truthy(item, "image_caption", "table_caption", "code_caption"),
     )
-    typed = items.withColumns(
+    kind = F.coalesce(V.text_of(V.first_truthy(item, "type", "block_type")), F.lit("text"))
+    typed = items.withColumn("type", kind).withColumns(
         {
             "_sources": sources,
-            "type": F.coalesce(V.text_of(V.first_truthy(item, "type", "block_type")), F.lit("text")),
             "image_path": V.text_of(V.first_truthy(item, "img_path", "image_path")),
             "page_no": scalar("page_no", "int"),
             "bbox": scalar("bbox", "array<double>"),
@@ -55,11 +55,10 @@ def item_columns(items: DataFrame, keys: list[str], item: str = "item") -> DataF
             **{c: scalar(c, "string") for c in _AS_GIVEN},
         }
     ).withColumn("_texts", V.join_texts("_sources"))
-    retry = F.col("type").isin("title", "paragraph") & F.get("_texts", F.lit(0)).isNull()
     return typed.select(
         *keys,
         "type",
-        F.when(retry, F.get("_texts", F.lit(1))).otherwise(F.get("_texts", F.lit(0))).alias("body"),
+        F.coalesce(F.get("_texts", F.lit(0)), F.get("_texts", F.lit(1))).alias("body"),
         F.get("_texts", F.lit(2)).alias("caption"),
         *_ITEM_COLUMNS,
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import example_schema as S
 from leafmill.functions import text as X
-from leafmill.functions.ordering import first_per_key
+from leafmill.functions.ordering import filter_here, first_per_key
 from leafmill.schemas import CONDITIONS, MISSING, REACTION_PAYLOAD
 
 # Cuts of stored and fallback text.
@@ -30,14 +30,18 @@ def known_fields(df: DataFrame) -> DataFrame:
     Flat columns, so each pattern runs once per candidate however often its
     result is used. The entry sentence comes before the source's first lines.
     """
-    lines = F.slice(F.filter(F.split("source_text", "\n"), lambda x: x != ""), 1, 3)
+    src = F.col("source_text")
+    lines = F.slice(F.filter(F.split(src, "\n"), lambda x: x != ""), 1, 3)
     head = X.truthy(X.cut(F.array_join(lines, " "), FALLBACK_CUT))
     sentence = F.format_string(X.ENTRY_SENTENCE, F.col("entry_label"), F.col("page_no"))
     return df.withColumns(
         {
             "known_text": F.when(F.col("entry_label") != "", sentence).otherwise(head),
-            "known_smiles": X.first_match(F.col("source_text"), X.SMILES_TOKEN),
-            "known_latex": X.first_match(F.col("source_text"), X.LATEX_SPAN, 0),
+            # Plain substring tests skip the patterns where they cannot match.
+            "known_smiles": F.when(F.contains(src, F.lit(">>")), X.first_match(src, X.SMILES_TOKEN)),
+            "known_latex": F.when(
+                F.contains(src, F.lit("$$")) | F.contains(src, F.lit("\\mathrm{")), X.first_match(src, X.LATEX_SPAN, 0)
+            ),
         }
     )
 
@@ -207,7 +211,7 @@ def keep_reaction(df: DataFrame) -> DataFrame:
         | (text("entry_label") != "")
         | text("payload.reaction_text").rlike(X.CONVERSION_TEXT)
     )
-    return df.filter(keep)
+    return filter_here(df, keep)
 
 
 def evidence_rules(df: DataFrame, yield_text: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions import text as X
 from leafmill.functions.ordering import dense_position
 from leafmill.operators.blocks import item_columns, normalize_blocks
 from leafmill.operators.merge import image_path_rewrite, overlap_keep_first, page_tree_keep_first, rebase_page
@@ -48,7 +49,7 @@ def parse_documents(
         "page_idx",
         F.lit(0).alias("page_no"),
         "type",
-        F.nullif(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), F.lit("")).alias("body"),
+        X.truthy(F.btrim("text", F.lit(X.LAYOUT_SPACES))).alias("body"),
         F.lit(None).cast("string").alias("caption"),
         F.lit(None).cast("string").alias("image_path"),
         "bbox",

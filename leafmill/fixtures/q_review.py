@@ -25,7 +25,7 @@ def _(spark, sf):
 
 
 def _back(spark, path):
-    return spark.read.schema("value string, document_id string").text(path)
+    return spark.read.schema("document_id string, value string").json(path)
 
 
 FIELDS = "document_id, reaction_text, reaction_smiles, catalyst, temperature_c, yield_percent"

@@ -134,16 +134,21 @@ def review_envelope(records: DataFrame, version: str) -> DataFrame:
     )
 
 
-def write_text_export(lines: DataFrame, path: str, value: str = "value") -> None:
-    """Write ordered export lines as text, one folder per document.
+def write_text_export(lines: DataFrame, path: str, value: str = "value", per_document: bool = False) -> None:
+    """Write ordered export lines.
 
     Rows are range-partitioned by (document, created_at, id), so a document's
-    part files read in name order are its file, and a very long document spans
-    several tasks.
+    lines lie in consecutive files in order and a very long document spans
+    several tasks. By default each row is written with its document_id, one set
+    of files for all documents. ``per_document`` makes a folder of plain text per
+    document, for a chosen few: its part files read in name order are its export.
     """
     order = ["document_id", "created_at", "id"]
-    out = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    out.select("document_id", F.col(value).alias("value")).write.mode("overwrite").partitionBy("document_id").text(path)
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("document_id", F.col(value).alias("value"))
+    if per_document:
+        rows.write.mode("overwrite").partitionBy("document_id").text(path)
+    else:
+        rows.write.mode("overwrite").json(path)
 
 
 def write_review(records: DataFrame, documents: DataFrame, version: str, path: str) -> None:

@@ -124,9 +124,10 @@ def union_bbox(blocks: DataFrame) -> DataFrame:
 
 
 # ---- hit test ----------------------------------------------------------------
-GRID = 16
-# A page with more boxes than this is cut into GRID x GRID cells.
-CROWDED = 256
+# A page with more boxes than CROWDED is cut into 16 x 16 cells, one with more than
+# VERY_CROWDED into 64 x 64.
+CROWDED, GRID = 256, 16
+VERY_CROWDED, FINE_GRID = 65_536, 64
 
 
 def hit_union(blocks: DataFrame, reactions: DataFrame, tables: DataFrame) -> DataFrame:
@@ -154,10 +155,14 @@ def hit_union(blocks: DataFrame, reactions: DataFrame, tables: DataFrame) -> Dat
 
 
 def _cell(c: Column) -> Column:
-    return F.least(F.greatest(F.floor(c * GRID), F.lit(0)), F.lit(GRID - 1)).cast("int")
+    """Grid cell of a coordinate; the outer cells reach past the page."""
+    g = F.col("_grid")
+    return F.least(F.greatest(F.floor(c * g), F.lit(0)), g - 1).cast("int")
 
 
-def hit_test(clicks: DataFrame, boxes: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def hit_test(
+    clicks: DataFrame, boxes: DataFrame, crowded: int = CROWDED, very_crowded: int = VERY_CROWDED
+) -> DataFrame:
     """Smallest box containing each click, ties by kind then input order.
 
     Usual pages join on (document, page). On a crowded page boxes are spread over
@@ -170,7 +175,7 @@ def hit_test(clicks: DataFrame, boxes: DataFrame, crowded: int = CROWDED) -> Dat
         boxes.groupBy(*page)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > crowded)
-        .select(*page, F.lit(True).alias("_busy"))
+        .select(*page, F.when(F.col("_n") > very_crowded, FINE_GRID).otherwise(GRID).alias("_grid"))
     )
     b = boxes.join(busy, page, "left").withColumns(
         {
@@ -181,10 +186,10 @@ def hit_test(clicks: DataFrame, boxes: DataFrame, crowded: int = CROWDED) -> Dat
             "_rank": F.struct(G.area(F.col("bbox")).alias("area"), F.col("kind_rank"), F.col("seq")),
         }
     )
-    one = F.array(F.lit(0))
+    one, crowd = F.array(F.lit(0)), F.col("_grid").isNotNull()
 
     def cells(low: str, high: str) -> Column:
-        return F.explode(F.when(F.col("_busy"), F.sequence(_cell(F.col(low)), _cell(F.col(high)))).otherwise(one))
+        return F.explode(F.when(crowd, F.sequence(_cell(F.col(low)), _cell(F.col(high)))).otherwise(one))
 
     spread = (
         b.withColumn("_cx", cells("_l", "_r"))
@@ -192,7 +197,7 @@ def hit_test(clicks: DataFrame, boxes: DataFrame, crowded: int = CROWDED) -> Dat
         .withColumn(
             "_full",
             # Cells strictly between the corner cells lie inside the box.
-            F.coalesce("_busy", F.lit(False))
+            crowd
             & (F.col("_cx") > _cell(F.col("_l")))
             & (F.col("_cx") < _cell(F.col("_r")))
             & (F.col("_cy") > _cell(F.col("_t")))
@@ -211,10 +216,10 @@ def hit_test(clicks: DataFrame, boxes: DataFrame, crowded: int = CROWDED) -> Dat
     )
     targets = partial.unionByName(full.select(*cell, "_best.*"))
     points = clicks.join(busy, page, "left").withColumns(
-        {c: F.when(F.col("_busy"), _cell(F.col(p))).otherwise(F.lit(0)) for c, p in (("_cx", "x"), ("_cy", "y"))}
+        {c: F.when(crowd, _cell(F.col(p))).otherwise(F.lit(0)) for c, p in (("_cx", "x"), ("_cy", "y"))}
     )
     inside = (F.col("x") >= F.col("_l")) & (F.col("x") <= F.col("_r")) & (F.col("y") >= F.col("_t")) & (F.col("y") <= F.col("_b"))
-    pairs = points.drop("_busy").join(targets, cell).filter(inside)
+    pairs = points.drop("_grid").join(targets, cell).filter(inside)
     return (
         pairs.groupBy("click_id")
         .agg(F.min_by(F.struct(*page, "kind", "id", "bbox"), "_rank").alias("h"))

@@ -28,17 +28,20 @@ def build_session(app: str = "leafmill", cores: str = "*", shuffle_partitions: i
     return builder.getOrCreate()
 
 
+_LOCAL_ROOT: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests, a local temporary folder is made and set.
+    unset, as in tests, one local temporary folder per process is made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _LOCAL_ROOT:
+            _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        root = _LOCAL_ROOT[0]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -71,8 +71,8 @@ def hit(page, x, y, boxes):
     return best and (best[1], best[0][2])
 
 
-@pytest.mark.parametrize("crowded", [0, 20, 10_000])
-def test_hit_test_brute_force(spark, crowded):
+@pytest.mark.parametrize(("crowded", "very"), [(0, 1), (20, 200), (10_000, 20_000)])
+def test_hit_test_brute_force(spark, crowded, very):
     rng = random.Random(11)
     boxes = []
     for i in range(600):
@@ -85,7 +85,7 @@ def test_hit_test_brute_force(spark, crowded):
     clicks = [(i, "d", rng.choice([1, 1, 2, 3, 9]), rng.choice([0.0, 0.5, 1.0, rng.random()]), rng.choice([0.0, 0.25, rng.random(), 5.0])) for i in range(800)]
     b = spark.createDataFrame(boxes, "document_id string, page_no int, kind_rank int, kind string, id string, bbox array<double>").withColumn("seq", F.struct("id"))
     c = spark.createDataFrame(clicks, "click_id int, document_id string, page_no int, x double, y double")
-    got = {r.click_id: (r.kind, r.id) for r in V.hit_test(c, b, crowded).collect()}
+    got = {r.click_id: (r.kind, r.id) for r in V.hit_test(c, b, crowded, very).collect()}
     want = {i: hit(p, x, y, boxes) for i, _, p, x, y in clicks}
     assert got == {k: v for k, v in want.items() if v}
 

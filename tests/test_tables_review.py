@@ -122,12 +122,12 @@ def reactions(spark):
 
 def test_json_export_files(spark, tmp_path):
     path = str(tmp_path / "out")
-    R.write_text_export(R.export_json(reactions(spark), include_pending=True), path)
+    R.write_text_export(R.export_json(reactions(spark), include_pending=True), path, per_document=True)
     body = "".join(open(f).read() for f in sorted(glob.glob(f"{path}/document_id=d/part-*")))
     got = json.loads(body)
     assert [x["reaction_text"] for x in got] == ["text 3", "text 2", "text 1", "text 0"]
     assert got[0]["conditions"] == {"catalyst": None, "temperature_c": 3.0, "time_h": None} and got[0]["yield_percent"] is None
-    R.write_text_export(R.export_jsonl(reactions(spark)), str(tmp_path / "lines"))
+    R.write_text_export(R.export_jsonl(reactions(spark)), str(tmp_path / "lines"), per_document=True)
     lines = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/lines/document_id=d/part-*")))
     assert [json.loads(x)["reaction_text"] for x in lines.splitlines()] == ["text 2", "text 1"] and lines.endswith("\n")
 

@@ -10,7 +10,7 @@ from leafmill.functions import geometry as G
 from leafmill.functions import variants as V
 from leafmill.operators import blocks as B
 from leafmill.operators import merge as M
-from leafmill.plans.parse import merged_items, parse_documents
+from leafmill.plans.parse import merged_items, parse_documents, scanned_items
 from leafmill.sources import layout as L
 
 KEYS = ["document_id", "chunk_ord"]
@@ -125,7 +125,7 @@ WHERE cast(document_id AS bigint) % 2 = 1 AND chunk_ord = (SELECT min(chunk_ord)
 def _(spark, sf):
     # Even documents have item lists, so their trees are not read.
     items = D.payloads(spark, sf).filter("cast(document_id as bigint) % 2 = 0")
-    scan = L.page_tree_scan(M.page_tree_keep_first(_tree_pages(spark, sf)), items, KEYS)
+    scan = L.page_tree_scan(M.page_tree_keep_first(L.without_items(_tree_pages(spark, sf), items)), KEYS)
     return scan.select(*KEYS, "page_idx", "reading_order", "type", "text")
 
 
@@ -205,7 +205,7 @@ def _flat_blocks(b):
 
 @query("normalize_blocks", NORMALIZED)
 def _(spark, sf):
-    return _flat_blocks(B.normalize_blocks(merged_items(D.payloads(spark, sf), D.chunks(spark, sf))))
+    return _flat_blocks(B.normalize_blocks(merged_items(scanned_items(D.payloads(spark, sf), D.chunks(spark, sf)))))
 
 
 @query(

@@ -96,7 +96,7 @@ def number_text(x: Column) -> Column:
     """Shortest decimal form of a double: 85.0 prints as 85, 85.5 as 85.5."""
     whole = (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
     plain = F.regexp_replace(x.cast("string"), r"\.0$", "")
-    wide = F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    wide = F.coalesce(F.regexp_replace(x.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", ""), x.cast("string"))
     return (
         F.when(whole, x.cast("bigint").cast("string"))
         .when((F.abs(x) < F.lit(1e-3)) | (F.abs(x) >= F.lit(1e7)), wide)

@@ -94,7 +94,7 @@ def normalize_blocks(items: DataFrame, sizes: DataFrame | None = None) -> DataFr
             G.raw_bbox(F.col("bbox")).alias("bbox"),
             G.normalize_bbox(F.col("bbox"), F.col("page_size")).alias("bbox_norm"),
             "image_path",
-            F.coalesce("own_order", F.col("item_index").cast("int")).alias("reading_order"),
+            F.coalesce("own_order", F.col("item_index").try_cast("int")).alias("reading_order"),
             F.struct(
                 "text_level",
                 "sub_type",

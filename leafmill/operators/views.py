@@ -25,7 +25,7 @@ def blocks_by_page(blocks: DataFrame, document_id: str | None = None, page_no: i
 def json_page(provenance_json: Column) -> Column:
     """Page of a JSON provenance text: page_no, else page, as an integer."""
     value = F.coalesce(F.get_json_object(provenance_json, "$.page_no"), F.get_json_object(provenance_json, "$.page"))
-    return value.try_cast("double").cast("int")
+    return value.try_cast("double").try_cast("int")
 
 
 def json_page_filter(records: DataFrame, page_no: int | None, provenance: str = "provenance_json") -> DataFrame:

@@ -10,20 +10,22 @@ from leafmill.functions.ordering import dense_position
 from leafmill.operators.blocks import item_columns, normalize_blocks
 from leafmill.operators.merge import image_path_rewrite, overlap_keep_first, page_tree_keep_first, rebase_page
 from leafmill.session import materialize
-from leafmill.sources.layout import layout_items_scan, page_sizes, page_tree_scan, tree_pages
+from leafmill.sources.layout import layout_items_scan, page_sizes, page_tree_scan, tree_pages, without_items
 
 
-def merged_items(payloads: DataFrame, chunks: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """Typed items of completed windows with global pages, overlaps removed.
+def scanned_items(payloads: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Typed items of completed windows with global pages, written once.
 
-    ``payloads`` has document_id, chunk_ord, payload (JSON text). item_index is
-    the item's position in the merged document.
+    ``payloads`` has document_id, chunk_ord, payload (JSON text). The JSON is
+    parsed here only; page ownership and positions later read key columns.
     """
-    completed = chunks.filter("status = 'completed'")
-    scanned = rebase_page(layout_items_scan(payloads, ["document_id", "chunk_ord"]), completed)
-    # The JSON is parsed once; page ownership and positions then read key columns only.
-    typed = materialize(item_columns(scanned, ["document_id", "chunk_ord", "chunk_id", "pos", "page_idx"]), "layout-items")
-    kept = overlap_keep_first(typed)
+    rows = rebase_page(layout_items_scan(payloads, ["document_id", "chunk_ord"]), chunks.filter("status = 'completed'"))
+    return materialize(item_columns(rows, ["document_id", "chunk_ord", "chunk_id", "pos", "page_idx"]), "layout-items")
+
+
+def merged_items(scanned: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Items with overlaps removed; item_index is the position in the merged document."""
+    kept = overlap_keep_first(scanned)
     if images is not None:
         kept = image_path_rewrite(kept, images)
     return dense_position(kept, ["document_id"], "chunk_ord", "pos", [], "item_index")
@@ -37,13 +39,16 @@ def parse_documents(
     supplied_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Blocks of every document; page trees give sizes and stand in where a document has no items."""
-    items = merged_items(payloads, chunks, images)
+    scanned = scanned_items(payloads, chunks)
+    items = merged_items(scanned, images)
     if trees is None:
         return normalize_blocks(items, supplied_sizes)
-    completed = chunks.filter("status = 'completed'")
-    pages = page_tree_keep_first(rebase_page(tree_pages(trees, ["document_id", "chunk_ord"]), completed))
-    sizes = page_sizes(pages, supplied_sizes)
-    fallback = page_tree_scan(pages, items, ["document_id", "chunk_ord"])
+    keys = ["document_id", "chunk_ord"]
+    tree = rebase_page(tree_pages(trees, keys), chunks.filter("status = 'completed'"))
+    # Sizes travel without the page's blocks; blocks travel for lonely documents only.
+    size_only = tree.withColumn("page", F.struct(F.col("page.page_size").alias("page_size")))
+    sizes = page_sizes(page_tree_keep_first(size_only), supplied_sizes)
+    fallback = page_tree_scan(page_tree_keep_first(without_items(tree, scanned)), keys)
     stand_in = fallback.select(
         "document_id",
         "page_idx",

@@ -69,17 +69,21 @@ def tree_pages(trees: DataFrame, keys: list[str], pages: str = "pages") -> DataF
     )
 
 
-def page_tree_scan(pages: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """Items read from page trees, only for documents without a flat item list.
+def without_items(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """Tree pages of documents that have no flat item list."""
+    return pages.join(items.select("document_id").distinct(), "document_id", "left_anti")
 
-    ``pages`` has keys, pos, page_idx, page. Reading order is the block's index
-    in its page; text is the spans' contents joined without a separator.
+
+def page_tree_scan(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Items read from page-tree entries (keys, pos, page_idx, page).
+
+    Reading order is the block's index in its page; text is the spans' contents
+    joined without a separator.
     """
-    lonely = pages.join(items.select("document_id").distinct(), "document_id", "left_anti")
     blocks = F.when(F.size("page.para_blocks") > 0, F.col("page.para_blocks")).otherwise(F.col("page.preproc_blocks"))
     spans = F.flatten(F.transform(F.col("b.lines"), lambda ln: F.coalesce(ln["spans"], F.array().cast(f"array<{SPAN}>"))))
     text = F.array_join(F.filter(F.transform(spans, lambda s: s["content"]), lambda x: x.isNotNull() & (x != "")), "")
-    return lonely.select(*keys, "pos", "page_idx", "page", F.posexplode(blocks).alias("reading_order", "b")).select(
+    return pages.select(*keys, "pos", "page_idx", "page", F.posexplode(blocks).alias("reading_order", "b")).select(
         *keys,
         F.col("pos").alias("page_pos"),
         "page_idx",

@@ -32,6 +32,18 @@ def fold_run_events(events: DataFrame) -> DataFrame:
     )
 
 
+def current_runs(runs: DataFrame, folded: DataFrame) -> DataFrame:
+    """Stored runs with their folded state; a run without events keeps its own columns.
+
+    ``runs`` has run_id, status, stage, progress, updated_at; a new run starts as
+    running, queued, 0.
+    """
+    fields = ["status", "stage", "progress", "updated_at"]
+    f = folded.select("run_id", *[F.col(c).alias(f"f_{c}") for c in fields])
+    out = runs.join(f, "run_id", "left")
+    return out.withColumns({c: F.coalesce(f"f_{c}", c) for c in fields}).drop(*[f"f_{c}" for c in fields])
+
+
 def event_append(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of events to the Parquet log."""
     return (

@@ -12,7 +12,7 @@ from leafmill.functions import variants as V
 from leafmill.operators import blocks as B
 from leafmill.operators import merge as M
 from leafmill.operators import windows as W
-from leafmill.plans.parse import merged_items, parse_documents
+from leafmill.plans.parse import merged_items, parse_documents, scanned_items
 from leafmill.sources import layout as L
 
 MB = 1024 * 1024
@@ -200,7 +200,7 @@ def test_merged_index_is_document_wide(spark):
     chunks = chunk_rows(spark, [0, 2])
     rows = [("d", 1, items_json([("a", 0), ("a", 1), ("a", 2)])), ("d", 2, items_json([("b", 0), ("b", 1)]))]
     df = spark.createDataFrame(rows, "document_id string, chunk_ord int, payload string")
-    got = sorted((r.item_index, r.body) for r in merged_items(df, chunks).collect())
+    got = sorted((r.item_index, r.body) for r in merged_items(scanned_items(df, chunks)).collect())
     assert got == [(0, "a p0"), (1, "a p1"), (2, "a p2"), (3, "b p1")]
 
 

@@ -163,10 +163,10 @@ def test_yield_evidence(spark, share, source, want, why):
 
 
 def test_number_text(spark):
-    values = [85.0, 85.5, 0.5, 1e7, 12345678.25, 0.0001, 1e-05, -3.0, 100.0]
+    values = [85.0, 85.5, 0.5, 1e7, 12345678.25, 0.0001, 1e-05, -3.0, 100.0, 1e300]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r.t for r in df.select(X.number_text(F.col("x")).alias("t")).collect()]
-    assert got == ["85", "85.5", "0.5", "10000000", "12345678.25", "0.0001", "0.00001", "-3", "100"]
+    assert got == ["85", "85.5", "0.5", "10000000", "12345678.25", "0.0001", "0.00001", "-3", "100", "1.0E300"]
 
 
 def test_participants(spark):

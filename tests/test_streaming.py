@@ -80,3 +80,12 @@ def test_chunk_progress_stream(spark, tmp_path):
     got = SC.progress(spark, out).first()
     want = chunk_summary(spark.createDataFrame([("d", 1, "completed"), ("d", 2, "failed")], "document_id string, chunk_ord int, status string")).first()
     assert got == want and got.overall == "chunks_done"
+
+
+def test_current_runs(spark):
+    runs = spark.createDataFrame([("x",), ("new",)], "run_id string").selectExpr(
+        "run_id", "'doc' as document_id", "'running' as status", "'queued' as stage", "0.0D as progress", "timestamp_seconds(0) as updated_at"
+    )
+    got = {r.run_id: r for r in SN.current_runs(runs, SN.fold_run_events(events(spark, EVENTS))).collect()}
+    assert (got["x"].stage, got["x"].progress) == ("b", 0.2)
+    assert (got["new"].stage, got["new"].progress, got["new"].status) == ("queued", 0.0, "running")

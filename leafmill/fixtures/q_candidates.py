@@ -9,6 +9,7 @@ from leafmill.fixtures.q_views import HINT
 from leafmill.fixtures.registry import query, view
 from leafmill.operators import candidates as K
 from leafmill.operators import views as V
+from leafmill.session import materialize
 
 # One row per page: whole text, and the text, boxes and images of its interesting blocks.
 view(
@@ -97,4 +98,4 @@ def _(spark, sf):
 )
 def _(spark, sf):
     c = K.reaction_candidates(D.entry_blocks(spark, sf)).select("document_id", "page_no", "entry_no")
-    return K.candidate_index(c)
+    return K.candidate_index(materialize(c, "candidates"))

@@ -111,14 +111,13 @@ def _choose_value(d: DataFrame) -> DataFrame:
 
     def present(c: str) -> Column:
         # A JSON null answer is as good as none.
-        return F.col(c).isNotNull() & ~F.is_variant_null(c)
+        return F.when(~F.is_variant_null(c), F.col(c))
 
-    d = d.withColumns(
-        {
-            "_c1": F.when(present("answer"), S.validate(schema, F.col("answer"))),
-            "_c2": F.when(present("repair"), S.validate(schema, F.col("repair"))),
-        }
+    # One check expression serves both answers.
+    checks = F.transform(
+        F.array(present("answer"), present("repair")), lambda v: F.when(v.isNotNull(), S.validate(schema, v))
     )
+    d = d.withColumn("_c", checks).withColumns({"_c1": F.get("_c", F.lit(0)), "_c2": F.get("_c", F.lit(1))}).drop("_c")
     ok1 = F.size("_c1.errors") == 0
     use2 = F.col("_c1").isNotNull() & F.col("_c2").isNotNull() & ~ok1
     d = d.withColumn(

@@ -139,10 +139,10 @@ def _(spark, sf):
 @query(
     "update_document",
     """
-SELECT id, filename, page_count, sha256, created_at,
+SELECT id, filename, page_count, sha256, cast(epoch(created_at) AS bigint) AS created_s,
   CASE WHEN page_count % 3 = 0 THEN 'completed' ELSE parse_status END AS parse_status,
   CASE WHEN page_count % 3 = 0 AND page_count % 2 = 0 THEN NULL ELSE parse_error END AS parse_error,
-  CASE WHEN page_count % 3 = 0 THEN make_timestamp(1735689600000000) ELSE updated_at END AS updated_at
+  CASE WHEN page_count % 3 = 0 THEN 1735689600 ELSE cast(epoch(updated_at) AS bigint) END AS updated_s
 FROM documents_cat
 """,
 )
@@ -150,7 +150,8 @@ def _(spark, sf):
     docs = D.documents_cat(spark, sf)
     patches = docs.filter("page_count % 3 = 0").selectExpr("id", "'completed' as parse_status", "page_count % 2 = 0 as clear_error")
     out = C.update_document(docs, patches, F.timestamp_seconds(F.lit(1735689600)))
-    return out.select("id", "filename", "page_count", "sha256", "created_at", "parse_status", "parse_error", "updated_at")
+    times = [F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s")]
+    return out.select("id", "filename", "page_count", "sha256", "parse_status", "parse_error", *times)
 
 
 def _runs(spark, sf):

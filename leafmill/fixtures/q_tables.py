@@ -123,10 +123,10 @@ def _(spark, sf):
     "upsert_table_records",
     """
 SELECT id, document_id, table_id, CASE WHEN c_custkey % 3 = 0 THEN 'again' ELSE table_title END AS table_title,
-  CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'approved' ELSE 'pending' END ELSE review_status END AS review_status, created_at,
-  CASE WHEN c_custkey % 3 = 0 THEN make_timestamp(1735689600000000) ELSE created_at END AS updated_at FROM table_records
+  CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'approved' ELSE 'pending' END ELSE review_status END AS review_status, cast(epoch(created_at) AS bigint) AS created_s,
+  CASE WHEN c_custkey % 3 = 0 THEN 1735689600 ELSE cast(epoch(created_at) AS bigint) END AS updated_s FROM table_records
 UNION ALL
-SELECT concat('n', c_custkey), document_id, concat(table_id, 'x'), 'again', CASE WHEN c_custkey % 2 = 0 THEN 'approved' ELSE 'pending' END, make_timestamp(1735689600000000), make_timestamp(1735689600000000)
+SELECT concat('n', c_custkey), document_id, concat(table_id, 'x'), 'again', CASE WHEN c_custkey % 2 = 0 THEN 'approved' ELSE 'pending' END, 1735689600, 1735689600
 FROM table_records WHERE c_custkey % 5 = 0
 """,
 )
@@ -139,4 +139,4 @@ def _(spark, sf):
     again = base.filter("k % 3 = 0").withColumn("id", F.concat(F.lit("n"), "k"))
     fresh = base.filter("k % 5 = 0").withColumns({"id": F.concat(F.lit("n"), "k"), "table_id": F.concat("table_id", F.lit("x"))})
     out = H.upsert_table_records(t, again.unionByName(fresh))
-    return out.select("id", "document_id", "table_id", "payload.table_title", "review_status", "created_at", "updated_at")
+    return out.select("id", "document_id", "table_id", "payload.table_title", "review_status", F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s"))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import bpe
+from leafmill.llm import bpe, mixing, order_minhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +39,39 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN,
         outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
     )
+
+
+@query(
+    "op4_norm_topk",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT::DOUBLE) AS e
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+        WHERE q.vec_id % 100 = 0
+    )
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM scored
+    QUALIFY rank <= 10
+    """,
+)
+def op4_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector among all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op6_order_minhash")
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-sensitive fingerprints of every text and its edited form."""
+    return order_minhash.edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_temperature_mix")
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most even mixture of sources that repeats no source more than twice, by document and epoch."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
+    return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_weight").alias("weight"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, mixing, order_minhash, topk
+from leafmill.llm import bpe, context_tree, mixing, order_minhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +75,9 @@ def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most even mixture of sources that repeats no source more than twice, by document and epoch."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), max_repeats=2.0)
     return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_weight").alias("weight"))
+
+
+@query("op9_context_tree")
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by context-tree weighting and by word frequencies, learnt from four folds of five."""
+    return context_tree.score(table(spark, sf_dir, "documents"))

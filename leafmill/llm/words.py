@@ -123,13 +123,13 @@ def window_sums(hashes: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about CHUNK_BYTES of text each; a text is never cut."""
+def chunks(batches: Iterator[pa.RecordBatch], text_col: str, size_of: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size_of`` bytes of text each; a text is never cut."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             done = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, done + CHUNK_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(size, done + size_of, "right")))
             yield batch.slice(at, to - at)
             at = to

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, context_tree, mixing, order_minhash, topk
+from leafmill.llm import bpe, context_tree, importance, mixing, order_minhash, pii, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,16 @@ def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by context-tree weighting and by word frequencies, learnt from four folds of five."""
     return context_tree.score(table(spark, sf_dir, "documents"))
+
+
+@query("op3_importance")
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight, its noisy key, and whether resampling keeps it."""
+    _, least, weights = importance.decide(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return weights.withColumn("kept", F.col("gumbel_key") >= least)
+
+
+@query("op5_field_pii")
+def op5_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts by pattern, a digest of the pattern spans, and all spans."""
+    return pii.find(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, context_tree, importance, mixing, order_minhash, pii, topk
+from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, pii, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,9 @@ def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts by pattern, a digest of the pattern spans, and all spans."""
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op2_count_vector_join")
+def op2_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates: four-word shingles, similarity 0.85."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, share=85)

@@ -12,10 +12,10 @@ band below as well.
 A bucket's members are points of an R-tree: coordinate i counts the member's shingles
 in the i-th of COORDINATES equal hash ranges. The sum of coordinate minima bounds the
 overlap, of two points or of a point and a node's upper corner; pairs that the bound
-lets through are verified on the sets themselves. First each bucket's least member is
-compared with the others, and links join documents to components. Then buckets that
-still hold several components search their R-trees for pairs across components, large
-buckets in blocks of members. Pairs inside one component need no test, so a group of
+lets through are verified on the sets themselves. First each document is compared with
+the least member of its buckets, and links join documents to components. Then buckets
+that still hold several components search their R-trees for pairs across components,
+large buckets in blocks of members. Pairs inside one component need no test, so a group of
 thousands of near copies costs about one test for each.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
@@ -212,6 +212,19 @@ def _across(share: int):
     return task
 
 
+def _bounded(share: int):
+    """Pairs whose sum of coordinate minima does not rule the similarity out."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, COORDINATES).astype(np.int64) for c in ("point_a", "point_b"))
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            fit = pa.array(np.minimum(p, q).sum(1) * (100 + share) >= share * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(fit) for c in "ab"], names=["a", "b"])
+
+    return task
+
+
 def _sets(width: int):
     """Sets of the wanted classes' representatives."""
 
@@ -264,16 +277,18 @@ def link(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id
     facts = materialize(texts.mapInArrow(_facts(width), f"id {id_type}, n long, s long, point binary"), "jaccard-facts")
     posted = texts.select("text").mapInArrow(_postings(width, share), "key long, s long")
     buckets = materialize(posted.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_stars, "key long, s long, least long, size long"), "jaccard-buckets")
-    stars = materialize(buckets.where("s <> least").select(F.col("least").alias("a"), F.col("s").alias("b")).distinct(), "jaccard-stars")
-    wanted = stars.select(F.col("a").alias("s")).union(stars.select(F.col("b").alias("s"))).distinct()
+    # Every class of a bucket first meets the least class of any of its buckets.
+    stars = materialize(buckets.where("s <> least").groupBy(F.col("s").alias("b")).agg(F.min("least").alias("a")).select("a", "b"), "jaccard-stars")
+    wanted = buckets.select("s").distinct()
     classes = facts.where("s is not null").groupBy("s").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("point").alias("point"))
     known = materialize(classes.join(wanted, "s"), "jaccard-classes")
     chosen = texts.join(known.select(F.col("id").alias("want"), "s"), F.col("id").eqNullSafe(F.col("want"))).select("s", "text")
-    sets = materialize(chosen.mapInArrow(_sets(width), "s long, shingles binary").dropDuplicates(["s"]), "jaccard-sets")
-    links = materialize(verified(stars, sets, share), "jaccard-links")
+    sets = materialize(chosen.mapInArrow(_sets(width), "s long, shingles binary"), "jaccard-sets")
+    ends = [known.select(F.col("s").alias(e), F.col("n").alias(f"n_{e}"), F.col("point").alias(f"point_{e}")) for e in "ab"]
+    near = stars.join(ends[0], "a").join(ends[1], "b").mapInArrow(_bounded(share), "a long, b long")
+    links = materialize(verified(near, sets, share), "jaccard-links")
     labels = components(links)
-    # Buckets of two are settled; a bucket's least member has met all others.
-    open_ = buckets.where("size > 2 and s <> least").select("key", "s").join(labels, F.col("s") == labels["node"], "left").select("key", "s", F.coalesce("label", "s").alias("label"))
+    open_ = buckets.select("key", "s").join(labels, F.col("s") == labels["node"], "left").select("key", "s", F.coalesce("label", "s").alias("label"))
     mixed = open_.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     parts = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
     rows = (
@@ -284,7 +299,8 @@ def link(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id
         .select("key", F.least("mine", "with").alias("block"), F.greatest("mine", "with").alias("other"), "mine", "s", "label", "n", "point")
     )
     found = rows.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other").mapInArrow(_across(share), "a long, b long")
-    across = materialize(found.distinct(), "jaccard-across")
+    met = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = materialize(found.distinct().join(met, ["a", "b"], "left_anti"), "jaccard-across")
     more = verified(across, sets, share)
     return facts.drop("point"), components(links.unionByName(materialize(more, "jaccard-more")))
 

@@ -38,7 +38,8 @@ from leafmill.llm.graph import components
 from leafmill.llm.words import chunks, mix, powers, runs, split_words
 from leafmill.session import materialize
 
-COORDINATES = 64
+COORDINATES = 512
+COARSE = 64
 LEAF = 32
 BLOCK_MEMBERS = 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -69,7 +70,15 @@ def set_hash(shingles: np.ndarray) -> int:
 
 
 def point(shingles: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=COORDINATES), 2**31 - 1).astype(np.int32).tobytes()
+    counts = np.bincount((shingles >> np.uint64(64 - 9)).astype(np.int64), minlength=COORDINATES)
+    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+
+
+def points_of(column: pa.Array) -> np.ndarray:
+    """Points as a matrix; a count that filled its two bytes bounds nothing."""
+    out = np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES).astype(np.int32)
+    out[out == 65535] = 2**30 // COORDINATES
+    return out
 
 
 def postings(shingles: np.ndarray, share: int) -> list[int]:
@@ -166,26 +175,35 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class RTree:
-    """Points packed by size into leaves, leaves into nodes; a node keeps its upper corner and least size."""
+    """Points packed by size into leaves; a leaf keeps its upper corner and least size.
+
+    Leaves and points are first judged on COARSE sums of neighbouring coordinates,
+    then the points that are left on all coordinates.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.order = np.lexsort((points.argmax(1), sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
+        self.coarse = coarse(self.points)
         first = np.arange(0, len(sizes), LEAF)
-        self.corner = np.maximum.reduceat(self.points, first, 0)
+        self.corner = np.maximum.reduceat(self.coarse, first, 0)
         self.least = self.sizes[first]
 
-    def search(self, q: np.ndarray, n: int, share: int) -> np.ndarray:
+    def search(self, q: np.ndarray, rough: np.ndarray, n: int, share: int) -> np.ndarray:
         """Places of the points whose overlap bound with q reaches the similarity."""
         # share <= 100 * overlap / (n + m - overlap), in whole numbers.
         fits = lambda bound, m: bound * (100 + share) >= share * (n + m)
-        leaves = np.flatnonzero(fits(np.minimum(self.corner, q).sum(1), self.least))
+        leaves = np.flatnonzero(fits(np.minimum(self.corner, rough).sum(1), self.least))
         if not len(leaves):
             return leaves
         at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = at[at < len(self.sizes)]
-        at = at[fits(np.minimum(self.points[at], q).sum(1), self.sizes[at])]
-        return self.order[at]
+        at = at[fits(np.minimum(self.coarse[at], rough).sum(1), self.sizes[at])]
+        return self.order[at[fits(np.minimum(self.points[at], q).sum(1), self.sizes[at])]]
+
+
+def coarse(points: np.ndarray) -> np.ndarray:
+    return points.reshape(len(points), COARSE, -1).sum(2)
 
 
 def _across(share: int):
@@ -194,7 +212,8 @@ def _across(share: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _grouped(batches, ["key", "block", "other"]):
             key, block, other, mine, s, label, n = (batch.column(c).to_numpy() for c in ("key", "block", "other", "mine", "s", "label", "n"))
-            points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int32).reshape(-1, COORDINATES).astype(np.int64)
+            points = points_of(batch.column("point"))
+            rough = coarse(points)
             found: set[tuple[int, int]] = set()
             bounds = np.append(_starts(key, block, other), len(key))
             for b, e in zip(bounds[:-1], bounds[1:], strict=True):
@@ -204,9 +223,9 @@ def _across(share: int):
                     continue
                 tree = RTree(points[right], n[right])
                 for i in left:
-                    for j in right[tree.search(points[i], n[i], share)]:
-                        if label[i] != label[j]:
-                            found.add((min(s[i], s[j]), max(s[i], s[j])))
+                    at = right[tree.search(points[i], rough[i], n[i], share)]
+                    for x in s[at[label[at] != label[i]]].tolist():
+                        found.add((min(s[i], x), max(s[i], x)))
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return task
@@ -217,7 +236,7 @@ def _bounded(share: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, COORDINATES).astype(np.int64) for c in ("point_a", "point_b"))
+            p, q = points_of(batch.column("point_a")), points_of(batch.column("point_b"))
             sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             fit = pa.array(np.minimum(p, q).sum(1) * (100 + share) >= share * sizes)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(fit) for c in "ab"], names=["a", "b"])

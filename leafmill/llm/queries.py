@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, pii, topk
+from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, pii, substring_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,9 @@ def op5_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates: four-word shingles, similarity 0.85."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), width=4, share=85)
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that start anywhere else too."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=35)

@@ -12,8 +12,8 @@ band below as well.
 A bucket's members are points of an R-tree: coordinate i counts the member's shingles
 in the i-th of COORDINATES equal hash ranges. The sum of coordinate minima bounds the
 overlap, of two points or of a point and a node's upper corner; pairs that the bound
-lets through are verified on the sets themselves. First each document is compared with
-the least member of its buckets, and links join documents to components. Then buckets
+lets through are verified on the sets themselves. In each of some rounds a document is
+compared with the least member of one of its buckets, and links join components. Then buckets
 that still hold several components search their R-trees for pairs across components,
 large buckets in blocks of members. Pairs inside one component need no test, so a group of
 thousands of near copies costs about one test for each.
@@ -42,6 +42,7 @@ COORDINATES = 512
 COARSE = 64
 LEAF = 32
 BLOCK_MEMBERS = 512
+ROUNDS = 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -296,17 +297,26 @@ def link(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id
     facts = materialize(texts.mapInArrow(_facts(width), f"id {id_type}, n long, s long, point binary"), "jaccard-facts")
     posted = texts.select("text").mapInArrow(_postings(width, share), "key long, s long")
     buckets = materialize(posted.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_stars, "key long, s long, least long, size long"), "jaccard-buckets")
-    # Every class of a bucket first meets the least class of any of its buckets.
-    stars = materialize(buckets.where("s <> least").groupBy(F.col("s").alias("b")).agg(F.min("least").alias("a")).select("a", "b"), "jaccard-stars")
     wanted = buckets.select("s").distinct()
     classes = facts.where("s is not null").groupBy("s").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("point").alias("point"))
     known = materialize(classes.join(wanted, "s"), "jaccard-classes")
     chosen = texts.join(known.select(F.col("id").alias("want"), "s"), F.col("id").eqNullSafe(F.col("want"))).select("s", "text")
     sets = materialize(chosen.mapInArrow(_sets(width), "s long, shingles binary"), "jaccard-sets")
     ends = [known.select(F.col("s").alias(e), F.col("n").alias(f"n_{e}"), F.col("point").alias(f"point_{e}")) for e in "ab"]
-    near = stars.join(ends[0], "a").join(ends[1], "b").mapInArrow(_bounded(share), "a long, b long")
-    links = materialize(verified(near, sets, share), "jaccard-links")
-    labels = components(links)
+    # Some rounds of one comparison a class: with the least class of one of its buckets,
+    # drawn by hash among those of other components.
+    links = known.limit(0).select(F.col("s").alias("a"), F.col("s").alias("b"))
+    labels = known.limit(0).select(F.col("s").alias("node"), F.col("s").alias("label"))
+    met = links
+    for turn in range(ROUNDS):
+        one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("s", "least"))
+        open_pairs = buckets.where("s <> least").select("s", "least").join(one, "s", "left").join(two, "least", "left")
+        open_pairs = open_pairs.where(F.coalesce("label_s", "s") != F.coalesce("label_least", "least"))
+        stars = materialize(open_pairs.groupBy(F.col("s").alias("b")).agg(F.min_by("least", F.xxhash64("s", "least", F.lit(turn))).alias("a")).select("a", "b"), "jaccard-stars")
+        met = met.unionByName(stars)
+        near = stars.join(ends[0], "a").join(ends[1], "b").mapInArrow(_bounded(share), "a long, b long")
+        links = links.unionByName(materialize(verified(near, sets, share), "jaccard-links"))
+        labels = components(links)
     open_ = buckets.select("key", "s").join(labels, F.col("s") == labels["node"], "left").select("key", "s", F.coalesce("label", "s").alias("label"))
     mixed = open_.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     parts = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
@@ -318,7 +328,6 @@ def link(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id
         .select("key", F.least("mine", "with").alias("block"), F.greatest("mine", "with").alias("other"), "mine", "s", "label", "n", "point")
     )
     found = rows.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other").mapInArrow(_across(share), "a long, b long")
-    met = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = materialize(found.distinct().join(met, ["a", "b"], "left_anti"), "jaccard-across")
     more = verified(across, sets, share)
     return facts.drop("point"), components(links.unionByName(materialize(more, "jaccard-more")))

@@ -347,11 +347,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: st
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without near duplicates: of each component the row with the least id stays.
 
-    Of repeated rows with that id one stays; rows without shingles stay.
+    Of rows that repeat id and text one stays; rows without shingles or without id stay.
     """
     groups = near_duplicates(docs, width, share, id_col, text_col)
     gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
     rest = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
-    return rest.dropDuplicates()
+    return rest.dropDuplicates([id_col, text_col])
 
 

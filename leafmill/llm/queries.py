@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, pii, substring_dedup, topk
+from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, page_text, pii, substring_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,9 @@ def op2_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 35-word windows that start anywhere else too."""
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=35)
+
+
+@query("op8_page_lstm")
+def op8_page_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_text.extract(table(spark, sf_dir, "pages"))

@@ -1,0 +1,308 @@
+"""Operators against brute force, and their defined results on odd rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, page_text, pii, substring_dedup, topk
+from leafmill.llm.words import split_words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id long, text string, source string, n long, s long, id string"
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def corpus(seed=3, n=60):
+    """Small documents with copies, near copies, shared passages, and odd rows."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(300)]
+    say = lambda k: rng.choices(words, k=k)
+    passage = say(50)
+    texts = []
+    for i in range(n):
+        t = say(rng.choice([3, 20, 60, 150]))
+        if i % 5 == 0:
+            t = t[:7] + passage + t[7:]
+        if i % 7 == 0 and texts:
+            t = texts[rng.randrange(len(texts))].split()
+            if i % 14 == 0 and len(t) > 30:
+                t[len(t) // 2] = "edited"
+        texts.append(rng.choice([" ", "  ", "\n"]).join(t))
+    texts += [None, "", "  \t\n", "one", "x" * 3000, "\x00 nul", "Aa aA AA", "the end " * 200]
+    return [(i, t, f"s{i % 3}" if i % 11 else None, i, 2, "extra") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_bpe_equals_the_library_and_round_trips(docs, rows, nothing):
+    ranks = {b: i for i, b in bpe.read_ranks(RANKS)}
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    for i, t, *_ in rows:
+        want = whole.encode_ordinary(t or "")
+        assert got[i].ids == want and got[i].n_tokens == len(want)
+        assert bytes(got[i].decoded) == (t or "").encode()
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+    encoded = bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN, outputs=("ids",))
+    back = {r.doc_id: bytes(r.decoded) for r in bpe.bpe_decode(encoded, RANKS).collect()}
+    assert back == {i: (t or "").encode() for i, t, *_ in rows}
+    assert bpe.bpe_encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_on_random_characters():
+    machine = bpe.Contractor(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=machine.whole, special_tokens={})
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab \n\t'sté漢 \x85\x1c12٣!?😀  re", k=rng.randrange(50))) for _ in range(300)]
+    texts += ["".join(rng.choices("etaoin", k=3000)), "a" * 5000]
+    assert machine.documents(texts, ("ids",))["ids"] == [whole.encode_ordinary(t) for t in texts]
+
+
+def brute_components(rows, width, share):
+    sets, parent = {}, {}
+    for i, t, *_ in rows:
+        w = WORD.findall(lower(t or ""))
+        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+        parent[i] = i
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= share * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_jaccard_components(docs, rows, nothing):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
+    kept = {r.doc_id for r in jaccard.keep_one(docs, 5, 80).collect()}
+    assert kept == {i for i, (_, c) in brute_components(rows, 5, 80).items() if i == c}
+    assert jaccard.near_duplicates(nothing).count() == 0
+
+
+def test_jaccard_postings_meet():
+    """Sets at the threshold always share a posting, at every size."""
+    rng = np.random.default_rng(1)
+    for n in [*range(1, 70), 127, 128, 150, 300, 1000]:
+        for share in (80, 85):
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            swap = 0
+            while 100 * (n - swap - 1) >= share * (n + swap + 1):
+                swap += 1
+            for b in (np.concatenate([a[swap:], rng.integers(0, 2**64, swap, np.uint64)]), a[: -(-n * share // 100)]):
+                assert set(jaccard.postings(a, share)) & set(jaccard.postings(np.unique(b), share)), (n, share)
+
+
+def test_topk_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors = {i: (rng.standard_normal(8) * rng.choice([0.1, 1, 5])).astype(np.float32).tolist() for i in range(300)}
+    for i in range(40, 60):
+        vectors[i] = vectors[0]  # ties
+    vectors |= {300: None, 301: [1.0] * 7 + [None], 302: [float("nan")] * 8, 303: [float("inf")] * 8, 304: [0.0] * 8, 305: [1.0, 2.0]}
+    df = spark.createDataFrame([(i, v, 1) for i, v in vectors.items()], "vec_id long, embedding array<float>, score int")
+    got = [tuple(r) for r in topk.top_k(df, "vec_id % 100 = 0", 10).collect()]
+    ints = {i: [int(np.floor(1024 * float(x))) for x in v] for i, v in vectors.items() if v and None not in v and np.isfinite(v).all()}
+    want = []
+    for q in (i for i in ints if i % 100 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], c, strict=True)), i) for i, c in ints.items() if i != q and len(c) == len(ints[q]))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:10])]
+    assert sorted(got) == sorted(want)
+    assert topk.top_k(df.limit(0), "vec_id % 100 = 0").count() == 0
+
+
+def test_order_minhash_edits(docs, rows, nothing):
+    got = {r.doc_id: r for r in order_minhash.edit_report(docs).collect()}
+    texts = [t or "" for _, t, *_ in rows]
+    prints = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        q = len(t) // 4
+        following = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - q] + following[:q]
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        prints[" ".join(t.split())].add(r.fingerprint)
+        prints[" ".join(edited.split())].add(r.edited_fingerprint)
+        share = lambda a, b: sum(a[k : k + 8] == b[k : k + 8] for k in range(0, len(a), 8)) / (len(a) // 8)
+        assert r.near_edited == pytest.approx(share(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(share(r.fingerprint, got[(i + 1) % len(texts)].fingerprint))
+    assert all(len(v) == 1 for v in prints.values())
+    assert order_minhash.edit_report(nothing).count() == 0
+
+
+def test_mixing_respects_weights(docs, rows, nothing):
+    total, weights = mixing.mixture([100, 300, 600], 1000, None, 1.0)
+    assert mixing.entropy(weights) == pytest.approx(1.0, abs=1e-6)
+    words = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
+    by_source = collections.Counter()
+    for i, _, s, *_ in rows:
+        by_source[s] += words[i]
+    mixed = mixing.mix(docs, max_repeats=2.0).collect()
+    taken, used = collections.Counter(), collections.Counter()
+    for r in mixed:
+        taken[r.doc_id] += 1
+        used[r.source] += r.mix_tokens
+    budget = sum(by_source.values())
+    for s, own in by_source.items():
+        weight = next(r.mix_weight for r in mixed if r.source == s)
+        assert used[s] <= weight * budget + 1e-6
+        assert used[s] >= weight * budget - max(words[i] for i, _, x, *_ in rows if x == s) - 4096
+        assert weight * budget <= 2 * own + 1e-6
+    assert max(taken.values()) <= 2
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_pii_patterns_and_field(spark, docs, nothing):
+    text = "Mail a.b@c.d.e or x@y no. IP 1.2.3.4 and 300.1.1.1, card 4111 1111 1111 1111 or 4111 1111 1111 1112; +1 (017) 555-7713 é token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" end"
+    spans = pii.base_spans(text)
+    assert [(k, text[s:e]) for k, s, e in spans] == [("email", "a.b@c.d.e"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (017) 555-7713")]
+    assert pii.emails("a@b.c@d.e @x.y ..@-.-") == [(0, 5), (15, 21)]
+    df = spark.createDataFrame([(1, text, 5, "k"), (2, None, None, None)], "doc_id long, text string, n_chars long, spans string")
+    found = {r.doc_id: r for r in pii.find(df).collect()}
+    k, s, e = next(x for x in found[1].spans.split(",") if x.startswith("secret")).split(":")
+    assert (k, text[int(s) : int(e)]) == ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")
+    assert found[2].base_sha256 == hashlib.sha256(b"").hexdigest() and found[2].spans == ""
+    masked = {r.doc_id: r for r in pii.mask(df).collect()}
+    assert masked[1].text.startswith("Mail <email> or x@y") and masked[1].n_chars == len(masked[1].text) and masked[2].text is None
+    assert pii.find(docs).count() == docs.count() and pii.find(nothing).count() == 0
+
+
+def test_field_fits_its_table():
+    texts, labels = pii.labelled()
+    words = split_words(texts)
+    field = pii.train()
+    heads = pii.chains(words)
+    got = field.decode(field.emissions(pii.features(words), heads), heads)
+    assert (got == np.concatenate([np.array(x) for x in labels])).mean() > 0.97
+
+
+def test_email_scan_equals_the_pattern():
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choices("ab.@- %", k=rng.randrange(30)))
+        assert pii.emails(text) == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_importance_parts_junk(spark, nothing):
+    rng = random.Random(6)
+    good = [" ".join("".join(rng.choices("aeioulnrst", k=rng.randint(2, 7))) for _ in range(80)) for _ in range(150)]
+    junk = [" ".join(rng.choice(["###", "%%%", "x|y", "&&&"]) for _ in range(80)) for _ in range(50)]
+    rows = [(i, t, "e") for i, t in enumerate(good + junk)] + [(900, None, None), (901, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(0, 200, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in importance.resample(docs, labels).collect()}
+    assert len(kept & set(range(150))) >= 149 and not kept & set(range(150, 200))
+    assert importance.resample(docs, labels.limit(0)).count() == len(rows)
+    assert importance.resample(docs.limit(0), labels).count() == 0
+    values = spark.createDataFrame([(float(x % 97),) for x in range(5000)], "v double")
+    assert importance.kth_highest(values, "v", 1000, few=10) == sorted((float(x % 97) for x in range(5000)), reverse=True)[999]
+
+
+def test_page_text(spark):
+    page = (
+        "<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>"
+        "<article><h1>A&amp;B caf&eacute;</h1><p><b>First  part<br>goes on<p>Second &#x3b1;.</p><!-- <p>not</p> --><div class='comments'><p>I disagree.</p></div></article>"
+        "<footer>&copy; me</footer></body></html>"
+    )
+    df = spark.createDataFrame([(1, "u", page, "x"), (2, "u", None, "x"), (3, None, "", "x"), (4, "v", "<<p", "x")], "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in page_text.extract(df).collect()}
+    assert got[1] == "A&B café First part goes on Second α." and got[2] == got[3] == ""
+    model, rng, wrong, total = page_text.train(), random.Random(77), 0, 0
+    for _ in range(100):
+        blocks = page_text.leaf_blocks(page_text.example_page(rng))
+        gold = [b.text.startswith(page_text.MARK) for b in blocks]
+        for b in blocks:
+            b.text = b.text.replace(page_text.MARK, "").strip() or "x"
+        if blocks:
+            kept = model.label([page_text.block_features(blocks)])[0]
+            wrong, total = wrong + sum(a != b for a, b in zip(kept, gold, strict=True)), total + len(gold)
+    assert wrong < 0.06 * total
+    assert page_text.extract(df.limit(0)).count() == 0
+
+
+def test_context_tree_scores(docs, rows, nothing):
+    got = {r.doc_id: r for r in context_tree.score(docs).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows}
+    words = {i: WORD.findall(lower(t or "")) for i, t, *_ in rows}
+    count = collections.Counter(w for i, ws in words.items() if not held[i] for w in [*ws, None])
+    n, v = sum(count.values()), len(count)
+    for i, ws in words.items():
+        base = sum(np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*ws, None])
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws) + 1, sum(count[w] > 0 for w in [*ws, None]), n)
+        assert r.base_score == pytest.approx(base) and r.score < 0
+    assert context_tree.score(nothing).count() == 0
+
+
+def test_context_tree_is_a_distribution():
+    """The probabilities of all bytes in a context sum to one."""
+    rng = np.random.default_rng(3)
+    pair = np.unique((rng.integers(97, 101, 500).astype(np.uint64) << np.uint64(16)) | (rng.integers(97, 101, 500).astype(np.uint64) << np.uint64(8)) | rng.integers(97, 101, 500).astype(np.uint64))
+    levels = context_tree.shard_levels(pair, rng.integers(0, 9, len(pair)).astype(float), 3, 0)
+    for context in (0x616263, 0x6161FF):
+        every = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+        assert (10 ** context_tree.code_lengths(every, levels)).sum() == pytest.approx(1)
+
+
+def brute_removed(rows, width):
+    words = {i: WORD.findall(t or "") for i, t, *_ in rows}
+    seen = collections.Counter(tuple(w[j : j + width]) for w in words.values() for j in range(len(w) - width + 1))
+    out = {}
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for j in range(len(w) - width + 1):
+            if seen[tuple(w[j : j + width])] > 1:
+                gone[j : j + width] = [True] * width
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("shard", [256, 2])
+def test_substring_removal(docs, rows, nothing, monkeypatch, shard):
+    monkeypatch.setattr(substring_dedup, "SHARD_REGIONS", shard)
+    for width in (12, 35):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, width).collect()}
+        assert got == brute_removed(rows, width)
+    assert substring_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_suffix_automaton_counts():
+    rng = random.Random(8)
+    for _ in range(200):
+        sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 15))] for _ in range(rng.randrange(1, 4))]
+        seen = collections.Counter(tuple(s[j : j + 4]) for s in sequences for j in range(len(s) - 3))
+        machine = substring_dedup.SuffixAutomaton(sequences)
+        for s in sequences:
+            assert machine.repeated(s, 4) == sum(1 << j for j in range(len(s) - 3) if seen[tuple(s[j : j + 4])] > 1)

@@ -33,7 +33,7 @@ view(
     r"""
 SELECT *, regexp_extract_all(replace(page_text, '%', '% '), '(^|[^A-Za-z0-9])(\d+\s*[a-z])\s+(\d{1,3}(?:\.\d+)?)\s*%', 2, 'i') AS labels,
   regexp_extract_all(replace(page_text, '%', '% '), '(^|[^A-Za-z0-9])(\d+\s*[a-z])\s+(\d{1,3}(?:\.\d+)?)\s*%', 3, 'i') AS shares,
-  nullif(regexp_extract(page_text, '(?:general conditions?|一般条件|反应条件)[:：]?\s*([^\n]{8,180})', 1, 'i'), '') AS line
+  nullif(regexp_extract(page_text, '(?:general conditions?|一般条件|反应条件)[:：]?\s*([^\n]{8,})', 1, 'i'), '') AS line
 FROM entry_pages
 """,
 )
@@ -53,7 +53,7 @@ view(
     r"""
 SELECT document_id, page_no, cast(i AS integer) AS entry_no, block_ids, image_path, x1, x2,
   CASE WHEN len(labels) >= 2 THEN 'scheme_entry' WHEN has_image THEN 'reaction_scheme' ELSE 'text' END AS source_type,
-  substr(source, 1, CASE WHEN len(labels) >= 2 THEN 1800 ELSE 2400 END) AS source_text,
+  source AS source_text,
   CASE WHEN len(labels) >= 2 THEN regexp_replace(labels[i + 1], '\s+', '', 'g') END AS entry_label,
   CASE WHEN len(labels) >= 2 THEN cast(shares[i + 1] AS double) END AS yield_percent,
   catalyst, temperature_c, time_h

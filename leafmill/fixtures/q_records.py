@@ -20,7 +20,7 @@ def pairs(c):
     return F.array_join(F.transform(c, lambda m: F.concat(m["field"], F.lit(":"), m["missing_reason"])), ",")
 
 
-HEAD = "nullif(substr(array_to_string(list_filter(string_split(source_text, chr(10)), lambda x: x <> '')[1:3], ' '), 1, 400), '')"
+HEAD = "nullif(array_to_string(list_filter(string_split(source_text, chr(10)), lambda x: x <> ''), ' '), '')"
 SMILES = r"nullif(regexp_extract(source_text, '([A-Za-z0-9@+\-\[\]\(\)=#$\\/%\.]+>>[A-Za-z0-9@+\-\[\]\(\)=#$\\/%\.]+)', 1), '')"
 LATEX = r"nullif(regexp_extract(source_text, '\$\$([\s\S]+?)\$\$|\\mathrm\{[\s\S]+?\}', 0), '')"
 
@@ -50,7 +50,7 @@ SELECT *, CASE WHEN seen THEN yield_percent END AS final_yield, concat_ws(',',
     CASE WHEN yield_percent IS NULL THEN 'yield_percent:source_not_present' END,
     'atom_mapped_reaction_smiles:extraction_failed',
     CASE WHEN yield_percent IS NOT NULL AND NOT seen THEN 'yield_percent:source_not_present' END) AS missing
-FROM (SELECT *, list_contains(regexp_extract_all(substr(source_text, 1, 1200), '([0-9.]+)\s*%', 1),
+FROM (SELECT *, list_contains(regexp_extract_all(source_text, '([0-9.]+)\s*%', 1),
       CASE WHEN yield_percent = floor(yield_percent) THEN cast(cast(yield_percent AS bigint) AS varchar) ELSE cast(yield_percent AS varchar) END) AS seen
   FROM fallbacks
   WHERE contains(coalesce(reaction_smiles, ''), '>>') OR regexp_matches(coalesce(reaction_latex, ''), 'rightarrow|→|->') OR source_type = 'scheme_entry'
@@ -108,7 +108,7 @@ def _(spark, sf):
 
 @query(
     "reaction_provenance",
-    "SELECT document_id, page_no, entry_no, source_type, substr(source_text, 1, 1200) AS source_text, image_path AS source_image_path, entry_label, block_ids FROM candidates",
+    "SELECT document_id, page_no, entry_no, source_type, source_text, image_path AS source_image_path, entry_label, block_ids FROM candidates",
 )
 def _(spark, sf):
     c = K.reaction_candidates(D.entry_blocks(spark, sf)).withColumn("p", R.reaction_provenance())

@@ -94,7 +94,7 @@ SELECT document_id, page_no, reading_order, id, block_type FROM (
 """,
 )
 def _(spark, sf):
-    return V.search_blocks(D.blocks(spark, sf), "En").select("document_id", "page_no", "reading_order", "id", "block_type")
+    return V.search_blocks(D.blocks(spark, sf), "En", limit=30).select("document_id", "page_no", "reading_order", "id", "block_type")
 
 
 @query("figure_filter", "SELECT document_id, page_no, reading_order, id, block_type, image_path FROM blocks WHERE block_type IN ('image','table','chart','figure')")

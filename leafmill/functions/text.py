@@ -27,7 +27,7 @@ INTERESTING_TYPES = ["image", "table", "chart", "equation"]
 FIGURE_TYPES = ["image", "table", "chart", "figure"]
 
 ENTRY = rf"(?i)(?<![A-Za-z0-9])(\d+{WS}*[a-z]){WS}+(\d{{1,3}}(?:\.\d+)?){WS}*%"
-CONDITION_LINE = rf"(?i)(?:general conditions?|一般条件|反应条件)[:：]?{WS}*([^\n]{{8,180}})"
+CONDITION_LINE = rf"(?i)(?:general conditions?|一般条件|反应条件)[:：]?{WS}*([^\n]{{8,}})"
 CATALYST = (
     rf"{NOT_WORD_BEHIND}([A-Z][A-Za-z0-9()\[\]]{{1,24}})"
     rf"(?:(?<=[A-Za-z0-9_]){NOT_WORD_AHEAD}|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -42,11 +42,8 @@ CONVERSION_TEXT = r"(?i)(>>|→|->|生成.{2,40}|转化为|afford|gave |obtained
 MAPPED_ATOM = r":\d+"
 PERCENT_NUMBER = rf"([0-9.]+){WS}*%"
 
-# Sides of a reaction text, split at the first >>; agents follow the first single >.
-REACTION_TEXT = rf"(?s)^[^>]*[^>.{WS[1:-1]}][^>]*(?:(?!>>).)*>>.*[^.{WS[1:]}"
-REACTANT_SIDE = r"^([^>]*)>"
-AGENT_SIDE = r"(?s)^[^>]*>(?!>)((?:(?!>>).)*)>>"
-PRODUCT_SIDE = r"(?s)^(?:(?!>>).)*>>(.*)$"
+# Something other than dots and white space.
+REACTION_PART = rf"[^.{WS[1:]}"
 
 TABLE_TAG = r"(?i)<table[\s>]"
 TABLE_CAPTION = rf"(?i)表{WS}*\d+|table{WS}+\d+"
@@ -83,10 +80,6 @@ def truthy(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def cut(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
-
-
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match, null when nothing (or nothing but '') matches."""
     return truthy(F.regexp_extract(c, pattern, group))
@@ -96,7 +89,8 @@ def number_text(x: Column) -> Column:
     """Shortest decimal form of a double: 85.0 prints as 85, 85.5 as 85.5."""
     whole = (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
     plain = F.regexp_replace(x.cast("string"), r"\.0$", "")
-    wide = F.coalesce(F.regexp_replace(x.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", ""), x.cast("string"))
+    kind = F.when(F.abs(x) < 1, x.try_cast("decimal(38,36)").cast("string")).otherwise(x.try_cast("decimal(38,12)").cast("string"))
+    wide = F.coalesce(F.regexp_replace(kind, r"\.?0+$", ""), x.cast("string"))
     return (
         F.when(whole, x.cast("bigint").cast("string"))
         .when((F.abs(x) < F.lit(1e-3)) | (F.abs(x) >= F.lit(1e7)), wide)
@@ -163,12 +157,30 @@ def loose_json(text: Column) -> Column:
 
 def is_reaction(smiles: Column) -> Column:
     """Does the text read as reactants>>products with something on both sides?"""
-    return smiles.rlike(REACTION_TEXT)
+    left, right = F.substring_index(smiles, ">", 1), after(smiles, ">>")
+    return F.contains(smiles, F.lit(">>")) & left.rlike(REACTION_PART) & right.rlike(REACTION_PART)
+
+
+def after(c: Column, mark: str) -> Column:
+    """What follows the first mark; the empty string where there is none."""
+    at = F.instr(c, mark)
+    return F.when(at > 0, F.substring(c, at + len(mark), F.length(c))).when(c.isNotNull(), F.lit(""))
+
+
+def reaction_sides(smiles: Column) -> dict[str, Column]:
+    """Text of each side: split at the first >>; agents follow a first > that stands alone."""
+    rest = after(smiles, ">")
+    agents = F.contains(rest, F.lit(">>")) & ~F.startswith(rest, F.lit(">"))
+    return {
+        "reactant": F.when(F.contains(smiles, F.lit(">")), F.substring_index(smiles, ">", 1)).when(smiles.isNotNull(), F.lit("")),
+        "agent": F.when(agents, F.substring_index(rest, ">>", 1)).when(smiles.isNotNull(), F.lit("")),
+        "product": after(smiles, ">>"),
+    }
 
 
-def reaction_side(smiles: Column, pattern: str) -> Column:
+def reaction_side(side: Column) -> Column:
     """Non-empty dot-separated parts of one side of a reaction text."""
-    return F.filter(F.transform(F.split(F.regexp_extract(smiles, pattern, 1), r"\."), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(side, r"\."), strip), lambda x: x != "")
 
 
 def reaction_syntax_error(smiles: Column) -> Column:

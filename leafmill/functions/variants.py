@@ -43,11 +43,6 @@ def bind(c: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), lambda x: fn(x)), F.lit(0))
 
 
-def bind(c: Column, fn: Callable[[Column], Column]) -> Column:
-    """Evaluate ``c`` once and use it several times inside one expression."""
-    return F.get(F.transform(F.array(c), lambda x: fn(x)), F.lit(0))
-
-
 _KIND = "substring_index(substring_index(schema_of_variant({v}), '<', 1), '(', 1)"
 _TRUTHY = (
     "case {kind} when 'STRING' then try_variant_get({v}, '$', 'string') <> ''"

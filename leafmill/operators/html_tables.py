@@ -198,7 +198,7 @@ def table_record_build(parsed: DataFrame) -> DataFrame:
             "page_no",
             F.col("bbox_norm").alias("bbox"),
             F.lit("table").alias("source_type"),
-            X.cut(F.coalesce("text", F.lit("")), 1200).alias("source_text"),
+            F.coalesce("text", F.lit("")).alias("source_text"),
             image.alias("source_image_path"),
             F.col("id").alias("block_id"),
         ).alias("provenance"),

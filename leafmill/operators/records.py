@@ -10,8 +10,6 @@ from leafmill.functions import text as X
 from leafmill.functions.ordering import filter_here, first_per_key
 from leafmill.schemas import CONDITIONS, MISSING, REACTION_PAYLOAD
 
-# Cuts of stored and fallback text.
-PROVENANCE_CUT, FALLBACK_CUT = 1200, 400
 DEFAULT_SCHEMA = S.schema_from_example(S.DEFAULT_REACTION_EXAMPLE)
 
 
@@ -28,15 +26,15 @@ def known_fields(df: DataFrame) -> DataFrame:
     """Adds what each candidate itself tells: known_text, known_smiles, known_latex.
 
     Flat columns, so each pattern runs once per candidate however often its
-    result is used. The entry sentence comes before the source's first lines.
+    result is used. The entry sentence comes before the source's lines, joined by spaces.
     """
     src = F.col("source_text")
-    lines = F.slice(F.filter(F.split(src, "\n"), lambda x: x != ""), 1, 3)
-    head = X.truthy(X.cut(F.array_join(lines, " "), FALLBACK_CUT))
+    lines = F.filter(F.split(src, "\n"), lambda x: x != "")
+    whole = X.truthy(F.array_join(lines, " "))
     sentence = F.format_string(X.ENTRY_SENTENCE, F.col("entry_label"), F.col("page_no"))
     return df.withColumns(
         {
-            "known_text": F.when(F.col("entry_label") != "", sentence).otherwise(head),
+            "known_text": F.when(F.col("entry_label") != "", sentence).otherwise(whole),
             # Plain substring tests skip the patterns where they cannot match.
             "known_smiles": F.when(F.contains(src, F.lit(">>")), X.first_match(src, X.SMILES_TOKEN)),
             "known_latex": F.when(
@@ -190,7 +188,7 @@ def reaction_provenance() -> Column:
         "page_no",
         "bbox",
         "source_type",
-        X.cut(F.col("source_text"), PROVENANCE_CUT).alias("source_text"),
+        "source_text",
         F.col("image_path").alias("source_image_path"),
         "entry_label",
         "block_ids",
@@ -355,11 +353,11 @@ def reaction_participants(records: DataFrame, smiles: str = "smiles", keys: list
     """One row per participant: keys, role, position, smiles."""
     keys = keys or ["id"]
     text = records.filter(X.is_reaction(F.col(smiles))).select(*keys, X.strip(F.col(smiles)).alias("_t"))
-    sides = [("reactant", X.REACTANT_SIDE), ("agent", X.AGENT_SIDE), ("product", X.PRODUCT_SIDE)]
+    sides = X.reaction_sides(F.col("_t")).items()
 
     def role(name: str, pattern: str) -> Column:
         return F.transform(
-            X.reaction_side(F.col("_t"), pattern),
+            X.reaction_side(pattern),
             lambda x, i: F.struct(F.lit(name).alias("role"), i.alias("position"), x.alias("smiles")),
         )
 

@@ -42,8 +42,8 @@ def records_by_page(records: DataFrame, document_id: str | None = None, page_no:
     return out.orderBy("document_id", "created_at", "id")
 
 
-def search_blocks(blocks: DataFrame, query: str, document_id: str | None = None, limit: int | None = 30) -> DataFrame:
-    """Matching blocks, the first ``limit`` per document by (page, order)."""
+def search_blocks(blocks: DataFrame, query: str, document_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Matching blocks: all, or the first ``limit`` per document by (page, order)."""
     hits = blocks.filter(X.like_ascii(F.col("text"), query))
     if document_id is not None:
         hits = hits.filter(F.col("document_id") == document_id)

@@ -147,11 +147,10 @@ def plan_reuse(planned: DataFrame, stored: DataFrame) -> DataFrame:
 def settle_attempts(chunks: DataFrame, attempts: DataFrame, max_attempts: int = 2) -> DataFrame:
     """Window status after its attempts (document_id, chunk_ord, attempt, ok, error).
 
-    Any success completes it and clears the error; two failures fail it; one
-    failure leaves it retrying.
+    Any success completes it, however late, and clears the error; ``max_attempts``
+    failures fail it; fewer leave it retrying.
     """
-    tried = attempts.filter(F.col("attempt") <= max_attempts)
-    outcome = tried.groupBy("document_id", "chunk_ord").agg(
+    outcome = attempts.groupBy("document_id", "chunk_ord").agg(
         F.bool_or("ok").alias("done"),
         F.count(F.lit(1)).alias("tries"),
         F.max_by("error", "attempt").alias("last_error"),

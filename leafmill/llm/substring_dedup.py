@@ -35,7 +35,7 @@ from leafmill.llm.words import chunks, mix, runs, split_words, window_sums
 from leafmill.session import materialize
 
 ANCHOR = 8
-SHARD_REGIONS = 256
+SHARD_REGIONS = 4096
 POSTS = "anchor long, region long, t long, first int, last int"
 
 

@@ -289,7 +289,7 @@ def brute_removed(rows, width):
     return out
 
 
-@pytest.mark.parametrize("shard", [256, 2])
+@pytest.mark.parametrize("shard", [4096, 2])
 def test_substring_removal(docs, rows, nothing, monkeypatch, shard):
     monkeypatch.setattr(substring_dedup, "SHARD_REGIONS", shard)
     for width in (12, 35):

@@ -37,9 +37,9 @@ OUTPUTS = {
     "decoded_sha256": T.StringType(),
 }
 
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_500_000
 LONG_BYTES = 1024
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 
 # Every space before a visible character starts a new piece, so texts can be cut there.
 CUT = r" (?=\S)"
@@ -88,7 +88,7 @@ class Contractor:
         self.bytes_of = [b""] * (max((i for i, _ in ranks), default=-1) + 1)
         for i, b in ranks:
             self.bytes_of[i] = b
-        self.con = con = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
+        self.con = con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
         vocab = pa.table({"id": pa.array([i for i, _ in ranks], pa.int32()), "bytes": pa.array([b for _, b in ranks], pa.binary())})
         con.register("vocab_in", vocab)
         con.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
@@ -263,7 +263,7 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
+        con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
         vocab = pa.table({"id": pa.array([i for i, _ in sent.value], pa.int32()), "bytes": pa.array([b for _, b in sent.value], pa.binary())})
         con.register("vocab", vocab)
         for batch in batches:

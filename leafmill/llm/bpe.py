@@ -39,7 +39,7 @@ OUTPUTS = {
 
 CHUNK_CHARS = 1_500_000
 LONG_BYTES = 1024
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 
 # Every space before a visible character starts a new piece, so texts can be cut there.
 CUT = r" (?=\S)"

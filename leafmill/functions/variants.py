@@ -11,8 +11,6 @@ from leafmill.functions.text import LAYOUT_SPACES
 
 # Fixed value: keys of a text-bearing object, first present one wins.
 TEXT_KEYS = ["text", "content", "paragraph_content", "title_content", "math_content"]
-# Lists and objects nest this deep in layout output (list of spans of an object).
-TEXT_DEPTH = 3
 
 
 def field(v: Column, key: str) -> Column:
@@ -60,26 +58,47 @@ def first_truthy(v: str, *keys: str) -> Column:
     return F.expr(f"get(filter(array({subs}), f -> f is not null and {test}), 0)")
 
 
-def _text_sql(v: str, depth: int) -> str:
-    """SQL of a value's text; ``v`` is a lambda variable. Each level names its own."""
-    k, x, e, o = (f"{n}{depth}" for n in "kxeo")
-    text = f"try_variant_get({x}, '$', 'string')"
-    cases = [f"when {k} = 'STRING' then nullif(btrim({text}, '{LAYOUT_SPACES}'), '')"]
-    if depth > 0:
-        inner = _text_sql(e, depth - 1)
-        cases.append(
-            f"when {k} = 'ARRAY' then nullif(array_join(filter(transform(try_variant_get({x}, '$', 'array<variant>'), {e} -> {inner}), {o} -> {o} is not null), '\\n'), '')"
-        )
-        # A key that is present but null still ends the search.
-        named = "coalesce(" + ", ".join(f"try_variant_get({x}, '$.{key}', 'variant')" for key in TEXT_KEYS) + ")"
-        cases.append(f"when {k} = 'OBJECT' then get(transform(array({named}), {e} -> {_text_sql(e, depth - 1)}), 0)")
-    cases.append(f"when {k} = 'BOOLEAN' then initcap({text})")
-    cases.append(f"when {k} not in ('VOID', 'ARRAY', 'OBJECT') then {text}")
-    body = f"case {' '.join(cases)} end"
-    return f"get(transform(array({v}), {x} -> get(transform(array({_KIND.format(v=x)}), {k} -> {body}), 0)), 0)"
-
-
-def join_texts(values: str, depth: int = TEXT_DEPTH) -> Column:
+def _nested(v: str) -> str:
+    return _KIND.format(v=v) + " in ('ARRAY', 'OBJECT')"
+
+
+def _leaves(v: str) -> str:
+    """SQL of the scalars under ``v`` in their order, however deep they nest.
+
+    A step puts a list's items in place of the list and its text in place of an
+    object. The brackets of the value bound the steps; once nothing is nested the
+    others do no work.
+    """
+    # A key that is present but null still ends the search.
+    named = "coalesce(" + ", ".join(f"try_variant_get(e, '$.{key}', 'variant')" for key in TEXT_KEYS) + ")"
+    opened = (
+        f"case {_KIND.format(v='e')} when 'ARRAY' then try_variant_get(e, '$', 'array<variant>')"
+        f" when 'OBJECT' then filter(array({named}), y -> y is not null) else array(e) end"
+    )
+    step = (
+        f"if(s.more, named_struct('a', flatten(transform(s.a, e -> {opened})),"
+        f" 'more', exists(s.a, e -> {_nested('e')})), s)"
+    )
+    json = f"try_variant_get({v}, '$', 'string')"
+    depth = f"length({json}) - length(translate({json}, '[{{', ''))"
+    start = f"named_struct('a', array({v}), 'more', true)"
+    return f"if({_nested(v)}, aggregate(sequence(1, {depth}), {start}, (s, i) -> {step}).a, array({v}))"
+
+
+def _leaf_text(v: str) -> str:
+    text = f"try_variant_get({v}, '$', 'string')"
+    cases = [
+        f"when k = 'STRING' then nullif(btrim({text}, '{LAYOUT_SPACES}'), '')",
+        f"when k = 'BOOLEAN' then initcap({text})",
+        # A number written with a point or an exponent keeps its point.
+        f"when k in ('DECIMAL', 'DOUBLE', 'FLOAT') and {text} rlike '^-?[0-9]+$' then {text} || '.0'",
+        f"when k <> 'VOID' then {text}",
+    ]
+    return f"get(transform(array({_KIND.format(v=v)}), k -> case {' '.join(cases)} end), 0)"
+
+
+def join_texts(values: str) -> Column:
     """Texts of an array<variant> column: a trimmed string, list items on lines, or
-    an object's text key, nested ``depth`` deep."""
-    return F.expr(f"transform({values}, v -> {_text_sql('v', depth)})")
+    an object's text key, nested to any depth."""
+    texts = f"filter(transform({_leaves('v')}, x -> {_leaf_text('x')}), t -> t is not null)"
+    return F.expr(f"transform({values}, v -> nullif(array_join({texts}, '\\n'), ''))")

@@ -96,6 +96,10 @@ def test_bbox_golden(spark):
         (True, "True"),
         (None, None),
         ("[1] a reference", "[1] a reference"),
+        (100.0, "100.0"),
+        (1.5, "1.5"),
+        ([[[[[[{"text": [{"content": "deep"}, 3]}]]]]]], "deep\n3"),
+        ([{"content": [{"content": "kept"}]}], "kept"),
     ],
 )
 def test_join_text(spark, value, want):

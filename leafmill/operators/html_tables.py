@@ -6,6 +6,8 @@ expressions on its own row: no shuffle until the long form is regrouped.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +17,35 @@ from leafmill.functions.variants import bind
 
 # Cell texts read as null.
 NULL_CELLS = ["", "na", "n/a", "-", "—", "null"]
-# Entities decoded in cell text (the numeric form is decoded too).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# Characters of the named references; a non-breaking space reads as a space.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 TABLE_SPAN = r"(?is)<table(?:\s[^>]*)?>(.*?)(?:</table\s*>|$)"
 ROW_SPAN = r"(?is)<tr(?:\s[^>]*)?>(.*?)(?=</tr\s*>|<tr[\s>]|</table\s*>|$)"
 CELL_SPAN = r"(?is)<t[dh](?:\s[^>]*)?>(.*?)(?=</t[dh]\s*>|<t[dh][\s>]|$)"
 
 
+def unescaped(c: Column) -> Column:
+    """Character references decoded once, by name or number; others stay as written."""
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def piece(p: Column, i: Column) -> Column:
+        ref = F.substring_index(p, ";", 1)
+        code = F.when(ref.rlike("^#[0-9]{1,7}$"), F.substring(ref, 2, 7).try_cast("int")).when(
+            ref.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(ref, 3, 6), 16, 10).try_cast("int")
+        )
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNotNull(), "\ufffd")
+        char = F.coalesce(F.try_element_at(named, ref), char)
+        whole = (i > 0) & F.contains(p, F.lit(";")) & char.isNotNull()
+        rest = F.substr(p, F.length(ref) + 2)
+        return F.when(whole, F.concat(char, rest)).when(i > 0, F.concat(F.lit("&"), p)).otherwise(p)
+
+    return F.array_join(F.transform(F.split(c, "&", -1), piece), "")
+
+
 def cell_text(c: Column) -> Column:
-    """Tags become spaces, entities are decoded, whitespace collapses."""
-    out = F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    out = F.regexp_replace(out, r"&#0*39;", "'")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return X.clean(out)
+    """Tags become spaces, character references are decoded, whitespace collapses."""
+    return X.clean(unescaped(F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]*>", " ")))
 
 
 def header_names(cells: Column) -> Column:

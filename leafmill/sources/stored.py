@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.session import scratch_path
+
 BUCKETS = 64
 
 
@@ -48,14 +50,18 @@ def read_bucketed(spark: SparkSession, path: str, schema: T.StructType | None =
     return reader.parquet(path)
 
 
+def buckets_of(df: DataFrame, key: str = "document_id", buckets: int = BUCKETS) -> list[int]:
+    """The buckets that rows of ``df`` fall into: at most ``buckets`` integers."""
+    return [r.bucket for r in with_bucket(df.select(key), key, buckets).select("bucket").distinct().collect()]
+
+
 def touched(current: DataFrame, changed: DataFrame, key: str = "document_id", buckets: int = BUCKETS) -> DataFrame:
     """Rows of ``current`` lying in the buckets that ``changed`` writes to.
 
-    ``current`` carries its bucket column, so this prunes whole directories. The
-    side joined here has at most ``buckets`` rows.
+    The bucket numbers are literals of a filter on the partition column, so other
+    buckets' folders are not read.
     """
-    ids = with_bucket(changed.select(key).distinct(), key, buckets).select("bucket").distinct()
-    return current.join(F.broadcast(ids), "bucket", "left_semi")
+    return current.filter(F.col("bucket").isin(buckets_of(changed, key, buckets)))
 
 
 def replace_rows(
@@ -71,21 +77,21 @@ def replace_rows(
 
     ``documents`` names the replaced documents where some may have no new rows.
     Rows of other documents in the touched buckets are written back alongside.
+    ``new`` is computed once, into the shared folder.
     """
+    once = scratch_path(spark, "rewrite")
+    new.write.parquet(once)
+    new = spark.read.schema(new.schema).parquet(once)
     current = read_bucketed(spark, path)
     replaced = (new if documents is None else documents).select(key).distinct()
     kept = touched(current, replaced, key, buckets).join(replaced, key, "left_anti").drop("bucket")
     merged = kept.unionByName(new)
-    emptied = None
+    emptied: set[int] = set()  # buckets whose every row goes
     if documents is not None:
-        # At most ``buckets`` small integers: buckets whose every row goes.
-        def used(df: DataFrame) -> DataFrame:
-            return with_bucket(df.select(key), key, buckets).select("bucket").distinct()
-
-        emptied = [r.bucket for r in used(replaced).join(used(merged), "bucket", "left_anti").collect()]
+        emptied = set(buckets_of(replaced, key, buckets)) - set(buckets_of(merged, key, buckets))
     write_bucketed(merged, path, key, sort, buckets)
-    for bucket in emptied or []:
-        _delete(spark, f"{path}/bucket={bucket}")
+    for folder in [once, *(f"{path}/bucket={b}" for b in sorted(emptied))]:
+        _delete(spark, folder)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,13 @@ def test_failed_tables_keep_their_number(spark):
     assert list(got["a"].validation.columns) == ["q"] and got["a"].validation.row_count == 0
 
 
+def test_character_references(spark):
+    cells = ["80 &deg;C &#8451; &plusmn; &#x3b1;", "a&amp;lt;b &nbsp; c", "&#0; &#xD800; &#1114112;", "&none; & R&D; x;", "&#39;&apos;&quot;", "&#x1F600;", "", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = [r[0] for r in df.orderBy("i").select(H.cell_text(F.col("c"))).collect()]
+    assert got == ["80 °C ℃ ± α", "a&lt;b c", "\ufffd \ufffd \ufffd", "&none; & R&D; x;", "''\"", "😀", "", None]
+
+
 def test_json_default(spark):
     df = spark.createDataFrame([('{"a":1}',), ("",), (None,), ("oops",), ("[2]",)], "j string")
     got = [r.v.a for r in df.select(ST.json_or_default(F.col("j"), "struct<a:int>", "{}").alias("v")).collect()]
@@ -82,6 +90,8 @@ def test_replace_rows(spark, tmp_path):
     ST.replace_rows(spark, path, new, buckets=4)
     rows = sorted((r.document_id, r.n) for r in ST.read_bucketed(spark, path).collect())
     assert [n for d, n in rows if d == "d1"] == [100] and ("new", 7) in rows and len(rows) == 11 * 3 + 2
+    plan = ST.touched(ST.read_bucketed(spark, path), new, buckets=4)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=|INSET) ", plan)
     # Documents replaced by nothing vanish, even when that empties a bucket.
     ids = spark.createDataFrame([(d,) for d in sorted({d for d, _ in rows})[1:]], "document_id string")
     ST.replace_rows(spark, path, new.limit(0), documents=ids, buckets=4)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.sources.files import intake_by_hash
+from leafmill.streaming.runs import batch_folder, query_id
 
 CATALOGUE = (
     "id string, filename string, file_path string, sha256 string, page_count int, bytes bigint, "
@@ -25,21 +26,27 @@ def watch_folder(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][fF]"
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CATALOGUE + ", batch_id bigint").option("basePath", path).parquet(path)
+    schema = CATALOGUE + ", query_id string, batch_id bigint"
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-def stream_intake(hashed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_intake(
+    hashed: DataFrame, path: str, checkpoint: str, initial: DataFrame | None = None
+) -> StreamingQuery:
     """Append files whose bytes were never seen, however late they come.
 
     Identity has no expiry, so the catalogue itself is the state: each batch is
-    anti-joined with the folders of earlier batches, and a replay overwrites its
-    own folder.
+    anti-joined with ``initial``, a catalogue kept elsewhere, and with every other
+    batch folder under ``path``, those of earlier queries included.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _earlier(spark, path, batch_id)
-        intake_by_hash(batch, known).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        known = _others(spark, path, query_id(spark, checkpoint), batch_id)
+        if initial is not None:
+            known = known.unionByName(initial.select(known.columns))
+        folder = batch_folder(spark, path, checkpoint, batch_id)
+        intake_by_hash(batch, known).write.mode("overwrite").parquet(folder)
 
     return (
         hashed.writeStream.foreachBatch(save)
@@ -49,7 +56,9 @@ def stream_intake(hashed: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    if batch_id == 0:
+def _others(spark: SparkSession, path: str, query: str, batch_id: int) -> DataFrame:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], CATALOGUE)
-    return read_catalogue(spark, path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+    own = (F.col("query_id") == query) & (F.col("batch_id") == batch_id)
+    return read_catalogue(spark, path).filter(~own).drop("query_id", "batch_id")

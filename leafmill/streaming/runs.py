@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -67,14 +69,26 @@ def event_tail(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(RUN_EVENTS).parquet(path)
 
 
-def append_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch of changed keys under its own batch folder.
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Identity of the query that owns a checkpoint, as Spark wrote it there."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
+
+
+def batch_folder(spark: SparkSession, path: str, checkpoint: str, batch_id: int) -> str:
+    """Where one micro-batch of one query writes.
 
-    A replayed batch overwrites its own folder, so a retry changes nothing.
+    A replayed batch overwrites its own folder, so a retry changes nothing; a query
+    with a new checkpoint counts its batches anew and has folders of its own.
     """
+    return f"{path}/query_id={query_id(spark, checkpoint)}/batch_id={batch_id}"
+
+
+def append_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each micro-batch of changed keys under its own batch folder."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        folder = batch_folder(batch.sparkSession, path, checkpoint, batch_id)
+        batch.withColumn("written_us", F.lit(time.time_ns() // 1000)).write.mode("overwrite").parquet(folder)
 
     return (
         updates.writeStream.outputMode("update")
@@ -86,10 +100,10 @@ def append_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def latest_updates(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Newest row of each key over all batch folders."""
+    """Newest written row of each key over all queries' batch folders."""
     rows = spark.read.option("basePath", path).parquet(path)
-    fields = [c for c in rows.columns if c not in (key, "batch_id")]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*fields), "batch_id").alias("_s"))
+    fields = [c for c in rows.columns if c not in (key, "query_id", "batch_id", "written_us")]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct("written_us", "batch_id")).alias("_s"))
     return newest.select(key, "_s.*")
 
 

@@ -1,5 +1,7 @@
 """Streams over several micro-batches and restarts equal the batch fold."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from leafmill.operators.windows import chunk_summary
@@ -69,6 +71,39 @@ def test_intake_stream(spark, tmp_path):
     assert run() == ["a.pdf", "b.pdf", "c.PDF"]
 
 
+def test_intake_with_a_new_checkpoint(spark, tmp_path):
+    box, out = tmp_path / "in", str(tmp_path / "cat")
+    box.mkdir()
+
+    def run(ck, initial=None):
+        hashed = hashed_files(SI.watch_folder(spark, str(box)))
+        SI.stream_intake(hashed, out, str(tmp_path / ck), initial).awaitTermination()
+        return sorted((r.filename, r.bytes) for r in SI.read_catalogue(spark, out).collect())
+
+    (box / "a.pdf").write_bytes(b"one")
+    assert run("ck1") == [("a.pdf", 3)]
+    (box / "b.pdf").write_bytes(b"two!")
+    assert run("ck1") == [("a.pdf", 3), ("b.pdf", 4)]
+    (box / "a.pdf").unlink()
+    (box / "b.pdf").rename(box / "other.pdf")
+    (box / "c.pdf").write_bytes(b"three")
+    (box / "known.pdf").write_bytes(b"catalogued elsewhere")
+    sha = hashlib.sha256(b"catalogued elsewhere").hexdigest()
+    initial = spark.createDataFrame([(sha, "k.pdf", "/k.pdf", sha, 1, 20, "uploaded", None)], SI.CATALOGUE)
+    want = [("a.pdf", 3), ("b.pdf", 4), ("c.pdf", 5)]
+    assert run("ck2", initial) == want
+    assert run("ck2") == want
+
+
+def test_run_state_with_a_new_checkpoint(spark, tmp_path):
+    log, other, out = (str(tmp_path / n) for n in ("log", "other", "out"))
+    events(spark, EVENTS[:4]).coalesce(1).write.parquet(log)
+    SN.stream_run_state(stream(spark, log), out, str(tmp_path / "ck1")).awaitTermination()
+    events(spark, EVENTS[5:]).coalesce(1).write.parquet(other)
+    SN.stream_run_state(stream(spark, other), out, str(tmp_path / "ck2")).awaitTermination()
+    assert {r.run_id for r in SN.latest_updates(spark, out, "run_id").collect()} == {"x", "y", "z"}
+
+
 def test_chunk_progress_stream(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
     rows = [("d", 1, "pending", 1), ("d", 2, "pending", 2), ("d", 1, "retrying", 3), ("d", 1, "completed", 4), ("d", 2, "failed", 5)]

@@ -124,10 +124,9 @@ def union_bbox(blocks: DataFrame) -> DataFrame:
 
 
 # ---- hit test ----------------------------------------------------------------
-# A page with more boxes than CROWDED is cut into 16 x 16 cells, one with more than
-# VERY_CROWDED into 64 x 64.
-CROWDED, GRID = 256, 16
-VERY_CROWDED, FINE_GRID = 65_536, 64
+# A box lies in the square grid whose cells are a quarter to an eighth of its longer
+# side, so it reaches at most 5 x 5 cells; a page-wide one lies in the coarsest grid.
+COARSEST, FINEST = 2, 12  # log2 of the cells along a page
 
 
 def hit_union(blocks: DataFrame, reactions: DataFrame, tables: DataFrame) -> DataFrame:
@@ -155,29 +154,21 @@ def hit_union(blocks: DataFrame, reactions: DataFrame, tables: DataFrame) -> Dat
 
 
 def _cell(c: Column) -> Column:
-    """Grid cell of a coordinate; the outer cells reach past the page."""
-    g = F.col("_grid")
-    return F.least(F.greatest(F.floor(c * g), F.lit(0)), g - 1).cast("int")
+    """Cell of a coordinate in the row's own grid; the outer cells reach past the page."""
+    cells = F.pow(F.lit(2.0), F.col("_level"))
+    return F.least(F.greatest(F.floor(c * cells), F.lit(0)), cells.cast("bigint") - 1).cast("int")
 
 
-def hit_test(
-    clicks: DataFrame, boxes: DataFrame, crowded: int = CROWDED, very_crowded: int = VERY_CROWDED
-) -> DataFrame:
+def hit_test(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
     """Smallest box containing each click, ties by kind then input order.
 
-    Usual pages join on (document, page). On a crowded page boxes are spread over
-    the cells of a grid and a click falls in one cell. Where boxes cover a whole
-    cell only the best of them can win there, so one per cell is kept, and partly
-    covering boxes that rank behind it are dropped before the join.
+    Each box is stored once per cell it reaches in the grid of its own size, and a
+    click looks into one cell of every grid. Where boxes cover a whole cell only the
+    best of them can win there, so one per cell is kept, and partly covering boxes
+    that rank behind it are dropped before the join.
     """
     page = ["document_id", "page_no"]
-    busy = (
-        boxes.groupBy(*page)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > crowded)
-        .select(*page, F.when(F.col("_n") > very_crowded, FINE_GRID).otherwise(GRID).alias("_grid"))
-    )
-    b = boxes.join(busy, page, "left").withColumns(
+    b = boxes.withColumns(
         {
             "_l": F.least(F.col("bbox")[0], F.col("bbox")[2]),
             "_r": F.greatest(F.col("bbox")[0], F.col("bbox")[2]),
@@ -186,25 +177,19 @@ def hit_test(
             "_rank": F.struct(G.area(F.col("bbox")).alias("area"), F.col("kind_rank"), F.col("seq")),
         }
     )
-    one, crowd = F.array(F.lit(0)), F.col("_grid").isNotNull()
+    side = F.greatest(F.col("_r") - F.col("_l"), F.col("_b") - F.col("_t"))
+    fitting = F.coalesce(F.floor(-F.log2(side)) + COARSEST, F.lit(FINEST))
+    b = b.withColumn("_level", F.least(F.greatest(fitting, F.lit(COARSEST)), F.lit(FINEST)).cast("int"))
 
     def cells(low: str, high: str) -> Column:
-        return F.explode(F.when(crowd, F.sequence(_cell(F.col(low)), _cell(F.col(high)))).otherwise(one))
-
-    spread = (
-        b.withColumn("_cx", cells("_l", "_r"))
-        .withColumn("_cy", cells("_t", "_b"))
-        .withColumn(
-            "_full",
-            # Cells strictly between the corner cells lie inside the box.
-            crowd
-            & (F.col("_cx") > _cell(F.col("_l")))
-            & (F.col("_cx") < _cell(F.col("_r")))
-            & (F.col("_cy") > _cell(F.col("_t")))
-            & (F.col("_cy") < _cell(F.col("_b"))),
-        )
-    )
-    cell = [*page, "_cx", "_cy"]
+        return F.explode(F.sequence(_cell(F.col(low)), _cell(F.col(high))))
+
+    # Cells strictly between the corner cells lie inside the box.
+    inner = [F.col(c) > _cell(F.col(low)) for c, low in (("_cx", "_l"), ("_cy", "_t"))]
+    inner += [F.col(c) < _cell(F.col(high)) for c, high in (("_cx", "_r"), ("_cy", "_b"))]
+    spread = b.withColumn("_cx", cells("_l", "_r")).withColumn("_cy", cells("_t", "_b"))
+    spread = spread.withColumn("_full", inner[0] & inner[1] & inner[2] & inner[3])
+    cell = [*page, "_level", "_cx", "_cy"]
     box = ["kind", "id", "bbox", "_rank", "_l", "_r", "_t", "_b"]
     full = spread.filter("_full").groupBy(*cell).agg(F.min_by(F.struct(*box), "_rank").alias("_best"))
     partial = (
@@ -215,11 +200,10 @@ def hit_test(
         .drop("_limit")
     )
     targets = partial.unionByName(full.select(*cell, "_best.*"))
-    points = clicks.join(busy, page, "left").withColumns(
-        {c: F.when(crowd, _cell(F.col(p))).otherwise(F.lit(0)) for c, p in (("_cx", "x"), ("_cy", "y"))}
-    )
+    levels = F.sequence(F.lit(COARSEST), F.lit(FINEST))
+    points = clicks.withColumn("_level", F.explode(levels)).withColumns({"_cx": _cell(F.col("x")), "_cy": _cell(F.col("y"))})
     inside = (F.col("x") >= F.col("_l")) & (F.col("x") <= F.col("_r")) & (F.col("y") >= F.col("_t")) & (F.col("y") <= F.col("_b"))
-    pairs = points.drop("_grid").join(targets, cell).filter(inside)
+    pairs = points.join(targets, cell).filter(inside)
     return (
         pairs.groupBy("click_id")
         .agg(F.min_by(F.struct(*page, "kind", "id", "bbox"), "_rank").alias("h"))

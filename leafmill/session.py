@@ -34,11 +34,15 @@ _LOCAL_ROOT: list[str] = []
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests, one local temporary folder per process is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    local master, as in tests, gets one temporary folder per process; any other is
+    refused, as its executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL_ROOT:
             _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         root = _LOCAL_ROOT[0]

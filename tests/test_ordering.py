@@ -71,13 +71,15 @@ def hit(page, x, y, boxes):
     return best and (best[1], best[0][2])
 
 
-@pytest.mark.parametrize(("crowded", "very"), [(0, 1), (20, 200), (10_000, 20_000)])
-def test_hit_test_brute_force(spark, crowded, very):
+def test_hit_test_brute_force(spark):
     rng = random.Random(11)
     boxes = []
     for i in range(600):
         page = 1 if i % 3 else rng.randint(2, 5)
         c = [rng.choice([0.0, 0.25, 0.5, 1.0, rng.random()]) for _ in range(4)]
+        if i % 4 == 0:  # boxes of all sizes, down to points
+            w = rng.choice([0.0, 1e-5, 0.001, 0.03, 0.125])
+            c = [c[0], c[1], c[0] + w, c[1] + w * rng.random()]
         if i % 50 == 0:
             c = [-3.0, 0.1, 40.0, 7.0]
         rank = rng.randint(0, 2)
@@ -85,7 +87,7 @@ def test_hit_test_brute_force(spark, crowded, very):
     clicks = [(i, "d", rng.choice([1, 1, 2, 3, 9]), rng.choice([0.0, 0.5, 1.0, rng.random()]), rng.choice([0.0, 0.25, rng.random(), 5.0])) for i in range(800)]
     b = spark.createDataFrame(boxes, "document_id string, page_no int, kind_rank int, kind string, id string, bbox array<double>").withColumn("seq", F.struct("id"))
     c = spark.createDataFrame(clicks, "click_id int, document_id string, page_no int, x double, y double")
-    got = {r.click_id: (r.kind, r.id) for r in V.hit_test(c, b, crowded, very).collect()}
+    got = {r.click_id: (r.kind, r.id) for r in V.hit_test(c, b).collect()}
     want = {i: hit(p, x, y, boxes) for i, _, p, x, y in clicks}
     assert got == {k: v for k, v in want.items() if v}
 
@@ -101,6 +103,17 @@ def test_hit_golden(spark):
     assert {r.click_id: r.id for r in V.hit_test(c, b).collect()} == {1: "r", 2: "b"}
 
 
+def test_hit_many_wide_boxes_on_one_page(spark):
+    n = 100_000
+    b = spark.range(n).selectExpr(
+        "'d' as document_id", "1 as page_no", "0 as kind_rank", "'block' as kind", "cast(id as string) as id",
+        "array(0.01 + id * 1e-7, 0.01D, 0.99D, 0.99D) as bbox", "struct(id) as seq",
+    )
+    c = spark.range(40).selectExpr("id as click_id", "'d' as document_id", "1 as page_no", "0.05 + 0.9 * id / 40 as x", "0.5D as y")
+    got = {r.id for r in V.hit_test(c.withColumn("x", F.col("x").cast("double")), b).collect()}
+    assert got == {str(n - 1)}
+
+
 def test_search_folds_ascii_only(spark):
     df = spark.createDataFrame([("d", 1, i, str(i), t) for i, t in enumerate(["ABC", "xabcx", "É", "é", "a%c", "a_c", "a\\c"])], "document_id string, page_no int, reading_order int, id string, text string")
 

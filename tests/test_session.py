@@ -1,5 +1,7 @@
 """The shared scratch folder."""
 
+import pytest
+
 from leafmill import session
 
 
@@ -24,6 +26,12 @@ def test_local_folder_only_when_unset():
     assert a.startswith("/tmp/spark-") and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
 
 
+def test_cluster_without_folder_is_refused():
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.scratch_path(Fake(spark_master=master), "t")
+
+
 def test_materialize_reads_back(spark):
     df = session.materialize(spark.range(5).selectExpr("id", "array(struct(id as a)) as s"), "t")
     assert df.count() == 5 and "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()

@@ -78,8 +78,8 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def split_words(texts: pa.Array) -> Words:
-    """A null text has no words."""
+def split_words(texts: pa.Array, apart: np.ndarray = IS_SPACE) -> Words:
+    """Runs of the bytes that are not ``apart``; a null text has no words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -88,7 +88,7 @@ def split_words(texts: pa.Array) -> Words:
     data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     word = np.zeros(len(data) + 2, bool)
-    np.logical_not(IS_SPACE[data], out=word[1:-1])
+    np.logical_not(apart[data], out=word[1:-1])
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     start = np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1]))

@@ -306,3 +306,22 @@ def test_suffix_automaton_counts():
         machine = substring_dedup.SuffixAutomaton(sequences)
         for s in sequences:
             assert machine.repeated(s, 4) == sum(1 << j for j in range(len(s) - 3) if seen[tuple(s[j : j + 4])] > 1)
+
+
+def test_importance_rejects_toxic_text(spark):
+    """Toxic texts of good quality differ from the others by one word only."""
+    rng = random.Random(9)
+    say = lambda k: ["".join(rng.choices("aeioulnrst", k=rng.randint(2, 7))) for _ in range(k)]
+    rows = []
+    for i in range(400):
+        words = say(200)
+        if i % 4 == 0:
+            words[rng.randrange(200)] = rng.choice(["dumkopf", "Dumkopf.", "(dumkopf)"])
+        rows.append((i, " ".join(words)))
+    rows += [(i, " ".join(rng.choice(["###", "%%%", "x|y"]) for _ in range(80))) for i in range(400, 450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 400), int(i < 400 and i % 4 == 0)) for i in range(0, 450) if i % 8 < 5], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in importance.resample(docs, labels).collect()}
+    toxic = {i for i in range(400) if i % 4 == 0}
+    # Resampling draws: a few texts on the wrong side of the threshold stay.
+    assert len(kept & toxic) <= 10 and len(kept & (set(range(400)) - toxic)) >= 290 and not kept & set(range(400, 450))

@@ -2,11 +2,13 @@
 
 The base spans follow four patterns (e-mail, IP address, card number, phone number),
 found by scans whose cost is linear in the text. The field reads a text as its words,
-line by line, in chains of CHAIN words at most; each word has word-shape features (its
+each line as one chain, however long; each word has word-shape features (its
 character classes, length, digits, hexadecimal look, cue words) and those of the words
 beside it. It is trained on the driver from the small labelled table EXAMPLES by
 gradient ascent on the exact conditional likelihood (forward-backward), and decoded by
-Viterbi over all chains of a batch at once. Its spans of secrets and personal numbers
+Viterbi over all chains of a batch at once: blocks of BLOCK words are decoded side by
+side for every label before them, then joined along their chain, which gives the best
+labels of the whole chain. Its spans of secrets and personal numbers
 are added to the base spans unless they overlap one.
 
 Defined results: a null or empty text has no spans; a very long text is read whole;
@@ -30,7 +32,7 @@ from leafmill.llm.words import Words, chunks, split_words
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", "secret", "number")
-CHAIN = 64
+BLOCK = 64
 
 # The patterns that results must follow.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -135,7 +137,7 @@ def _cues(words: Words) -> np.ndarray:
 
 
 def chains(words: Words) -> np.ndarray:
-    """First word of each chain: a text's or line's first word, and every CHAIN words after it."""
+    """First word of each chain: the first word of every text and of every line."""
     n = len(words.start)
     if not n:
         return np.zeros(0, np.int64)
@@ -144,10 +146,7 @@ def chains(words: Words) -> np.ndarray:
     breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
     line = breaks[words.start]
     begins[1:n] |= line[1:] != line[:-1]
-    begins = begins[:n]
-    head = np.flatnonzero(begins)
-    within = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
-    return np.flatnonzero(within % CHAIN == 0)
+    return np.flatnonzero(begins[:n])
 
 
 class Field:
@@ -175,29 +174,59 @@ class Field:
         return out
 
     def decode(self, scores: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """The best label of every word: Viterbi, all chains that are long enough at each step."""
+        """The best label of every word: Viterbi over whole chains, in blocks that are joined."""
         n, k = scores.shape
-        lens = np.diff(np.append(heads, n))
-        order = np.argsort(-lens, kind="stable")
-        heads, lens = heads[order], lens[order]
-        back = np.zeros((n, k), np.int8)
-        best = scores[heads].copy() if len(heads) else np.zeros((0, k))
+        labels = np.zeros(n, np.int8)
+        if not n:
+            return labels
+        chain = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, n)))
+        starts = np.flatnonzero((np.arange(n) - heads[chain]) % BLOCK == 0)
+        owner = chain[starts]
+        # Best scores of every block by (label before it, label at its end); a chain's first block has none before it.
+        order = np.argsort(-np.diff(np.append(starts, n)), kind="stable")
+        place, lens = starts[order], np.diff(np.append(starts, n))[order]
+        inner = place != heads[owner[order]]
+        back = np.zeros((n, k, k), np.int8)
+        best = np.where(inner[:, None, None], self.steps, 0) + scores[place][:, None]
         final = best.copy()
-        for t in range(1, int(lens[0]) if len(lens) else 0):
+        for t in range(1, int(lens[0])):
             live = int(np.searchsorted(-lens, -t, "left"))
-            paths = best[:live, :, None] + self.steps[None]
-            came = paths.argmax(1)
-            at = heads[:live] + t
+            paths = best[:live, :, :, None] + self.steps
+            came = paths.argmax(2)
+            at = place[:live] + t
             back[at] = came
-            best = np.take_along_axis(paths, came[:, None], 1)[:, 0] + scores[at]
+            best = np.take_along_axis(paths, came[:, :, None], 2)[:, :, 0] + scores[at][:, None]
             final[:live] = best
-        labels = np.zeros(n, np.int8)
+        whole = np.empty_like(final)
+        whole[order] = final
+        # Along the blocks of each chain, longest chains first.
+        first = np.searchsorted(owner, np.arange(len(heads)))
+        count = np.diff(np.append(first, len(starts)))
+        by_count = np.argsort(-count, kind="stable")
+        first, count = first[by_count], count[by_count]
+        before = np.zeros((len(starts), k), np.int8)
+        best = whole[first, 0]
+        final = best.copy()
+        for t in range(1, int(count[0])):
+            live = int(np.searchsorted(-count, -t, "left"))
+            paths = best[:live, :, None] + whole[first[:live] + t]
+            came = paths.argmax(1)
+            before[first[:live] + t] = came
+            best = np.take_along_axis(paths, came[:, None], 1)[:, 0]
+            final[:live] = best
+        entry, end = np.zeros(len(starts), np.int8), np.zeros(len(starts), np.int8)
         now = final.argmax(1)
-        for t in range((int(lens[0]) if len(lens) else 0) - 1, -1, -1):
+        for t in range(int(count[0]) - 1, -1, -1):
+            live = int(np.searchsorted(-count, -t, "left"))
+            at = first[:live] + t
+            end[at] = now[:live]
+            now[:live] = entry[at] = before[at, now[:live]]
+        entry, now = entry[order], end[order]
+        for t in range(int(lens[0]) - 1, -1, -1):
             live = int(np.searchsorted(-lens, -t, "left"))
-            at = heads[:live] + t
+            at = place[:live] + t
             labels[at] = now[:live]
-            now[:live] = back[at, now[:live]]
+            now[:live] = back[at, entry[:live], now[:live]]
         return labels
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -206,6 +207,31 @@ def test_field_fits_its_table():
     assert (got == np.concatenate([np.array(x) for x in labels])).mean() > 0.97
 
 
+def test_field_reads_whole_lines():
+    """A span is found at every place of a line as at its start, and blocks give the labels of plain Viterbi."""
+    field = pii.train()
+    for before in [0, *range(55, 75), *range(120, 135), 5000]:
+        for said, kind, value in (("passport 533401298 was shown", "number", "533401298"), ("account 2290417 was closed", "number", "2290417"), ("password = monkey77 for all", "secret", "monkey77")):
+            text = "on the way and " * (before // 4) + "we " * (before % 4) + said
+            spans = pii.field_spans([text], split_words(pa.array([text])), field)[0]
+            assert [(k, text[s:e]) for k, s, e in spans] == [(kind, value)], (before, spans)
+    rng = np.random.default_rng(5)
+    lens = [1, 63, 64, 65, 128, 129, 700, 2]
+    heads = np.cumsum([0, *lens[:-1]])
+    scores, own = rng.standard_normal((sum(lens), 3)), pii.Field({}, rng.standard_normal((3, 3)) * 2)
+    got = own.decode(scores, heads)
+    for h, m in zip(heads, lens, strict=True):
+        best, back = scores[h], []
+        for t in range(1, m):
+            paths = best[:, None] + own.steps
+            back.append(paths.argmax(0))
+            best = paths.max(0) + scores[h + t]
+        want = [int(best.argmax())]
+        for b in reversed(back):
+            want.append(int(b[want[-1]]))
+        assert got[h : h + m].tolist() == want[::-1]
+
+
 def test_email_scan_equals_the_pattern():
     pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     rng = random.Random(4)

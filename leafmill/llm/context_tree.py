@@ -11,8 +11,9 @@ weighted one, Pw = (Pe + product of the deeper nodes' Pw) / 2, and a node's esti
 counts Pe / 2Pw against the deeper ones. The mixture ends at the deepest context that
 training holds.
 
-How it runs. The corpus is read in the blocks its files are split into. One pass leaves
-every block's distinct words with their training counts and its distinct (context,
+How it runs. The texts are written once in blocks of at most BLOCK_BYTES, a longer text
+being a block of its own; the block numbers are stored beside the texts, so every later
+pass reads the same blocks however the files are split. One pass leaves every block's distinct words with their training counts and its distinct (context,
 byte) pairs. Both are counted by shuffles that grow with the corpus. The tree is cut
 into shards by the last two bytes of the context and weighted bottom-up in each; the
 two top levels, at most 256 * 255 + 255 binary nodes, are finished on the driver and
@@ -33,14 +34,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm.words import LOWER, Words, chunks, mix, split_words
 from leafmill.session import materialize
 
 DEPTH = 6
 CHUNK_BYTES = 4_000_000
+BLOCK_BYTES = 32_000_000
 SPACE = 32
 WIDTH = np.uint64(8)
 OUT = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -244,6 +249,23 @@ def _block_facts(depth: int):
     return task
 
 
+def _numbered(block_bytes: int):
+    """Adds to every row the number of its block: the task's number and, below it, the block's in the task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, block, held = TaskContext.get().partitionId() << 32, 0, 0
+        for part in batches:
+            numbers = np.empty(part.num_rows, np.int64)
+            for i, size in enumerate(pc.fill_null(pc.binary_length(part.column("text")), 0).to_pylist()):
+                if held and held + size > block_bytes:
+                    block, held = block + 1, 0
+                held += size
+                numbers[i] = base + block
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers)], names=[*part.schema.names, "block"])
+
+    return task
+
+
 def _weigh(depth: int):
     """One shard's level 2, summed by the level above it: what the top of the tree needs."""
 
@@ -311,25 +333,21 @@ def _score_block(depth: int, id_type, known: dict):
     return block
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every document's log10 probability under the model and under word frequencies.
 
     Training documents are those whose crc32 of the id as text is not ``held`` modulo ``folds``.
     """
-    if not docs.inputFiles():
-        docs = materialize(docs.select(id_col, text_col), "ctw-docs")
-    spark = docs.sparkSession
     train = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != held
-    texts = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block")
-    )
-    facts = materialize(texts.select("text", "train", "block").mapInArrow(_block_facts(depth), "block long, word binary, h long, pair long, n long"), "ctw-facts")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
+    texts = materialize(texts.mapInArrow(_numbered(block_bytes), T.StructType([*texts.schema.fields, T.StructField("block", T.LongType())])), "ctw-texts", "zstd")
+    facts = materialize(texts.select("text", "train", "block").mapInArrow(_block_facts(depth), "block long, word binary, h long, pair long, n long"), "ctw-facts", "zstd")
     n_docs = texts.where("train").count()
-    vocabulary = materialize(facts.where("word is not null").groupBy("word").agg(F.first("h").alias("h"), F.sum("n").alias("c")), "ctw-words")
+    vocabulary = materialize(facts.where("word is not null").groupBy("word").agg(F.first("h").alias("h"), F.sum("n").alias("c")), "ctw-words", "zstd")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     known = {"n": n + n_docs, "v": v + (n_docs > 0), "docs": n_docs}
     tree = facts.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
-    tree = materialize(tree.withColumn("shard", F.shiftright("pair", 8).bitwiseAND(0xFFFF)), "ctw-pairs")
+    tree = materialize(tree.withColumn("shard", F.shiftright("pair", 8).bitwiseAND(0xFFFF)), "ctw-pairs", "zstd")
     below = tree.groupBy("shard").applyInArrow(_weigh(depth), "key long, below double").groupBy("key").agg(F.sum("below").alias("below")).toPandas()
     one = tree.select(F.shiftright("pair", 8).bitwiseAND(0xFF).alias("context"), F.col("pair").bitwiseAND(0xFF).alias("byte"), "n").groupBy("context", "byte").agg(F.sum("n").alias("n")).where("n > 0").toPandas()
     top = top_levels(one, below)

@@ -351,3 +351,30 @@ def test_importance_rejects_toxic_text(spark):
     toxic = {i for i in range(400) if i % 4 == 0}
     # Resampling draws: a few texts on the wrong side of the threshold stay.
     assert len(kept & toxic) <= 10 and len(kept & (set(range(400)) - toxic)) >= 290 and not kept & set(range(400, 450))
+
+
+def test_context_tree_blocks_are_stored(spark, docs, tmp_path, monkeypatch):
+    """Files split anew between the passes change nothing, and one row group makes several blocks."""
+    want = {r.doc_id: r for r in context_tree.score(docs).collect()}
+    path = str(tmp_path / "docs")
+    docs.coalesce(1).write.parquet(path)
+    written, before = {}, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    materialize = context_tree.materialize
+
+    def split_anew(df, label, *codec):
+        written[label] = materialize(df, label, *codec)
+        if label == "ctw-facts":
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        return written[label]
+
+    monkeypatch.setattr(context_tree, "materialize", split_anew)
+    for more in ({}, {"block_bytes": 2000}):
+        try:
+            got = {r.doc_id: r for r in context_tree.score(spark.read.parquet(path), **more).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert r[:5] == want[i][:5] and r[5:] == pytest.approx(want[i][5:])
+    blocks = written["ctw-texts"].selectExpr("block", "length(cast(text as binary)) as size").groupBy("block").agg({"size": "sum", "*": "count"}).collect()
+    assert len(blocks) > 5 and all(r["sum(size)"] is None or r["sum(size)"] <= 2000 or r["count(1)"] == 1 for r in blocks)

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, page_text, pii, substring_dedup, topk
+from leafmill.llm import (
+    alignment,
+    bpe,
+    context_tree,
+    importance,
+    jaccard,
+    mixing,
+    order_minhash,
+    page_text,
+    pii,
+    repair,
+    setsketch,
+    substring_dedup,
+    topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +126,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_page_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_setsketch")
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates: five-word shingles, similarity 0.85."""
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=5, share=85)
+
+
+@query("op12_dawg_repair")
+def op12_dawg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's damage and its cheapest repair."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_pair_bitmaps")
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's links between the tokens of two tokenizers, and how common they are."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)[0]

@@ -27,6 +27,7 @@ GROUP BY document_id, page_no
 """,
 )
 
+# The oracle's forms of the patterns in functions/text.py.
 # RE2 has no look-behind: a blank after every % keeps entries that follow one directly.
 view(
     "entry_lists",

@@ -20,6 +20,7 @@ def pairs(c):
     return F.array_join(F.transform(c, lambda m: F.concat(m["field"], F.lit(":"), m["missing_reason"])), ",")
 
 
+# The oracle's forms of the patterns in functions/text.py.
 HEAD = "nullif(array_to_string(list_filter(string_split(source_text, chr(10)), lambda x: x <> ''), ' '), '')"
 SMILES = r"nullif(regexp_extract(source_text, '([A-Za-z0-9@+\-\[\]\(\)=#$\\/%\.]+>>[A-Za-z0-9@+\-\[\]\(\)=#$\\/%\.]+)', 1), '')"
 LATEX = r"nullif(regexp_extract(source_text, '\$\$([\s\S]+?)\$\$|\\mathrm\{[\s\S]+?\}', 0), '')"
@@ -108,13 +109,17 @@ def _(spark, sf):
 
 @query(
     "reaction_provenance",
-    "SELECT document_id, page_no, entry_no, source_type, source_text, image_path AS source_image_path, entry_label, block_ids FROM candidates",
+    """
+SELECT document_id, page_no, entry_no, source_type, source_text, image_path AS source_image_path, entry_label, block_ids,
+  CASE WHEN page_no % 3 > 0 THEN 'atlas' END AS atom_mapper, CASE WHEN page_no % 3 > 0 THEN concat('v', entry_no) END AS atom_mapper_version FROM candidates
+""",
 )
 def _(spark, sf):
-    c = K.reaction_candidates(D.entry_blocks(spark, sf)).withColumn("p", R.reaction_provenance())
+    mapped = {"mapper": F.expr("case when page_no % 3 > 0 then 'atlas' end"), "version": F.expr("case when page_no % 3 > 0 then concat('v', entry_no) end")}
+    c = K.reaction_candidates(D.entry_blocks(spark, sf)).withColumns(mapped).withColumn("p", R.reaction_provenance("mapper", "version"))
     return c.select(
         "document_id", "p.page_no", "entry_no", "p.source_type", "p.source_text", "p.source_image_path", "p.entry_label",
-        F.array_join("p.block_ids", ",").alias("block_ids"),
+        F.array_join("p.block_ids", ",").alias("block_ids"), "p.atom_mapper", "p.atom_mapper_version",
     )
 
 
@@ -259,18 +264,6 @@ def _(spark, sf):
     )
 
 
-@query(
-    "null_skeleton",
-    """
-SELECT event_id, '{"reaction_text":null,"reaction_smiles":null,"atom_mapped_reaction_smiles":null,"reaction_latex":null,"rxn_path":null,"conditions":{"catalyst":null,"temperature_c":null,"time_h":null},"yield_percent":null}' AS payload
-FROM events
-""",
-)
-def _(spark, sf):
-    empty = F.to_json(S.null_skeleton(R.DEFAULT_SCHEMA), {"ignoreNullFields": "false"})
-    return D.table(spark, sf, "events").select("event_id", empty.alias("payload"))
-
-
 EXAMPLE = {"a": "", "n": 1, "tags": [""], "flag": True, "o": {"x": 1.5, "mass": None}}
 
 

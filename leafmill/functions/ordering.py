@@ -29,6 +29,17 @@ def filter_here(df: DataFrame, condition: Column) -> DataFrame:
     return df.select("*", F.explode(F.when(condition, one)).alias("_here")).drop("_here")
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns whose values later steps read instead of their expressions.
+
+    Catalyst writes a projection's expressions into every place that uses them, which
+    grows without bound along a chain of structs. A generator's output is a plain column.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    one = F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))
+    return df.select(*rest, F.explode(one).alias("_once")).select(*rest, *[F.col("_once")[k].alias(k) for k in columns])
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """First row of each key. Spark limits each map task to one row per key before
     the shuffle (WindowGroupLimit), so a key with many copies does not pile up."""

@@ -182,8 +182,12 @@ def enrich_record(df: DataFrame, mapped_smiles: str | None = None) -> DataFrame:
     )
 
 
-def reaction_provenance() -> Column:
-    """Evidence of a candidate; candidate columns are in scope."""
+def reaction_provenance(mapper: str | None = None, version: str | None = None) -> Column:
+    """Evidence of a candidate; candidate columns are in scope, among them the mapper's name and version if named."""
+
+    def told(c: str | None) -> Column:
+        return F.col(c) if c else F.lit(None).cast("string")
+
     return F.struct(
         "page_no",
         "bbox",
@@ -192,6 +196,8 @@ def reaction_provenance() -> Column:
         F.col("image_path").alias("source_image_path"),
         "entry_label",
         "block_ids",
+        told(mapper).alias("atom_mapper"),
+        told(version).alias("atom_mapper_version"),
     )
 
 

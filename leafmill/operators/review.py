@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import example_schema as S
 from leafmill.functions import text as X
 from leafmill.operators.records import DEFAULT_SCHEMA
+from leafmill.operators.user_records import projected_text
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 TABLE_KEYS = ["table_id", "table_path", "table_title", "table_description", "source_image_path"]
@@ -52,20 +55,22 @@ def apply_patches(reactions: DataFrame, folded: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(f"p_{c}", c) for c in fields}).drop(*[f"p_{c}" for c in fields])
 
 
-def projected_payload(records: DataFrame) -> Column:
-    """Payload in the default schema as JSON text, null fields kept.
+def projected_payload(records: DataFrame, example: dict[str, Any] | None = None) -> Column:
+    """Payload as JSON text in the example's shape, the default one if none is given; null fields kept.
 
-    A typed payload already has that shape; a variant one is projected.
+    A typed payload already has the default shape; a variant one is projected.
     """
+    if example is not None:
+        return projected_text(example, F.col("payload"))
     kind = records.schema["payload"].dataType.typeName()
     value = S.project(DEFAULT_SCHEMA, F.col("payload")) if kind == "variant" else F.col("payload")
     return F.to_json(value, KEEP_NULLS)
 
 
-def export_jsonl(reactions: DataFrame, include_pending: bool = False) -> DataFrame:
+def export_jsonl(reactions: DataFrame, include_pending: bool = False, example: dict[str, Any] | None = None) -> DataFrame:
     """One JSON line per exportable record, in creation order within the document."""
     rows = exportable(reactions, include_pending)
-    return rows.select("document_id", "created_at", "id", projected_payload(rows).alias("value"))
+    return rows.select("document_id", "created_at", "id", projected_payload(rows, example).alias("value"))
 
 
 def json_array_lines(lines: DataFrame) -> DataFrame:

@@ -11,24 +11,15 @@ from leafmill.operators import candidates as K
 from leafmill.operators import records as R
 from leafmill.plans.extract import ORDER, extract_reactions, extract_records
 
-PAGE1 = """Making a fruity ester in one pot
-Figure text: the acid and the alcohol meet over a strong acid.
-General conditions: catalyst H2SO4, 80 °C, 2 h, no solvent added.
-Both partners were stirred until the smell changed; water leaves as the ester forms.
-As one line:
-CCO.CC(=O)O>>CC(=O)OCC.O
-As a formula:
-$$\\mathrm{C_2H_5OH + CH_3COOH \\rightarrow CH_3COOC_2H_5 + H_2O}$$
-Runs of this kind
-3a 85%
-3b 78%
-3c 81%
-3d 73%
-All runs were made as said at the top."""
-PAGE2 = """How the work was done
-One part of the alcohol and a little more of the acid were poured over H2SO4
-and kept warm at 80 °C for 2 h. The product was then drawn off.
-Its yield was 85%."""
+# A run sheet with six entries and shared conditions, and a page of plain prose.
+SHEET = (
+    "7f  31.5 %\n7g 64%\n7h\t8 %\n12a 90%\n12b 77.25%\n12c 3%\n"
+    "一般条件：CuI, 110 ℃, 18.5 h under argon\n"
+    "Nc1ccccc1.Brc1ccncc1>>c1ccc(Nc2ccncc2)cc1\n"
+    "$$\\mathrm{ArNH_2 + PyBr \\rightarrow ArNHPy}$$"
+)
+PROSE = "Weighing and washing are described elsewhere.\nThe crude yield, 64%, was not corrected."
+SHARES = {"7f": 31.5, "7g": 64.0, "7h": 8.0, "12a": 90.0, "12b": 77.25, "12c": 3.0}
 
 BLOCKS = "id string, document_id string, page_no int, block_type string, text string, bbox_norm array<double>, image_path string, reading_order int"
 
@@ -39,25 +30,24 @@ def block(i, page, text, kind="text", order=0, box=(0.1, 0.1, 0.5, 0.5), image=N
 
 @pytest.fixture(scope="module")
 def demo(spark):
-    return spark.createDataFrame([block(1, 1, PAGE1), block(2, 2, PAGE2)], BLOCKS)
+    return spark.createDataFrame([block(1, 4, SHEET), block(2, 9, PROSE)], BLOCKS)
 
 
 def test_demo_candidates(demo):
     rows = K.candidate_index(K.reaction_candidates(demo)).orderBy("candidate_index").collect()
-    assert [(r.entry_label, r.yield_percent) for r in rows] == [("3a", 85.0), ("3b", 78.0), ("3c", 81.0), ("3d", 73.0), (None, None)]
+    assert [(r.entry_label, r.yield_percent) for r in rows] == [*SHARES.items(), (None, None)]
     c = rows[0].inherited_conditions
-    assert (c.catalyst, c.temperature_c, c.time_h) == ("H2SO4", 80.0, 2.0)
-    assert [r.source_type for r in rows] == ["scheme_entry"] * 4 + ["text"]
+    assert (c.catalyst, c.temperature_c, c.time_h) == ("CuI", 110.0, 18.5)
+    assert [r.source_type for r in rows] == ["scheme_entry"] * 6 + ["text"]
 
 
 def test_demo_extraction_and_rerun(demo):
     first = extract_reactions(demo)
     rows = first.orderBy("page_no", "entry_no").collect()
-    assert len(rows) == 4
-    assert {r.payload.reaction_smiles for r in rows} == {"CCO.CC(=O)O>>CC(=O)OCC.O"}
-    assert [r.payload.yield_percent for r in rows] == [85.0, 78.0, 81.0, 73.0]
-    assert rows[0].payload.reaction_text.startswith("Substrate entry 3a is converted")
-    assert rows[0].payload.reaction_latex.startswith("$$")
+    assert {r.payload.reaction_smiles for r in rows} == {"Nc1ccccc1.Brc1ccncc1>>c1ccc(Nc2ccncc2)cc1"}
+    assert [r.payload.yield_percent for r in rows] == list(SHARES.values())
+    assert [r.payload.reaction_text.split()[2] for r in rows] == list(SHARES)
+    assert all(r.payload.reaction_latex.startswith("$$") for r in rows)
     assert extract_reactions(demo, stored=first).count() == 0
 
 
@@ -207,7 +197,7 @@ def test_same_page_duplicates(demo, spark):
     c = K.reaction_candidates(demo)
     again = c.unionByName(c.withColumn("entry_no", F.col("entry_no") + 100))
     got = extract_records(again)
-    assert got.count() == 4 and got.agg(F.max("entry_no")).first()[0] < 100
+    assert got.count() == len(SHARES) and got.agg(F.max("entry_no")).first()[0] < 100
 
 
 def test_missing_union_keeps_first(spark):

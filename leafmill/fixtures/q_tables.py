@@ -106,15 +106,14 @@ FROM table_cells_rel GROUP BY document_id, block_id, row, g
 )
 def _(spark, sf):
     head = [("Part_key", "long"), ("Name", "string"), ("Size", "double"), ("Size_2", "long"), ("Name_2", "string"), ("col_6", "boolean")]
-    out = []
+    path = scratch_path(spark, "typed-tables")
+    H.write_typed_tables(_parsed(spark, sf), KEYS, path)
+    stored, out = spark.read.parquet(path), []
     for mix in ("double", "string"):
-        path = scratch_path(spark, f"tables-{mix}")
-        H.write_typed_tables(_parsed(spark, sf), KEYS, [*head, ("Mix", mix)], path)
+        wide = H.widened(stored, KEYS, [*head, ("Mix", mix)])
         number, text = ("Mix", "cast(null as string)") if mix == "double" else ("cast(null as double)", "Mix")
         out.append(
-            spark.read.parquet(path).selectExpr(
-                *KEYS, "row", "Part_key as part_key", "Name as name", "Size as size", "Size_2 as size_2", f"{number} as mix_number", f"{text} as mix_text"
-            )
+            wide.selectExpr(*KEYS, "row", "Part_key as part_key", "Name as name", "Size as size", "Size_2 as size_2", f"{number} as mix_number", f"{text} as mix_text")
         )
     return out[0].unionByName(out[1])
 
@@ -140,3 +139,27 @@ def _(spark, sf):
     fresh = base.filter("k % 5 = 0").withColumns({"id": F.concat(F.lit("n"), "k"), "table_id": F.concat("table_id", F.lit("x"))})
     out = H.upsert_table_records(t, again.unionByName(fresh))
     return out.select("id", "document_id", "table_id", "payload.table_title", "review_status", F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s"))
+
+
+@query(
+    "typed_table_schemas",
+    """
+WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row FROM orders),
+n AS (SELECT c % 1000 AS s, c % 2 AS p, count(DISTINCT c) AS tables, count(*) AS records FROM o GROUP BY 1, 2)
+SELECT c AS custkey, cast(row AS integer) AS row, concat('A|A_2|Key|T', c % 1000) AS columns, concat('long|double|long|', CASE WHEN c % 2 = 0 THEN 'string' ELSE 'double' END) AS types, tables, records,
+  concat('{"A":', k % 7, ',"A_2":', k % 5, '.5,"Key":', k, ',"T', c % 1000, '":', CASE WHEN c % 2 = 0 THEN concat('"', k % 9, ' kg"') ELSE concat(k % 9, '.0') END, '}') AS value
+FROM o JOIN n ON n.s = c % 1000 AND n.p = c % 2
+""",
+)
+def _(spark, sf):
+    """One table per customer, a thousand schemas, written in one pass; of columns sharing a name the last one counts."""
+    cells = "concat('<tr><td>', o_orderkey % 7, '<td>x<td>', o_orderkey, '<td>', o_orderkey % 9, case when o_custkey % 2 = 0 then ' kg' else '%' end, '<td>', o_orderkey % 5, '.5')"
+    rows = D.table(spark, sf, "orders").selectExpr("o_custkey as custkey", "o_orderkey as k", f"{cells} as tr")
+    tables = rows.groupBy("custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "tr"))), lambda x: x["tr"]), "").alias("trs"))
+    head = F.concat(F.lit("<table><tr><th>A<th>A_2<th>Key<th>T"), F.col("custkey") % 1000, F.lit("<th>A</tr>"))
+    path = scratch_path(spark, "typed-schemas")
+    H.write_typed_tables(H.parsed_tables(tables.select("custkey", F.concat(head, "trs", F.lit("</table>")).alias("html"))), ["custkey"], path)
+    stored = spark.read.parquet(path)
+    schemas = H.table_schemas(stored).select("schema_id", F.array_join("columns", "|").alias("columns"), F.array_join("types", "|").alias("types"), "tables", "records")
+    found = stored.where("row is not null").drop("columns", "types").join(schemas, "schema_id")
+    return found.select("custkey", "row", "columns", "types", "tables", "records", F.to_json("values").alias("value"))

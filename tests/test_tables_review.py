@@ -52,10 +52,86 @@ def test_headers_rows_and_flags(spark):
     assert [list(r) for r in p.rows] == [["1", "", "", ""], ["a &lt; b", "2", "3", "4"]]
     assert p.malformed is False
     loose = parse(spark, "<table><tr><td>h<td>i</tr><tr><td>1<td>2</tr></table>")
-    assert list(loose.headers) == ["h", "i"] and [list(r) for r in loose.rows] == [["1", "2"]] and loose.malformed
+    assert list(loose.headers) == ["h", "i"] and [list(r) for r in loose.rows] == [["1", "2"]] and not loose.malformed
     assert list(parse(spark, "no table").headers) == [] and list(parse(spark, None).rows) == []
 
 
+def grid(spark, html):
+    g = spark.createDataFrame([(html,)], "h string").select(H.table_grid(F.col("h")).alias("g")).first().g
+    return None if g is None else ([list(r) for r in g.rows], g.closed)
+
+
+NESTED = "<tr><td>1<td>x<table><tr><td>n1</td><td>n2<tr><td>n3</table>y</td><td>3</td></tr>"
+
+
+@pytest.mark.parametrize(
+    ("html", "rows", "closed"),
+    [
+        # A cell's table: the row goes on behind it, and the inner rows follow as rows of their own.
+        (f"a<table>{NESTED}<tr><td>4</table>", [["1", "x n1 n2 n3 y", "n1", "n2", "n3", "3"], ["n1", "n2"], ["n3"], ["4"]], True),
+        # Rows and cells without end tags, sections in between, upper case, attributes.
+        ("<TABLE b=1><THEAD><TR><TH>h<TH>i<TBODY><TR><TD>1<TD>2<tr>\n<td>3</TABLE>", [["h", "i"], ["1", "2"], ["3"]], True),
+        ("<table><tr><td>a</tr></td><td>lost</td><tr><td>b<br>c</td>out</tr>", [["a"], ["b c"]], False),
+        # End tags without a start, a cell without a row, an empty row.
+        ("<table></td></tr><td>no row</td><tr></tr><tr><td>z</td></tr></table><tr><td>behind</td></tr>", [[], ["z"]], True),
+        ("<table><!-- <tr><td>no</td></tr> --><tr><td><!-- </td> -->q</td></tr></table>", [["q"]], True),
+        ("<table><tr><td>a<table></table></td><td>b<table><tr><td>c<table><tr><td>d</table></table></td></tr></table>", [["a", "b c d", "c d", "d"], ["c d", "d"], ["d"]], True),
+        ("<tablet><tr><td>1</td></tr></tablet>", None, None),
+        ("<table>", [], False),
+        ("", None, None),
+        (None, None, None),
+    ],
+)
+def test_tag_stack(spark, html, rows, closed):
+    assert grid(spark, html) == (None if rows is None else (rows, closed))
+
+
+def test_runs_of_tags_join(spark, monkeypatch):
+    html = "<table>" + "".join(f"<tr><td>{i}<td>{i + 1}" for i in range(500)) + NESTED + "</table>"
+    want = [[str(i), str(i + 1)] for i in range(500)] + [["1", "x n1 n2 n3 y", "n1", "n2", "n3", "3"], ["n1", "n2"], ["n3"]]
+    assert grid(spark, html) == (want, True)
+    monkeypatch.setattr(H, "RUN", 7)
+    assert grid(spark, html) == (want, True)
+
+
+def test_long_table_ends(spark):
+    html = "<table>" + "<tr><td>1<td>2<td>3</tr>" * 20_000 + "</table>"
+    rows, closed = grid(spark, html)
+    assert closed and len(rows) == 20_000 and rows[-1] == ["1", "2", "3"]
+
+
+def test_a_thousand_schemas_in_one_job(spark, tmp_path):
+    html = F.concat(F.lit("<table><tr><th>k</th><th>v"), F.col("id"), F.lit("</th></tr><tr><td>"), F.col("id"), F.when(F.col("id") % 2 == 0, "</td><td>1.5").otherwise("</td><td>x"), F.lit("</td></tr></table>"))
+    parsed = H.parsed_tables(spark.range(1000).select(F.col("id").cast("string").alias("id"), html.alias("html")))
+    path = str(tmp_path / "typed")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("typed", "typed")
+    H.write_typed_tables(parsed, ["id"], path, buckets=4)
+    assert len(tracker.getJobIdsForGroup("typed")) <= 2  # the write, and its shuffle run ahead by AQE
+    spark.sparkContext.setJobGroup("rest", "rest")
+    stored = spark.read.parquet(path)
+    schemas = H.table_schemas(stored).collect()
+    assert len(schemas) == 1000 and {(r.tables, r.records) for r in schemas} == {(1, 1)}
+    wide = H.widened(stored, ["id"], [("k", "long"), ("v7", "string")], buckets=4)
+    assert [tuple(r) for r in wide.collect()] == [("7", 0, 7, "x")]
+    assert [tuple(r) for r in H.widened(stored, ["id"], [("k", "long"), ("v8", "double")], buckets=4).collect()] == [("8", 0, 8, 1.5)]
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_repeated_names_and_empty_tables(spark, tmp_path):
+    twice = "<table><tr><th>A</th><th>A_2</th><th>A</th></tr><tr><td>1</td><td>2</td><td>3.5</td></tr><tr><td>4</td><td>5</td></tr></table>"
+    tables = [("t", twice), ("bare", "<table><tr><th>h</th></tr></table>"), ("none", "no table")]
+    parsed = H.parsed_tables(spark.createDataFrame(tables, "id string, html string"))
+    assert list(parsed.where("id = 't'").first().headers) == ["A", "A_2", "A_2"]
+    path = str(tmp_path / "typed")
+    H.write_typed_tables(parsed, ["id"], path)
+    stored = spark.read.parquet(path)
+    assert [tuple(r) for r in H.widened(stored, ["id"], [("A", "long"), ("A_2", "double")]).orderBy("row").collect()] == [("t", 0, 1, 3.5), ("t", 1, 4, None)]
+    heads = {r.id: (list(r.columns), r.row_count) for r in stored.where("row is null").collect()}
+    assert heads == {"t": (["A", "A_2"], 2), "bare": ([], 0), "none": ([], 0)}
+
+
 def test_failed_tables_keep_their_number(spark):
     cols = "id string, document_id string, page_no int, block_type string, text string, bbox_norm array<double>, image_path string, reading_order int, meta struct<table_body:string>"
     rows = [

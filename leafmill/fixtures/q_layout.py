@@ -10,7 +10,7 @@ from leafmill.functions import geometry as G
 from leafmill.functions import variants as V
 from leafmill.operators import blocks as B
 from leafmill.operators import merge as M
-from leafmill.plans.parse import merged_items, parse_documents, scanned_items
+from leafmill.plans.parse import merged_items, parse_documents, scanned_items, scanned_trees
 from leafmill.sources import layout as L
 
 KEYS = ["document_id", "chunk_ord"]
@@ -88,12 +88,14 @@ def _(spark, sf):
     return M.image_path_rewrite(tagged, owned).select(*KEYS, "pos", "image_path")
 
 
-def _trees(spark, sf):
-    return D.page_trees(spark, sf).withColumn("pages", L.read_page_tree(F.col("payload"))).drop("payload")
+def _tree_pages(spark, sf):
+    return scanned_trees(D.page_trees(spark, sf), D.chunks(spark, sf).withColumn("status", F.lit("completed")))
 
 
-def _tree_pages(spark, sf):
-    return M.rebase_page(L.tree_pages(_trees(spark, sf), KEYS), D.chunks(spark, sf))
+def _half_empty(spark, sf):
+    """Item lists of all documents; those of odd ones are empty, so that their trees stand in."""
+    even = F.col("document_id").cast("bigint") % 2 == 0
+    return D.payloads(spark, sf).withColumn("payload", F.when(even, F.col("payload")).otherwise("[]"))
 
 
 @query("page_tree_keep_first", "SELECT document_id, cast(page AS integer) AS page_idx, min(chunk_ord) AS chunk_ord FROM layout_rows GROUP BY 1, 2")
@@ -105,12 +107,12 @@ def _(spark, sf):
     "page_sizes",
     """
 SELECT DISTINCT document_id, cast(page AS integer) AS page_idx, CASE WHEN page % 2 = 0 THEN 600.0::double + page ELSE 500.0::double END AS w, CASE WHEN page % 2 = 0 THEN 800.0::double ELSE 700.0::double END AS h
-FROM layout_rows WHERE page % 2 = 0 OR page < 4
+FROM layout_rows
 """,
 )
 def _(spark, sf):
     pages = M.page_tree_keep_first(_tree_pages(spark, sf))
-    supplied = pages.filter("page_idx < 4").select("document_id", "page_idx", F.array(F.lit(500.0), F.lit(700.0)).alias("page_size"))
+    supplied = pages.select("document_id", "page_idx", F.array(F.lit(500.0), F.lit(700.0)).alias("page_size"))
     s = L.page_sizes(pages, supplied)
     return s.select("document_id", "page_idx", F.col("page_size")[0].alias("w"), F.col("page_size")[1].alias("h"))
 
@@ -123,8 +125,8 @@ WHERE cast(document_id AS bigint) % 2 = 1 AND chunk_ord = (SELECT min(chunk_ord)
 """,
 )
 def _(spark, sf):
-    # Even documents have item lists, so their trees are not read.
-    items = D.payloads(spark, sf).filter("cast(document_id as bigint) % 2 = 0")
+    # Even documents have items, so their trees are not read.
+    items = L.layout_items_scan(_half_empty(spark, sf), KEYS)
     scan = L.page_tree_scan(M.page_tree_keep_first(L.without_items(_tree_pages(spark, sf), items)), KEYS)
     return scan.select(*KEYS, "page_idx", "reading_order", "type", "text")
 
@@ -221,8 +223,7 @@ WHERE cast(r.document_id AS bigint) % 2 = 1 AND trim(r.t) <> ''
 """,
 )
 def _(spark, sf):
-    even = D.payloads(spark, sf).filter("cast(document_id as bigint) % 2 = 0")
-    out = parse_documents(even, D.chunks(spark, sf), trees=_trees(spark, sf))
+    out = parse_documents(_half_empty(spark, sf), D.chunks(spark, sf), trees=D.page_trees(spark, sf))
     return out.select("document_id", "page_no", "reading_order", "block_type", "text", F.col("meta.chunk_id").alias("chunk_id"))
 
 

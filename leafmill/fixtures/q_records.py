@@ -210,10 +210,10 @@ view(
     """
 SELECT cast(conv_id AS varchar) AS document_id, cast(turn AS bigint) AS candidate_index, 1 AS attempt, conv_id, turn,
   CASE (conv_id + turn) % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'good' WHEN 4 THEN 'good' ELSE 'bad' END AS kind
-FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 6 < 5
+FROM conversations WHERE (conv_id + turn) % 6 < 5
 UNION ALL
 SELECT cast(conv_id AS varchar), cast(turn AS bigint), 2, conv_id, turn, CASE (conv_id + turn) % 6 WHEN 2 THEN 'good' ELSE 'bad' END
-FROM conversations WHERE role = 'assistant' AND ((conv_id + turn) % 6 = 3 OR ((conv_id + turn) % 6 = 2 AND conv_id % 2 = 0))
+FROM conversations WHERE ((conv_id + turn) % 6 = 3 OR ((conv_id + turn) % 6 = 2 AND conv_id % 2 = 0))
 """,
 )
 
@@ -327,14 +327,16 @@ def _(spark, sf):
 @query(
     "duplicate_check",
     """
-WITH s AS (SELECT DISTINCT document_id, coalesce(reaction_smiles, '#') AS a, reaction_text, page_no, coalesce(yield_percent, -1) AS y FROM reactions WHERE o_orderkey % 2 = 0)
+WITH s AS (SELECT DISTINCT document_id, coalesce(reaction_smiles, '#') AS a, reaction_text, page_no + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 50 END AS page_no, coalesce(yield_percent, -1) AS y FROM reactions)
 SELECT id FROM reactions r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.document_id = r.document_id AND s.a = coalesce(r.reaction_smiles, '#')
   AND s.reaction_text = r.reaction_text AND s.page_no = r.page_no AND s.y = coalesce(r.yield_percent, -1))
 """,
 )
 def _(spark, sf):
     r = D.reactions(spark, sf)
-    return R.duplicate_check(r, r.filter("cast(substr(id, 2) as bigint) % 2 = 0")).select("id")
+    # The whole table is stored, odd records on other pages.
+    page = F.expr("provenance.page_no + case when cast(substr(id, 2) as bigint) % 2 = 0 then 0 else 50 end")
+    return R.duplicate_check(r, r.withColumn("provenance", F.col("provenance").withField("page_no", page))).select("id")
 
 
 @query(
@@ -361,19 +363,21 @@ def _(spark, sf):
 @query(
     "run_summary",
     """
-SELECT 'run' || d.id AS run_id, d.id AS document_id, coalesce(r.n, 0) AS distinct_reactions, coalesce(t.n, 0) AS table_count, coalesce(c.n, 0) AS candidate_count
-FROM documents_cat d
-LEFT JOIN (SELECT document_id, count(*) AS n FROM (SELECT DISTINCT document_id, coalesce(reaction_smiles, reaction_text), page_no, yield_percent, entry_label FROM reactions) GROUP BY 1) r ON r.document_id = d.id
-LEFT JOIN (SELECT document_id, count(*) AS n FROM table_records GROUP BY 1) t ON t.document_id = d.id
-LEFT JOIN (SELECT document_id, count(*) AS n FROM blocks WHERE block_type = 'image' GROUP BY 1) c ON c.document_id = d.id
+SELECT 'run' || d.document_id AS run_id, d.document_id, coalesce(r.n, 0) AS distinct_reactions, coalesce(t.n, 0) AS table_count, coalesce(c.n, 0) AS candidate_count
+FROM (SELECT DISTINCT document_id FROM entry_blocks) d
+LEFT JOIN (SELECT g, count(*) AS n FROM (SELECT DISTINCT concat('o', o_orderkey // 40) AS g, coalesce(reaction_smiles, reaction_text), page_no, yield_percent, entry_label FROM reactions) GROUP BY 1) r ON r.g = d.document_id
+LEFT JOIN (SELECT concat('o', c_custkey // 2) AS g, count(*) AS n FROM table_records GROUP BY 1) t ON t.g = d.document_id
+LEFT JOIN (SELECT document_id, count(*) AS n FROM candidates GROUP BY 1) c ON c.document_id = d.document_id
 """,
 )
 def _(spark, sf):
-    runs = D.documents_cat(spark, sf).selectExpr("concat('run', id) as run_id", "id as document_id")
-    found = D.blocks(spark, sf).filter("block_type = 'image'")
-    return R.run_summary(runs, D.reactions(spark, sf), D.table_records(spark, sf), found).select(
-        "run_id", "document_id", "distinct_reactions", "table_count", "candidate_count"
-    )
+    blocks = D.entry_blocks(spark, sf)
+    runs = blocks.select("document_id").distinct().selectExpr("concat('run', document_id) as run_id", "document_id")
+    key = "cast(substr(id, 2) as bigint)"
+    reactions = D.reactions(spark, sf).withColumn("document_id", F.expr(f"concat('o', {key} div 40)"))
+    tables = D.table_records(spark, sf).withColumn("document_id", F.expr(f"concat('o', {key} div 2)"))
+    found = K.candidate_rows(K.candidate_pages(blocks))
+    return R.run_summary(runs, reactions, tables, found).select("run_id", "document_id", "distinct_reactions", "table_count", "candidate_count")
 
 
 @query(

@@ -84,8 +84,9 @@ FROM reactions WHERE review_status IN ('approved','edited') AND rxn_path IS NOT
 """,
 )
 def _(spark, sf):
-    bodies = D.table(spark, sf, "orders").filter("o_orderkey % 7 > 0").selectExpr(
-        "cast(o_orderkey div 10 as string) as document_id", "concat('reactions/', o_orderkey, '.rxn') as rxn_path", "concat('\\n$RXN ', o_orderkey, '\\n ') as body"
+    # Every seventh body lies under a name that no record has.
+    bodies = D.table(spark, sf, "orders").selectExpr(
+        "cast(o_orderkey div 10 as string) as document_id", "concat('reactions/', o_orderkey, case when o_orderkey % 7 > 0 then '.rxn' else '.old' end) as rxn_path", "concat('\\n$RXN ', o_orderkey, '\\n ') as body"
     )
     return V.export_rxn_text(D.reactions(spark, sf), bodies).select("document_id", "id", "piece")
 

@@ -468,8 +468,8 @@ FROM (SELECT p_partkey // 20 AS g, p_partkey AS k, unnest(range(0, 7)) AS c,
 
 # ---- answers ----------------------------------------------------------------------------
 def answer_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """One candidate per assistant turn, its text as the source."""
-    return table(spark, sf, "conversations").filter("role = 'assistant'").selectExpr(
+    """One candidate per turn, its text as the source."""
+    return table(spark, sf, "conversations").selectExpr(
         "cast(conv_id as string) as document_id",
         "cast(turn + 1 as int) as page_no",
         "0 as entry_no",
@@ -498,7 +498,7 @@ BAD = (
 
 def model_answers(spark: SparkSession, sf: str) -> DataFrame:
     """First and second answers: good, fenced, malformed, unfit, or none, by turn."""
-    c = table(spark, sf, "conversations").filter("role = 'assistant'")
+    c = table(spark, sf, "conversations")
     m = "(conv_id + turn) % 6"
     a1 = c.selectExpr(
         "conv_id", "turn", "1 as attempt",
@@ -521,7 +521,7 @@ view(
 SELECT cast(conv_id AS varchar) AS document_id, cast(turn AS bigint) AS candidate_index, conv_id, turn, text,
   CASE WHEN (conv_id + turn) % 6 IN (1, 4) THEN 'g' WHEN (conv_id + turn) % 6 = 2 AND conv_id % 2 = 0 THEN 'g'
     WHEN (conv_id + turn) % 6 = 3 THEN 'f' ELSE 'k' END AS verdict
-FROM conversations WHERE role = 'assistant'
+FROM conversations
 """,
 )
 

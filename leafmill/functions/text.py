@@ -191,14 +191,24 @@ def reaction_syntax_error(smiles: Column) -> Column:
     )
 
 
-def mentions_percent(source: Column, number: Column) -> Column:
-    """Is the number written as ``N%`` in the source, not preceded by a digit or dot?
+def percents(source: Column) -> Column:
+    """Every number written before a percent sign, as it is written; negative ones with their sign.
 
-    The digits-and-dots run before a percent sign must equal the printed number,
-    so one constant pattern serves every row.
+    A number is negative where the sign follows neither digit nor point.
     """
-    shown = number_text(number)
     src = F.coalesce(source, F.lit(""))
+    below = F.regexp_extract_all(src, F.lit(rf"(?<![0-9.])-{PERCENT_NUMBER}"), 1)
     runs = F.regexp_extract_all(src, F.lit(PERCENT_NUMBER), 1)
-    negative = F.rlike(src, F.concat(F.lit(r"(^|[^0-9.])"), F.regexp_replace(shown, r"\.", r"\\."), F.lit(rf"{WS}*%")))
-    return F.when(number < 0, negative).otherwise(F.array_contains(runs, shown))
+    # Most texts have no percent sign.
+    found = F.concat(runs, F.transform(below, lambda x: F.concat(F.lit("-"), x)))
+    return F.array_distinct(F.when(F.contains(src, F.lit("%")), found).otherwise(F.array().cast("array<string>")))
+
+
+def among_percents(written: Column, number: Column) -> Column:
+    """Is the number, printed, one of those that ``percents`` found?"""
+    return F.array_contains(written, number_text(number))
+
+
+def mentions_percent(source: Column, number: Column) -> Column:
+    """Is the number written as ``N%`` in the source, not preceded by a digit or dot?"""
+    return among_percents(percents(source), number)

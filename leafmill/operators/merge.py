@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
-from leafmill.functions.ordering import first_per_key
 
 
 def rebase_page(items: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -43,8 +42,21 @@ def overlap_keep_all(items: DataFrame) -> DataFrame:
 
 
 def page_tree_keep_first(pages: DataFrame) -> DataFrame:
-    """First page-tree entry per global page, repeats inside one window included."""
-    return first_per_key(pages, ["document_id", "page_idx"], ["chunk_ord", "pos"])
+    """First page-tree entry per global page, repeats inside one window included.
+
+    Winners are chosen on keys, and only pages that several entries claim come back to
+    meet the trees, which are never sorted. (document, window, pos) names one entry;
+    ``pages`` is read twice, so it should be stored.
+    """
+    at = F.struct("chunk_ord", "pos")
+    claimed = (
+        pages.groupBy("document_id", "page_idx")
+        .agg(F.min(at).alias("_winner"), F.count(F.lit(1)).alias("_claims"))
+        .filter("_claims > 1")
+        .select("document_id", "page_idx", "_winner")
+    )
+    held = pages.join(claimed.hint("shuffle_hash"), ["document_id", "page_idx"], "left")
+    return held.filter(F.col("_winner").isNull() | (at == F.col("_winner"))).drop("_winner")
 
 
 def image_path_rewrite(items: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:

@@ -22,19 +22,13 @@ def no_missing() -> Column:
     return F.array().cast(MISSING)
 
 
-def known_fields(df: DataFrame) -> DataFrame:
-    """Adds what each candidate itself tells: known_text, known_smiles, known_latex.
-
-    Flat columns, so each pattern runs once per candidate however often its
-    result is used. The entry sentence comes before the source's lines, joined by spaces.
-    """
+def source_facts(df: DataFrame) -> DataFrame:
+    """Adds what a source text tells by itself: whole_text, known_smiles, known_latex."""
     src = F.col("source_text")
     lines = F.filter(F.split(src, "\n"), lambda x: x != "")
-    whole = X.truthy(F.array_join(lines, " "))
-    sentence = F.format_string(X.ENTRY_SENTENCE, F.col("entry_label"), F.col("page_no"))
     return df.withColumns(
         {
-            "known_text": F.when(F.col("entry_label") != "", sentence).otherwise(whole),
+            "whole_text": X.truthy(F.array_join(lines, " ")),
             # Plain substring tests skip the patterns where they cannot match.
             "known_smiles": F.when(F.contains(src, F.lit(">>")), X.first_match(src, X.SMILES_TOKEN)),
             "known_latex": F.when(
@@ -44,6 +38,18 @@ def known_fields(df: DataFrame) -> DataFrame:
     )
 
 
+def known_fields(df: DataFrame) -> DataFrame:
+    """Adds what each candidate itself tells: known_text, known_smiles, known_latex.
+
+    Flat columns, so each pattern runs once per candidate however often its
+    result is used; once per page where the page's facts are there already. The entry
+    sentence comes before the source's lines, joined by spaces.
+    """
+    d = df if "whole_text" in df.columns else source_facts(df)
+    sentence = F.format_string(X.ENTRY_SENTENCE, F.col("entry_label"), F.col("page_no"))
+    return d.withColumn("known_text", F.when(F.col("entry_label") != "", sentence).otherwise(F.col("whole_text"))).drop("whole_text")
+
+
 KNOWN = ["known_text", "known_smiles", "known_latex"]
 
 
@@ -222,7 +228,8 @@ def evidence_rules(df: DataFrame, yield_text: str | None = None) -> DataFrame:
 
     A mapped SMILES must hold >> and a mapped atom. A yield must be written as
     ``N%`` in the source text. ``yield_text`` names a column with the yield as
-    given, when that may not be a number.
+    given, when that may not be a number. Rows with ``percents`` bring the numbers that
+    their source mentions, or ``seen`` for a yield known from there, in place of the text.
     """
     mapped = F.col("payload.atom_mapped_reaction_smiles")
     share = F.col("payload.yield_percent")
@@ -234,8 +241,11 @@ def evidence_rules(df: DataFrame, yield_text: str | None = None) -> DataFrame:
             "_given": given.isNotNull(),
         }
     )
-    # Flat columns, so the source text is searched once.
-    d = d.withColumn("_seen", X.mentions_percent(F.col("provenance.source_text"), F.col("_number")))
+    # Flat columns, so the source text is searched once, or not at all where the page was.
+    if "percents" in df.columns:
+        d = d.withColumn("_seen", F.coalesce("seen", X.among_percents(F.col("percents"), F.col("_number")))).drop("seen", "percents")
+    else:
+        d = d.withColumn("_seen", X.mentions_percent(F.col("provenance.source_text"), F.col("_number")))
     changed = {
         "atom_mapped_reaction_smiles": F.when(F.col("_mapped_ok"), mapped),
         "yield_percent": F.when(F.col("_seen"), F.col("_number")),

@@ -10,7 +10,7 @@ from leafmill.functions.ordering import dense_position
 from leafmill.operators.blocks import item_columns, normalize_blocks
 from leafmill.operators.merge import image_path_rewrite, overlap_keep_first, page_tree_keep_first, rebase_page
 from leafmill.session import materialize
-from leafmill.sources.layout import layout_items_scan, page_sizes, page_tree_scan, tree_pages, without_items
+from leafmill.sources.layout import layout_items_scan, page_sizes, page_tree_scan, read_page_tree, tree_pages, without_items
 
 
 def scanned_items(payloads: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -23,6 +23,17 @@ def scanned_items(payloads: DataFrame, chunks: DataFrame) -> DataFrame:
     return materialize(item_columns(rows, ["document_id", "chunk_ord", "chunk_id", "pos", "page_idx"]), "layout-items")
 
 
+def scanned_trees(trees: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Page-tree entries of completed windows with global pages, parsed and written once.
+
+    ``trees`` has document_id, chunk_ord and payload (JSON text). Sizes and ownership
+    later read their own columns.
+    """
+    read = trees.select("document_id", "chunk_ord", read_page_tree(F.col("payload")).alias("pages"))
+    pages = rebase_page(tree_pages(read, ["document_id", "chunk_ord"]), chunks.filter("status = 'completed'"))
+    return materialize(pages, "layout-trees")
+
+
 def merged_items(scanned: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Items with overlaps removed; item_index is the position in the merged document."""
     kept = overlap_keep_first(scanned)
@@ -44,7 +55,7 @@ def parse_documents(
     if trees is None:
         return normalize_blocks(items, supplied_sizes)
     keys = ["document_id", "chunk_ord"]
-    tree = rebase_page(tree_pages(trees, keys), chunks.filter("status = 'completed'"))
+    tree = scanned_trees(trees, chunks)
     # Sizes travel without the page's blocks; blocks travel for lonely documents only.
     size_only = tree.withColumn("page", F.struct(F.col("page.page_size").alias("page_size")))
     sizes = page_sizes(page_tree_keep_first(size_only), supplied_sizes)

@@ -191,7 +191,6 @@ def test_tree_stands_in_only_without_items(spark):
     )
     payloads = spark.createDataFrame([("d", 1, '[{"text":"own","bbox":[60,80,300,400]}]'), ("e", 1, "[]")], "document_id string, chunk_ord int, payload string")
     trees = spark.createDataFrame([("d", 1, json.dumps(tree)), ("e", 1, json.dumps(tree))], "document_id string, chunk_ord int, payload string")
-    trees = trees.withColumn("pages", L.read_page_tree(F.col("payload"))).drop("payload")
     got = {r.document_id: r for r in parse_documents(payloads, chunks, trees=trees).collect()}
     assert got["d"].text == "own" and got["e"].text == "abc"
     assert got["e"].page_no == 5

@@ -1,6 +1,7 @@
 """Candidates, validation, rules and de-duplication on hand-worked rows."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +246,17 @@ def test_late_success_settles_a_window(spark):
     chunks = spark.createDataFrame([("d", 1, None, None)], "document_id string, chunk_ord int, status string, error string")
     tries = spark.createDataFrame([("d", 1, 1, False, "a"), ("d", 1, 2, False, "b"), ("d", 1, 3, True, None)], "document_id string, chunk_ord int, attempt int, ok boolean, error string")
     assert [r.status for r in W.settle_attempts(chunks, tries).collect()] == ["completed"]
+
+
+def test_sorts_hold_keys_only(demo):
+    """No sort of an extraction, before or after its evidence is joined, moves page text."""
+    plan = extract_reactions(demo)._jdf.queryExecution().explainString(demo.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sorts = re.findall(r"\(\d+\) Sort\n(?:Input \[\d+\]: (.*))", plan)
+    assert sorts and not [s for s in sorts if "source_text" in s or "block_ids" in s]
+    assert "ShuffledHashJoin" in plan
+
+
+def test_percents_are_read_once(spark):
+    texts = ["a 5% b 5 % c -7% d 3-8% .5% 1.50% 10 percent", "", None, "no sign", "-0.5%"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.percents(F.col("t"))).collect()]
+    assert got == [["5", "7", "8", ".5", "1.50", "-7"], [], [], [], ["0.5", "-0.5"]]

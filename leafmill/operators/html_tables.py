@@ -69,74 +69,86 @@ def header_suffix(names: Column) -> Column:
     return bind(ordered, lambda s: bind(F.transform(s, lambda x: x["n"]), lambda flat: F.transform(names, lambda c, i: suffixed(s, flat, c, i))))
 
 
-def _closed(kind: str, from_: Column, to: Column, first: Column, last: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), from_.alias("open"), to.alias("close"), first.alias("first"), last.alias("last"))
+# What a tag does, in the order that the step below compares by.
+CELL, CELL_END, ROW, ROW_END, SECTION, TABLE_END, TABLE = range(1, 8)
+EFFECTS = {
+    "td": CELL, "th": CELL, "/td": CELL_END, "/th": CELL_END, "tr": ROW, "/tr": ROW_END, "thead": SECTION, "tbody": SECTION, "tfoot": SECTION,
+    "/thead": SECTION, "/tbody": SECTION, "/tfoot": SECTION, "/table": TABLE_END, "table": TABLE,
+}
+ELEMENT = "array<struct<open:int,close:int,first:int,last:int>>"
+LEVELS = "array<struct<tr:int,first:int,td:int>>"
 
 
-ELEMENT = "array<struct<kind:string,open:int,close:int,first:int,last:int>>"
-LEVELS = "array<struct<tr:int,first:int,td:int>>"
+def effect(tag: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in EFFECTS.items() for x in pair]), F.lower(tag))
+
+
+def _span(from_: Column, to: Column, first: Column, last: Column) -> Column:
+    return F.struct(from_.alias("open"), to.alias("close"), first.alias("first"), last.alias("last"))
+
 
+def _state(s: Column, **changed: Column) -> Column:
+    names = ["depth", "below", "tr", "first", "td", "cells", "out"]
+    return F.struct(*[changed.get(n, s[n]).alias(n) for n in names])
 
-def _step(s: Column, tag: Column, i: Column) -> Column:
-    """One tag after another: what is open at each level of nested tables, and what the tag closes.
 
-    A level knows its open row (where it began, and how many cells there were before it)
+def _step(s: Column, e: Column, i: Column) -> Column:
+    """One tag after another: what is open in the innermost table and in those around it, and what the tag closes.
+
+    A table knows its open row (where it began, and how many cells there were before it)
     and its open cell. A cell ends at the next cell, row or section of its own table, or
     at its end tag; a row at the next row or section; a table ends whatever it holds.
+    A finished cell is a span whose ``first`` is -1; a row's are its cells' numbers.
     """
-    top = F.element_at(s["levels"], -1)
-    rest = F.slice(s["levels"], F.lit(1), F.size(s["levels"]) - 1)
-    cell, row = tag.isin("td", "th"), tag == "tr"
-    section = tag.isin("thead", "tbody", "tfoot", "/thead", "/tbody", "/tfoot", "/table")
-    ends_row = row | (tag == "/tr") | section
-    ends_cell = ends_row | cell | tag.isin("/td", "/th")
-    none = F.array().cast(ELEMENT)
-    shut_cell = F.when(ends_cell & (top["td"] >= 0), F.array(_closed("cell", top["td"], i, F.lit(0), F.lit(0)))).otherwise(none)
-    shut_row = F.when(ends_row & (top["tr"] >= 0), F.array(_closed("row", top["tr"], i, top["first"], s["cells"]))).otherwise(none)
-    level = F.struct(
-        F.when(row, i).when(ends_row, F.lit(-1)).otherwise(top["tr"]).alias("tr"),
-        F.when(row, s["cells"]).otherwise(top["first"]).alias("first"),
-        F.when(cell, i).when(ends_cell, F.lit(-1)).otherwise(top["td"]).alias("td"),
+    out = s["out"]
+    ends_cell = (s["td"] >= 0) & (e <= TABLE_END)
+    ends_row = (e >= ROW) & (e <= TABLE_END)
+    row_done = ends_row & (s["tr"] >= 0)
+    cell_span = F.array(_span(s["td"], i, F.lit(-1), F.lit(0)))
+    row_span = F.array(_span(s["tr"], i, s["first"], s["cells"]))
+    finished = (
+        F.when(ends_cell & row_done, F.concat(out, cell_span, row_span)).when(ends_cell, F.concat(out, cell_span)).when(row_done, F.concat(out, row_span)).otherwise(out)
     )
-    inner = F.struct(F.lit(-1).alias("tr"), F.lit(0).alias("first"), F.lit(-1).alias("td"))
-    levels = F.when(tag == "table", F.concat(s["levels"], F.array(inner))).when(tag == "/table", rest).otherwise(F.concat(rest, F.array(level)))
-    after = F.struct(
-        levels.cast(LEVELS).alias("levels"),
-        (s["cells"] + F.when(cell, 1).otherwise(0)).alias("cells"),
-        F.concat(s["out"], shut_cell, shut_row).cast(ELEMENT).alias("out"),
+    inside = _state(
+        s,
+        tr=F.when(e == ROW, i).when(ends_row, F.lit(-1)).otherwise(s["tr"]),
+        first=F.when(e == ROW, s["cells"]).otherwise(s["first"]),
+        td=F.when(e == CELL, i).when(ends_cell, F.lit(-1)).otherwise(s["td"]),
+        cells=s["cells"] + F.when(e == CELL, 1).otherwise(0),
+        out=finished,
     )
+    around = F.struct(s["tr"].alias("tr"), s["first"].alias("first"), s["td"].alias("td"))
+    opened = _state(s, depth=s["depth"] + 1, below=F.concat(s["below"], F.array(around)), tr=F.lit(-1), first=F.lit(0), td=F.lit(-1))
+    up = F.get(s["below"], s["depth"] - 2)
+    rest = F.slice(s["below"], F.lit(1), F.greatest(s["depth"] - 2, F.lit(0)))
+    left = _state(s, depth=s["depth"] - 1, below=rest, tr=F.coalesce(up["tr"], F.lit(-1)), first=F.coalesce(up["first"], F.lit(0)), td=F.coalesce(up["td"], F.lit(-1)), out=finished)
     # Behind the end of the outer table nothing counts.
-    return F.when(F.size(s["levels"]) > 0, after).otherwise(s)
+    return F.when(s["depth"] == 0, s).when(e < TABLE_END, inside).when(e == TABLE, opened).otherwise(left)
 
 
-def _elements(tags: Column, n: Column) -> Column:
+def _elements(effects: Column, n: Column) -> Column:
     """struct<out, closed>: rows and cells of the outer table as spans of tags, and whether it ends.
 
     Tags are folded in runs, so that finished elements are copied within their run only.
     """
-    start = F.struct(F.array(F.struct(F.lit(-1).alias("tr"), F.lit(0).alias("first"), F.lit(-1).alias("td"))).cast(LEVELS).alias("levels"), F.lit(0).alias("cells"), F.array().cast(ELEMENT).alias("out"))
-    whole = F.struct(start["levels"].alias("levels"), start["cells"].alias("cells"), F.array().cast(f"array<{ELEMENT}>").alias("out"))
+    none = F.array().cast(ELEMENT)
+    values = [F.lit(1), F.array().cast(LEVELS), F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), F.array().cast(f"array<{ELEMENT}>")]
+    start = F.struct(*[v.alias(k) for v, k in zip(values, ["depth", "below", "tr", "first", "td", "cells", "out"], strict=True)])
 
     def run(s: Column, r: Column) -> Column:
-        part = F.transform(F.slice(tags, r * RUN + 1, F.lit(RUN)), lambda t, j: F.struct(t.alias("t"), (r * RUN + j).cast("int").alias("i")))
-        begin = F.struct(s["levels"].alias("levels"), s["cells"].alias("cells"), F.array().cast(ELEMENT).alias("out"))
-        done = F.aggregate(part, begin, lambda q, x: _step(q, x["t"], x["i"]))
-        return bind(done, lambda d: F.struct(d["levels"].alias("levels"), d["cells"].alias("cells"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+        part = F.transform(F.slice(effects, r * RUN + 1, F.lit(RUN)), lambda e, j: F.struct(e.alias("e"), (r * RUN + j).cast("int").alias("i")))
+        done = F.aggregate(part, _state(s, out=none), lambda q, x: _step(q, x["e"], x["i"]))
+        return bind(done, lambda d: _state(d, out=F.concat(s["out"], F.array(d["out"]))))
 
     runs = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(runs, whole, run)
+    folded = F.aggregate(runs, start, run)
 
     def ended(d: Column) -> Column:
-        left = F.flatten(
-            F.transform(
-                d["levels"],
-                lambda v: F.concat(
-                    F.when(v["td"] >= 0, F.array(_closed("cell", v["td"], n, F.lit(0), F.lit(0)))).otherwise(F.array().cast(ELEMENT)),
-                    F.when(v["tr"] >= 0, F.array(_closed("row", v["tr"], n, v["first"], d["cells"]))).otherwise(F.array().cast(ELEMENT)),
-                ),
-            )
-        )
-        return F.struct(F.concat(F.flatten(d["out"]), left).cast(ELEMENT).alias("out"), (F.size(d["levels"]) == 0).alias("closed"))
+        around = F.struct(d["tr"].alias("tr"), d["first"].alias("first"), d["td"].alias("td"))
+        levels = F.when(d["depth"] > 0, F.concat(d["below"], F.array(around))).otherwise(F.array().cast(LEVELS))
+        cells = F.transform(F.filter(levels, lambda v: v["td"] >= 0), lambda v: _span(v["td"], n, F.lit(-1), F.lit(0)))
+        rows = F.transform(F.filter(levels, lambda v: v["tr"] >= 0), lambda v: _span(v["tr"], n, v["first"], d["cells"]))
+        return F.struct(F.concat(F.flatten(d["out"]), cells, rows).alias("out"), (d["depth"] == 0).alias("closed"))
 
     return bind(folded, ended)
 
@@ -159,14 +171,14 @@ def table_grid(html: Column) -> Column:
         return F.when((F.size(p) > 1) & (first > 0), bind(rest, lambda q: inside(q))).otherwise(F.lit(None))
 
     def inside(q: Column) -> Column:
-        tags = F.transform(q, lambda x: F.lower(F.substring_index(x, "\x02", 1)))
+        effects = F.transform(q, lambda x: effect(F.substring_index(x, "\x02", 1)))
         texts = F.transform(q, lambda x: F.substring(x, F.instr(x, "\x02") + 1, F.length(x)))
-        return bind(tags, lambda t: bind(texts, lambda x: bind(_elements(t, F.size(t)), lambda e: laid_out(x, e))))
+        return bind(effects, lambda t: bind(texts, lambda x: bind(_elements(t, F.size(t)), lambda e: laid_out(x, e))))
 
     def laid_out(texts: Column, e: Column) -> Column:
-        spans = F.array_sort(F.transform(F.filter(e["out"], lambda x: x["kind"] == "cell"), lambda x: F.struct(x["open"].alias("open"), x["close"].alias("close"))))
-        cells = F.transform(spans, lambda c: cell_text(F.array_join(F.slice(texts, c["open"] + 1, c["close"] - c["open"]), " ")))
-        rows = F.array_sort(F.transform(F.filter(e["out"], lambda x: x["kind"] == "row"), lambda x: F.struct(x["open"].alias("open"), x["first"].alias("first"), x["last"].alias("last"))))
+        spans = F.array_sort(F.filter(e["out"], lambda x: x["first"] < 0))
+        cells = F.transform(spans, lambda c: cell_text(F.when(c["close"] == c["open"] + 1, F.get(texts, c["open"])).otherwise(F.array_join(F.slice(texts, c["open"] + 1, c["close"] - c["open"]), " "))))
+        rows = F.array_sort(F.filter(e["out"], lambda x: x["first"] >= 0))
         return bind(cells, lambda c: F.struct(F.transform(rows, lambda r: F.slice(c, r["first"] + 1, r["last"] - r["first"])).alias("rows"), e["closed"].alias("closed")))
 
     return bind(pieces, grid)

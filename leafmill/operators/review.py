@@ -40,16 +40,21 @@ def fold_patches(patches: DataFrame) -> DataFrame:
         # max_by skips rows whose ordering value is null.
         return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
 
+    at = [F.max_by("at", "seq").alias("updated_at")] if "at" in patches.columns else []
     return p.groupBy("reaction_id").agg(
         *[last(c).alias(c) for c in fields],
         last("_status").alias("review_status"),
+        *at,
         F.max("seq").alias("seq"),
     )
 
 
 def apply_patches(reactions: DataFrame, folded: DataFrame) -> DataFrame:
-    """Reactions with folded patches applied; the rules are not run again."""
-    fields = [c for c in ("payload", "provenance", "validation", "review_status") if c in folded.columns]
+    """Reactions with folded patches applied; the rules are not run again.
+
+    The last patch's time becomes the record's; a record without patch keeps its own.
+    """
+    fields = [c for c in ("payload", "provenance", "validation", "review_status", "updated_at") if c in folded.columns]
     p = folded.select(F.col("reaction_id").alias("id"), *[F.col(c).alias(f"p_{c}") for c in fields])
     out = reactions.join(p, "id", "left")
     return out.withColumns({c: F.coalesce(f"p_{c}", c) for c in fields}).drop(*[f"p_{c}" for c in fields])

@@ -7,23 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.operators.windows import chunk_summary
-from leafmill.streaming.runs import append_updates, latest_updates
+from leafmill.streaming import state
 
 
 def latest_status(updates: DataFrame) -> DataFrame:
-    """Last status of each window by seq; ``chunk_key`` identifies the window."""
-    return updates.groupBy("chunk_key").agg(
-        F.max("document_id").alias("document_id"),
-        F.max("chunk_ord").alias("chunk_ord"),
-        F.max_by("status", "seq").alias("status"),
-    )
+    """Partial states of windows: the last status by seq; ``chunk_key`` names the window."""
+    keyed = updates.withColumn("chunk_key", F.concat_ws("#", "document_id", "chunk_ord"))
+    fields = {c: (F.col(c), F.lit(True)) for c in ("document_id", "chunk_ord", "status")}
+    return state.folded(keyed, "chunk_key", "seq", fields)
 
 
 def stream_chunk_progress(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    keyed = updates.withColumn("chunk_key", F.concat_ws("#", "document_id", "chunk_ord"))
-    return append_updates(latest_status(keyed), path, checkpoint)
+    return state.append_states(updates, latest_status, path, checkpoint)
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """Chunk summary over the streamed state."""
-    return chunk_summary(latest_updates(spark, path, "chunk_key"))
+    return chunk_summary(state.current(spark, path, "chunk_key"))

@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-import time
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.schemas import RUN_EVENTS
+from leafmill.streaming import state
+from leafmill.streaming.state import Fields
 
 
-def fold_run_events(events: DataFrame) -> DataFrame:
-    """Last non-null stage and progress per run, by event id; batch or stream."""
-
-    def last(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("id")))
-
+def run_fields(events: DataFrame) -> Fields:
+    """What an event can change: stage and progress where given, and how the run ended."""
     moved = F.col("stage").isNotNull() | F.col("progress").isNotNull()
-    final = F.col("type").isin("agent_completed", "agent_failed")
-    return events.groupBy("run_id").agg(
-        last("stage").alias("stage"),
-        last("progress").alias("progress"),
-        F.max(F.when(moved, F.col("created_at"))).alias("updated_at"),
-        F.coalesce(
-            F.max_by(
-                F.when(F.col("type") == "agent_failed", "failed").when(final, "completed"),
-                F.when(final, F.col("id")),
-            ),
-            F.lit("running"),
-        ).alias("status"),
-        F.max("id").alias("last_id"),
+    failed, ended = F.col("type") == "agent_failed", F.col("type").isin("agent_completed", "agent_failed")
+    summary = F.col("summary") if "summary" in events.columns else F.lit(None).cast("string")
+    end = F.struct(
+        F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.when(~failed, summary).alias("summary"),
+        F.when(failed, F.col("message")).alias("error"),
     )
+    return {
+        "stage": (F.col("stage"), F.col("stage").isNotNull()),
+        "progress": (F.col("progress"), F.col("progress").isNotNull()),
+        "updated_at": (F.col("created_at"), moved | ended),
+        "end": (end, ended),
+        "last_id": (F.col("id"), F.lit(True)),
+    }
+
+
+def partial_runs(events: DataFrame) -> DataFrame:
+    return state.folded(events, "run_id", "id", run_fields(events))
+
+
+def _shown(runs: DataFrame) -> DataFrame:
+    status = F.coalesce("end.status", F.lit("running")).alias("status")
+    return runs.select("run_id", "stage", "progress", "updated_at", status, "end.summary", "end.error", "last_id")
+
+
+def fold_run_events(events: DataFrame) -> DataFrame:
+    """State of each run after its events, in the order of their ids.
+
+    The last event that ends a run gives its status, summary and error (an error's text is
+    the event's message); ``summary`` is an optional column of JSON text.
+    """
+    return _shown(state.values(partial_runs(events), "run_id"))
 
 
 def current_runs(runs: DataFrame, folded: DataFrame) -> DataFrame:
@@ -40,7 +54,7 @@ def current_runs(runs: DataFrame, folded: DataFrame) -> DataFrame:
     ``runs`` has run_id, status, stage, progress, updated_at; a new run starts as
     running, queued, 0.
     """
-    fields = ["status", "stage", "progress", "updated_at"]
+    fields = ["status", "stage", "progress", "updated_at", *(c for c in ("summary", "error") if c in runs.columns)]
     f = folded.select("run_id", *[F.col(c).alias(f"f_{c}") for c in fields])
     out = runs.join(f, "run_id", "left")
     return out.withColumns({c: F.coalesce(f"f_{c}", c) for c in fields}).drop(*[f"f_{c}" for c in fields])
@@ -59,57 +73,37 @@ def event_append(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def event_history(events: DataFrame, run_id: str | None = None) -> DataFrame:
-    """Past events of one run (or all) by id."""
-    rows = events if run_id is None else events.filter(F.col("run_id") == run_id)
-    return rows.orderBy("run_id", "id")
-
-
-def event_tail(spark: SparkSession, path: str) -> DataFrame:
-    """New events of the log as they arrive."""
-    return spark.readStream.schema(RUN_EVENTS).parquet(path)
-
-
-def query_id(spark: SparkSession, checkpoint: str) -> str:
-    """Identity of the query that owns a checkpoint, as Spark wrote it there."""
-    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
-
-
-def batch_folder(spark: SparkSession, path: str, checkpoint: str, batch_id: int) -> str:
-    """Where one micro-batch of one query writes.
+    """Past events of one run (or all), each run's in the order of their ids.
 
-    A replayed batch overwrites its own folder, so a retry changes nothing; a query
-    with a new checkpoint counts its batches anew and has folders of its own.
+    Runs are not ordered among each other, so nothing is sorted beyond one run.
     """
-    return f"{path}/query_id={query_id(spark, checkpoint)}/batch_id={batch_id}"
-
+    rows = events if run_id is None else events.filter(F.col("run_id") == run_id)
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "id")
 
-def append_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch of changed keys under its own batch folder."""
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        folder = batch_folder(batch.sparkSession, path, checkpoint, batch_id)
-        batch.withColumn("written_us", F.lit(time.time_ns() // 1000)).write.mode("overwrite").parquet(folder)
+def replay_and_follow(spark: SparkSession, path: str, run_id: str) -> tuple[DataFrame, DataFrame]:
+    """One run's events up to now, and a stream of those behind them.
 
-    return (
-        updates.writeStream.outputMode("update")
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    The last id seen parts the two, so no event is lost or comes twice, whenever it is
+    written; a run's ids grow with time.
+    """
+    mine = F.col("run_id") == run_id
+    seen = spark.read.schema(RUN_EVENTS).parquet(path).where(mine)
+    last = seen.agg(F.max("id")).first()[0]
+    last = -1 if last is None else last
+    return event_history(seen.where(F.col("id") <= last)), event_tail(spark, path).where(mine & (F.col("id") > last))
 
 
-def latest_updates(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Newest written row of each key over all queries' batch folders."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    fields = [c for c in rows.columns if c not in (key, "query_id", "batch_id", "written_us")]
-    newest = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct("written_us", "batch_id")).alias("_s"))
-    return newest.select(key, "_s.*")
+def event_tail(spark: SparkSession, path: str) -> DataFrame:
+    """New events of the log as they arrive."""
+    return spark.readStream.schema(RUN_EVENTS).parquet(path)
 
 
 def stream_run_state(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the folded state of every run; read it with ``latest_updates``.
+    """Keep the folded state of every run; read it with ``run_states``."""
+    return state.append_states(events, partial_runs, path, checkpoint)
 
-    State is one small row per run and grows with the number of runs.
-    """
-    return append_updates(fold_run_events(events), path, checkpoint)
+
+def run_states(spark: SparkSession, path: str, runs: DataFrame | None = None) -> DataFrame:
+    """State of every streamed run, or of those in ``runs`` (run_id)."""
+    return _shown(state.current(spark, path, "run_id", runs))

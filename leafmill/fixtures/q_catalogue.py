@@ -12,6 +12,7 @@ from leafmill.plans.batch import batch_plan
 from leafmill.session import scratch_path
 from leafmill.sources import files as FS
 from leafmill.sources import stored as ST
+from leafmill.sources import versioned
 
 
 def _hashed(spark, sf):
@@ -154,7 +155,9 @@ FROM documents_cat
 def _(spark, sf):
     docs = D.documents_cat(spark, sf)
     patches = docs.filter("page_count % 3 = 0").selectExpr("id", "'completed' as parse_status", "page_count % 2 = 0 as clear_error")
-    out = C.update_document(docs, patches, F.timestamp_seconds(F.lit(1735689600)))
+    stored = versioned.create(docs, scratch_path(spark, "documents"), ["id"], buckets=8)
+    C.patch_documents(spark, stored, patches, F.timestamp_seconds(F.lit(1735689600)))
+    out = versioned.read(spark, stored)
     times = [F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s")]
     return out.select("id", "filename", "page_count", "sha256", "parse_status", "parse_error", *times)
 
@@ -167,33 +170,34 @@ def _runs(spark, sf):
     "delete_cascade",
     """
 WITH doomed AS (SELECT id FROM documents_cat WHERE page_count % 4 = 0)
-SELECT 'documents' AS source, count(*) AS n FROM documents_cat WHERE id NOT IN (SELECT id FROM doomed)
-UNION ALL SELECT 'blocks', count(*) FROM blocks WHERE document_id NOT IN (SELECT id FROM doomed)
-UNION ALL SELECT 'reactions', count(*) FROM reactions WHERE document_id NOT IN (SELECT id FROM doomed)
-UNION ALL SELECT 'table_records', count(*) FROM table_records WHERE document_id NOT IN (SELECT id FROM doomed)
-UNION ALL SELECT 'run_events', count(*) FROM run_events WHERE cast(id // 10 AS varchar) NOT IN (SELECT id FROM doomed)
+SELECT 'documents' AS source, id, id AS document_id FROM documents_cat WHERE id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'blocks', id, document_id FROM blocks WHERE document_id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'reactions', id, document_id FROM reactions WHERE document_id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'table_records', id, document_id FROM table_records WHERE document_id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'runs', 'run' || id, id FROM documents_cat WHERE id NOT IN (SELECT id FROM doomed)
+UNION ALL SELECT 'run_events', cast(id AS varchar), 'run' || (id // 10) FROM run_events WHERE cast(id // 10 AS varchar) NOT IN (SELECT id FROM doomed)
 """,
 )
 def _(spark, sf):
     docs = D.documents_cat(spark, sf)
     doomed = docs.filter("page_count % 4 = 0").select(F.col("id").alias("document_id"))
     events = D.run_events(spark, sf).withColumn("run_id", F.expr("concat('run', id div 10)"))
-    left = C.delete_cascade(
-        {
-            "documents": docs,
-            "blocks": D.blocks(spark, sf),
-            "reactions": D.reactions(spark, sf),
-            "table_records": D.table_records(spark, sf),
-            "runs": _runs(spark, sf),
-            "run_events": events,
-        },
-        doomed,
-    )
+    tables = {
+        "documents": docs.select("id", F.col("id").alias("document_id")),
+        "blocks": D.blocks(spark, sf).select("id", "document_id"),
+        "reactions": D.reactions(spark, sf).select("id", "document_id"),
+        "table_records": D.table_records(spark, sf).select("id", "document_id"),
+        "runs": _runs(spark, sf).withColumn("id", F.col("run_id")),
+        "run_events": events.select(F.col("id").cast("string").alias("id"), "run_id"),
+    }
+    key = {"documents": "id", "run_events": "run_id"}
+    stored = {name: versioned.create(df, scratch_path(spark, f"cascade-{name}"), [key.get(name, "document_id")], buckets=8) for name, df in tables.items()}
+    C.delete_documents(spark, stored, doomed)
     out = None
-    for name, df in left.items():
-        if name != "runs":
-            n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), "n")
-            out = n if out is None else out.unionByName(n)
+    for name, t in stored.items():
+        owner = "run_id" if name == "run_events" else "document_id"
+        rows = versioned.read(spark, t).select(F.lit(name).alias("source"), "id", F.col(owner).alias("document_id"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -357,12 +361,10 @@ FROM blocks WHERE cast(document_id AS bigint) % 5 > 0 OR reading_order < 10
 """,
 )
 def _(spark, sf):
-    path = scratch_path(spark, "blocks")
     cols = ["document_id", "page_no", "id", "block_type", "text", "reading_order"]
     all_blocks = D.blocks(spark, sf).select(*cols)
-    ST.write_bucketed(all_blocks, path, sort=["page_no", "reading_order"], buckets=8)
-    again = all_blocks.filter("cast(document_id as bigint) % 5 = 0 and reading_order < 10").withColumn(
-        "text", F.concat(F.lit("again "), F.coalesce("text", F.lit("")))
-    )
-    ST.replace_rows(spark, path, again, sort=["page_no", "reading_order"], buckets=8)
-    return ST.read_bucketed(spark, path).select("document_id", "page_no", "id", "block_type", "text")
+    stored = versioned.create(all_blocks, scratch_path(spark, "blocks"), ["document_id"], buckets=8)
+    again = all_blocks.filter("cast(document_id as bigint) % 5 = 0")
+    new = again.filter("reading_order < 10").withColumn("text", F.concat(F.lit("again "), F.coalesce("text", F.lit(""))))
+    versioned.commit(spark, stored, new, replaced=again.select("document_id").distinct())
+    return versioned.read(spark, stored).select("document_id", "page_no", "id", "block_type", "text")

@@ -10,6 +10,7 @@ from leafmill.operators import html_tables as H
 from leafmill.operators.views import table_block_filter
 from leafmill.plans.extract import extract_tables
 from leafmill.session import scratch_path
+from leafmill.sources import versioned
 
 KEYS = ["document_id", "block_id"]
 
@@ -137,7 +138,10 @@ def _(spark, sf):
     base = base.withColumn("payload", F.col("payload").withField("table_title", F.lit("again")))
     again = base.filter("k % 3 = 0").withColumn("id", F.concat(F.lit("n"), "k"))
     fresh = base.filter("k % 5 = 0").withColumns({"id": F.concat(F.lit("n"), "k"), "table_id": F.concat("table_id", F.lit("x"))})
-    out = H.upsert_table_records(t, again.unionByName(fresh))
+    columns = ["id", "document_id", "table_id", "payload", "provenance", "validation", "review_status", "created_at", "updated_at"]
+    stored = versioned.create(t.select(*columns), scratch_path(spark, "table-records"), ["document_id", "table_id"], buckets=8)
+    H.save_table_records(spark, stored, again.unionByName(fresh))
+    out = versioned.read(spark, stored)
     return out.select("id", "document_id", "table_id", "payload.table_title", "review_status", F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s"))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.views import page_coverage
 from leafmill.operators.windows import is_large
+from leafmill.sources import versioned
 
 PATCHABLE = ["filename", "file_path", "page_count", "parse_status", "parse_error"]
 
@@ -92,6 +93,29 @@ def delete_cascade(tables: Mapping[str, DataFrame], doomed: DataFrame) -> dict[s
     return out
 
 
+def patch_documents(spark: SparkSession, stored: versioned.Table, patches: DataFrame, now: Column | None = None) -> int:
+    """Partial update of a stored catalogue: only the patched documents are read and written."""
+    current = versioned.read(spark, stored, patches.select("id"))
+    return versioned.commit(spark, stored, update_document(current, patches, now))
+
+
+def delete_documents(spark: SparkSession, stored: Mapping[str, versioned.Table], doomed: DataFrame) -> None:
+    """Documents and everything that hangs on them go from the stored tables, children first.
+
+    Tables are those of ``delete_cascade``; each is keyed by its document (documents by id,
+    run_events by run_id). Deletion writes keys only. It can be repeated after a failure.
+    """
+    ids = doomed.select("document_id").distinct()
+    for name in sorted(stored, key=["run_events", "runs", "table_records", "reactions", "blocks", "documents"].index):
+        t = stored[name]
+        if name == "run_events":
+            gone = versioned.read(spark, stored["runs"], ids).select("run_id")
+        else:
+            gone = ids.withColumnRenamed("document_id", t.key[0])
+        rows = versioned.read(spark, t, gone).select(*t.key).distinct()
+        versioned.commit(spark, t, replaced=rows)
+
+
 def clear_extractions(reactions: DataFrame, tables: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Only the reaction and table records of the doomed documents go."""
     out = delete_cascade({"reactions": reactions, "table_records": tables}, doomed)

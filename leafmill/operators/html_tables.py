@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.functions.ordering import dense_position, settled
 from leafmill.functions.variants import bind
+from leafmill.sources import versioned
 
 # Cell texts read as null.
 NULL_CELLS = ["", "na", "n/a", "-", "—", "null"]
@@ -378,6 +379,12 @@ def upsert_table_records(stored: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def save_table_records(spark: SparkSession, stored: versioned.Table, new: DataFrame) -> int:
+    """Upsert into a stored table keyed by (document_id, table_id): only hit keys are read, only saved ones written."""
+    current = versioned.read(spark, stored, new.select(*stored.key))
+    return versioned.commit(spark, stored, upsert_table_records(current, new))
+
+
 KINDS = {"boolean": "boolean", "long": "bigint", "double": "double", "string": "string"}
 SCHEMA_BUCKETS = 64
 

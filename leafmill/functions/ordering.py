@@ -98,6 +98,20 @@ def dense_position(
     )
 
 
+def with_ends(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """Marks each group's first and last row by ``order``, which names a row: opens, closes.
+
+    The ends are one row per group, from partial aggregates; they meet the rows on group
+    and order, never on the group alone, so a group of any size stays spread out.
+    """
+    at = F.struct(*order)
+    ends = df.groupBy(group).agg(F.min(at).alias("_a"), F.max(at).alias("_z"))
+    marks = ends.select(group, "_a", "_z", F.explode(F.array_distinct(F.array("_a", "_z"))).alias("_at"))
+    marks = marks.select(group, *[F.col("_at")[c].alias(c) for c in order], (F.col("_at") == F.col("_a")).alias("opens"), (F.col("_at") == F.col("_z")).alias("closes"))
+    found = df.join(marks, [group, *order], "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("opens", "closes")})
+
+
 def gather(df: DataFrame, group: Sequence[str], order: Sequence[str], **lists: Column) -> DataFrame:
     """Per group, ordered arrays of the given columns (nulls kept as array items).
 

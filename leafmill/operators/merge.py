@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.functions.ordering import with_ends
 
 
 def rebase_page(items: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -88,17 +89,12 @@ def merged_markdown(chunks: DataFrame) -> DataFrame:
     is never one value. ``chunks`` has document_id, chunk_ord, chunk_id,
     start_page, end_page, text; windows without text are left out.
     """
-    have = chunks.filter("text is not null")
-    ends = have.groupBy("document_id").agg(F.min("chunk_ord").alias("_first"), F.max("chunk_ord").alias("_last"))
+    have = with_ends(chunks.filter("text is not null"), "document_id", ["chunk_ord"])
     body = F.concat(
-        F.when(F.col("chunk_ord") == F.col("_first"), F.lit("")).otherwise(F.lit("\n\n")),
+        F.when(F.col("opens"), F.lit("")).otherwise(F.lit("\n\n")),
         chunk_comment(F.col("chunk_id"), F.col("start_page"), F.col("end_page")),
         F.lit("\n\n"),
         F.col("text"),
     )
     trimmed = F.concat(F.regexp_replace(body, r"(?U)\s+$", ""), F.lit("\n"))
-    return have.join(ends, "document_id").select(
-        "document_id",
-        "chunk_ord",
-        F.when(F.col("chunk_ord") == F.col("_last"), trimmed).otherwise(body).alias("piece"),
-    )
+    return have.select("document_id", "chunk_ord", F.when(F.col("closes"), trimmed).otherwise(body).alias("piece"))

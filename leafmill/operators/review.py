@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import example_schema as S
 from leafmill.functions import text as X
+from leafmill.functions.ordering import with_ends
 from leafmill.operators.records import DEFAULT_SCHEMA
 from leafmill.operators.user_records import projected_text
 
@@ -78,28 +79,27 @@ def export_jsonl(reactions: DataFrame, include_pending: bool = False, example: d
     return rows.select("document_id", "created_at", "id", projected_payload(rows, example).alias("value"))
 
 
-def json_array_lines(lines: DataFrame) -> DataFrame:
+AT = ["created_at", "id"]
+
+
+def json_array_lines(lines: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Lines of a JSON array per document: "[" opens the first, "]" closes the last.
 
     A document's lines, in order, are its JSON file, so no array is ever built
-    from a whole document.
+    from a whole document. Of ``documents`` (id), those without lines get "[]".
     """
-    at = F.struct("created_at", "id")
-    ends = lines.groupBy("document_id").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-    return lines.join(ends, "document_id").select(
-        "document_id",
-        "created_at",
-        "id",
-        F.concat(
-            F.when(at == F.col("_first"), "[").otherwise(""),
-            "value",
-            F.when(at == F.col("_last"), "]").otherwise(","),
-        ).alias("value"),
-    )
+    marked = with_ends(lines, "document_id", AT)
+    value = F.concat(F.when(F.col("opens"), "[").otherwise(""), "value", F.when(F.col("closes"), "]").otherwise(","))
+    out = marked.select("document_id", *AT, value.alias("value"))
+    if documents is None:
+        return out
+    bare = documents.select(F.col("id").alias("document_id")).join(lines.select("document_id").distinct(), "document_id", "left_anti")
+    none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in AT]
+    return out.unionByName(bare.select("document_id", *none, F.lit("[]").alias("value")))
 
 
-def export_json(reactions: DataFrame, include_pending: bool = False) -> DataFrame:
-    return json_array_lines(export_jsonl(reactions, include_pending))
+def export_json(reactions: DataFrame, include_pending: bool = False, documents: DataFrame | None = None, example: dict[str, Any] | None = None) -> DataFrame:
+    return json_array_lines(export_jsonl(reactions, include_pending, example), documents)
 
 
 def export_tables(tables: DataFrame, include_pending: bool = False) -> DataFrame:
@@ -118,13 +118,8 @@ def export_rxn_text(reactions: DataFrame, bodies: DataFrame, include_pending: bo
     have = rows.select("document_id", "created_at", "id", F.col("payload.rxn_path").alias("rxn_path")).join(
         bodies, ["document_id", "rxn_path"]
     )
-    at = F.struct("created_at", "id")
-    first = have.groupBy("document_id").agg(F.min(at).alias("_first"))
-    return have.join(first, "document_id").select(
-        "document_id",
-        "created_at",
-        "id",
-        F.concat(F.when(at == F.col("_first"), "").otherwise(X.RXN_SEPARATOR), X.strip(F.col("body"))).alias("piece"),
+    return with_ends(have, "document_id", AT).select(
+        "document_id", *AT, F.concat(F.when(F.col("opens"), "").otherwise(X.RXN_SEPARATOR), X.strip(F.col("body"))).alias("piece")
     )
 
 
@@ -162,8 +157,10 @@ def write_text_export(lines: DataFrame, path: str, value: str = "value", per_doc
 
 
 def write_review(records: DataFrame, documents: DataFrame, version: str, path: str) -> None:
-    """Review envelopes as JSON with null fields kept, tagged with the export stem."""
+    """Review envelopes as JSON with null fields kept, tagged with the export stem of their file.
+
+    Records of documents that ``documents`` (id, filename) lacks take the document's id.
+    """
     stems = documents.select(F.col("id").alias("source_document_id"), X.export_stem(F.col("filename")).alias("stem"))
-    review_envelope(records, version).join(stems, "source_document_id").write.mode("overwrite").option(
-        "ignoreNullFields", "false"
-    ).json(path)
+    told = review_envelope(records, version).join(stems, "source_document_id", "left").withColumn("stem", F.coalesce("stem", "source_document_id"))
+    told.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

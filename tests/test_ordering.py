@@ -128,3 +128,13 @@ def test_search_folds_ascii_only(spark):
 
 def test_page_filter_zero_means_all(hot):
     assert V.blocks_by_page(hot, "hot", 0).count() == V.blocks_by_page(hot, "hot").count() > V.blocks_by_page(hot, "hot", 1).count()
+
+
+def test_ends_meet_rows_on_the_whole_key(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 3, "z"), ("b", 2, "q"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "g string, at int, id string")
+    got = {(r.g, r.id): (r.opens, r.closes) for r in O.with_ends(df, "g", ["at", "id"]).collect()}
+    assert got == {("a", "x"): (True, False), ("a", "y"): (False, False), ("a", "z"): (False, True), ("b", "q"): (True, True), (None, "n"): (False, False)}
+    plan = O.with_ends(df, "g", ["at", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and all(c in joins[0] for c in ("g#", "at#", "id#"))

@@ -260,3 +260,12 @@ def test_update_document(spark):
     got = {r.id: r for r in C.update_document(docs, patch, F.lit("now")).collect()}
     assert (got["a"].parse_status, got["a"].parse_error, got["a"].updated_at, got["a"].filename, got["a"].created_at) == ("completed", None, "now", "f.pdf", "c")
     assert got["b"].updated_at == "u"
+
+
+def test_json_arrays_of_all_documents(spark):
+    lines = spark.createDataFrame([("d", 1, "a", "1"), ("d", 2, "b", "2"), ("d", 3, "c", "3"), ("e", 1, "z", "9")], "document_id string, created_at int, id string, value string")
+    documents = spark.createDataFrame([("d",), ("e",), ("empty",)], "id string")
+    parts = {}
+    for r in R.json_array_lines(lines, documents).orderBy("document_id", "created_at", "id").collect():
+        parts[r.document_id] = parts.get(r.document_id, "") + r.value
+    assert parts == {"d": "[1,2,3]", "e": "[9]", "empty": "[]"}

@@ -267,6 +267,14 @@ def test_alignment_equals_loops(spark, coders):
     assert alignment.align(docs.limit(0), BYTES, PIECES)[0].count() == 0
 
 
+def test_ranks_are_the_same_tokenizer(coders):
+    """Every character that goes by ranks, in several surroundings, and whole texts."""
+    texts = [f(chr(i)) for i in range(0x370) for f in (lambda c: f" a{c}b", lambda c: f" 1{c}{c} {c}2", lambda c: f" {c}'{c}s  {c}\n {c}!{c}", lambda c: c * 5)]
+    texts += [" " + t for t in speech() if t and alignment.LATER.search(t) is None]
+    assert coders.ranked is not None and not any(alignment.LATER.search(t) for t in texts)
+    assert coders.byte_ids(texts) == [e.ids for e in coders.byte_level.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_wide_groups_count_alike(coders, monkeypatch):
     coded = [c for c in coders.encode(["日本語" * 50, "naïve 👍🏽" * 20, "a b c"]) if c]
     one = alignment.Aligned(coders, coded)

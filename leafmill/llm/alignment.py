@@ -41,9 +41,9 @@ from leafmill.session import materialize
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Characters whose classes no two versions of Unicode tables tell apart lie below.
 LATER = re.compile("[\u0370-\U0010ffff]")
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 BLOCK_DOCS = 1 << 15
-BLOCK_ENTRIES = 3_000_000
+BLOCK_ENTRIES = 1_500_000
 WIDE_GROUP = 256  # links of a group that are still spelt out one by one
 GAPS, NUMBERS, BITS = 0, 1, 2
 NO_IDS = np.zeros(0, np.int64)
@@ -97,7 +97,9 @@ class Coders:
         """Ids by A. Texts of common characters take the ranks, others the file's own library."""
         fast = self.ranked
         common = [fast is not None and LATER.search(t) is None for t in texts]
-        rest = iter(self.byte_level.encode_batch_fast([t for t, c in zip(texts, common, strict=True) if not c], add_special_tokens=False))
+        others = [t for t, c in zip(texts, common, strict=True) if not c]
+        # The library is loaded where a text needs it.
+        rest = iter(self.byte_level.encode_batch_fast(others, add_special_tokens=False) if others else ())
         return [fast.encode_ordinary(t) if c else next(rest).ids for t, c in zip(texts, common, strict=True)]
 
     @cached_property
@@ -108,7 +110,8 @@ class Coders:
 
     @cached_property
     def a_bytes(self) -> list[bytes]:
-        vocabulary, byte = self.byte_level.get_vocab(with_added_tokens=True), byte_of_char()
+        vocabulary = self.said["model"]["vocab"] | {t["content"]: t["id"] for t in self.said.get("added_tokens", ())}
+        byte = byte_of_char()
         out = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             out[i] = bytes(byte[c] for c in token)

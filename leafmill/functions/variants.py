@@ -33,7 +33,8 @@ def items(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    """Does it read as a struct? One field is looked up, the others are not walked."""
+    return F.try_variant_get(v, "$", "struct<type:variant>").isNotNull()
 
 
 def bind(c: Column, fn: Callable[[Column], Column]) -> Column:

@@ -13,13 +13,18 @@ ORDER = ["reading_order", "id"]
 
 
 def blocks_by_page(blocks: DataFrame, document_id: str | None = None, page_no: int | None = None) -> DataFrame:
-    """Blocks in page order; page 0 or none means every page."""
+    """Blocks in page order; page 0 or none means every page.
+
+    Without a document, order holds inside each page; pages lie in no order.
+    """
     out = blocks
     if document_id is not None:
         out = out.filter(F.col("document_id") == document_id)
     if page_no:
         out = out.filter(F.col("page_no") == page_no)
-    return out.orderBy("document_id", "page_no", *ORDER)
+    if document_id is None:
+        return out.repartition("document_id", "page_no").sortWithinPartitions("document_id", "page_no", *ORDER)
+    return out.orderBy("page_no", *ORDER)
 
 
 def json_page(provenance_json: Column) -> Column:
@@ -99,14 +104,19 @@ def page_text(blocks: DataFrame) -> DataFrame:
     return gather_text(blocks, ["document_id", "page_no"], ORDER, F.coalesce("text", F.lit("")), "\n", "page_text")
 
 
+def _markdown_part(text: Column, block_type: Column) -> Column:
+    return F.coalesce(X.truthy(X.strip(text)), F.concat(F.lit("*["), block_type, F.lit("]*")))
+
+
+def _markdown_page(page_no: Column, body: Column) -> Column:
+    return F.concat(F.format_string(X.PAGE_HEADING, page_no), F.lit("\n\n"), body, F.lit("\n"))
+
+
 def page_markdown(blocks: DataFrame) -> DataFrame:
     """Heading, then each block's text (or its type in italics), blank line between."""
-    part = F.coalesce(X.truthy(X.strip(F.col("text"))), F.concat(F.lit("*["), "block_type", F.lit("]*")))
+    part = _markdown_part(F.col("text"), F.col("block_type"))
     body = gather_text(blocks, ["document_id", "page_no"], ORDER, part, "\n\n", "body")
-    heading = F.format_string(X.PAGE_HEADING, F.col("page_no"))
-    return body.select(
-        "document_id", "page_no", F.concat(heading, F.lit("\n\n"), "body", F.lit("\n")).alias("markdown")
-    )
+    return body.select("document_id", "page_no", _markdown_page(F.col("page_no"), F.col("body")).alias("markdown"))
 
 
 def page_manifest(documents: DataFrame, images: DataFrame) -> DataFrame:
@@ -124,9 +134,9 @@ def union_bbox(blocks: DataFrame) -> DataFrame:
 
 
 # ---- hit test ----------------------------------------------------------------
-# A box lies in the square grid whose cells are a quarter to an eighth of its longer
-# side, so it reaches at most 5 x 5 cells; a page-wide one lies in the coarsest grid.
-COARSEST, FINEST = 2, 12  # log2 of the cells along a page
+# A box lies in the square grid whose cells are a half of its longer side or more, but
+# less than the whole, so it reaches at most 3 x 3 cells.
+COARSEST, FINEST = 1, 12  # log2 of the cells along a page
 
 
 def hit_union(blocks: DataFrame, reactions: DataFrame, tables: DataFrame) -> DataFrame:
@@ -163,7 +173,7 @@ def hit_test(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
     """Smallest box containing each click, ties by kind then input order.
 
     Each box is stored once per cell it reaches in the grid of its own size, and a
-    click looks into one cell of every grid. Where boxes cover a whole cell only the
+    click looks into one cell of every grid that its page has boxes in. Where boxes cover a whole cell only the
     best of them can win there, so one per cell is kept, and partly covering boxes
     that rank behind it are dropped before the join.
     """
@@ -200,8 +210,11 @@ def hit_test(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
         .drop("_limit")
     )
     targets = partial.unionByName(full.select(*cell, "_best.*"))
-    levels = F.sequence(F.lit(COARSEST), F.lit(FINEST))
-    points = clicks.withColumn("_level", F.explode(levels)).withColumns({"_cx": _cell(F.col("x")), "_cy": _cell(F.col("y"))})
+    # Grids in use, a bit each; a page without boxes drops its clicks here.
+    used = b.groupBy(*page).agg(F.expr("bit_or(shiftleft(1, _level))").alias("_used"))
+    levels = F.expr(f"filter(sequence({COARSEST}, {FINEST}), v -> shiftright(_used, v) % 2 = 1)")
+    points = clicks.join(used, page).withColumn("_level", F.explode(levels)).drop("_used")
+    points = points.withColumns({"_cx": _cell(F.col("x")), "_cy": _cell(F.col("y"))})
     inside = (F.col("x") >= F.col("_l")) & (F.col("x") <= F.col("_r")) & (F.col("y") >= F.col("_t")) & (F.col("y") <= F.col("_b"))
     pairs = points.join(targets, cell).filter(inside)
     return (
@@ -224,13 +237,18 @@ def page_view(documents: DataFrame, blocks: DataFrame, reactions: DataFrame, tab
         "reactions": (reactions.withColumn("page_no", F.col("provenance.page_no")), ["_at", "id"]),
         "tables": (tables.withColumn("page_no", F.col("provenance.page_no")), ["_at", "id"]),
     }
-    out = spine.join(page_markdown(blocks), key, "left")
+    out, kinds = spine, None
     for name, (df, order) in paged.items():
+        kind = df.select("document_id", F.lit(name).alias("_kind"))
+        kinds = kind if kinds is None else kinds.unionByName(kind)
         if "_at" in order:
             df = df.withColumn("_at", F.unix_micros("created_at"))
         lists = gather(df, key, order, **{name: F.struct(*[c for c in df.columns if c not in ("_at", *key)])})
-        counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias(f"{name}_on_page"))
-        totals = df.groupBy("document_id").agg(F.count(F.lit(1)).alias(f"{name}_total"))
-        out = out.join(lists, key, "left").join(counts, key, "left").join(totals, "document_id", "left")
-    counters = [f"{n}_{s}" for n in paged for s in ("on_page", "total")]
-    return out.na.fill(0, counters).na.fill("", ["markdown"])
+        out = out.join(lists, key, "left")
+    # A page's counts and its markdown come from its lists, all totals from one pass over document ids.
+    totals = kinds.groupBy("document_id").agg(*[F.count_if(F.col("_kind") == n).alias(f"{n}_total") for n in paged])
+    out = out.join(totals, "document_id", "left")
+    parts = F.transform("blocks", lambda r: _markdown_part(r["text"], r["block_type"]))
+    out = out.withColumn("markdown", _markdown_page(F.col("page_no"), F.array_join(parts, "\n\n")))
+    out = out.withColumns({f"{n}_on_page": F.when(F.col(n).isNotNull(), F.size(n)).otherwise(0).cast("bigint") for n in paged})
+    return out.na.fill(0, [f"{n}_total" for n in paged]).na.fill("", ["markdown"])

@@ -15,10 +15,12 @@ PAGE_TREE = f"struct<pdf_info:array<{PAGE}>>"
 
 
 def decoded(payload: Column) -> Column:
-    """VARIANT of a JSON text, reading through one level of string encoding."""
-    once = F.try_parse_json(payload)
-    inner = F.when(V.kind(once) == "STRING", F.try_parse_json(V.text_of(once)))
-    return F.when(V.kind(once) == "STRING", inner).otherwise(once)
+    """VARIANT of a JSON text, reading through one level of string encoding.
+
+    The first character tells a string, so the payload is parsed once and not walked.
+    """
+    quoted = F.startswith(F.ltrim(payload, F.lit(" \t\n\r")), F.lit('"'))
+    return F.when(quoted, F.try_parse_json(V.text_of(F.try_parse_json(payload)))).otherwise(F.try_parse_json(payload))
 
 
 def layout_items_scan(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:

@@ -9,12 +9,13 @@ permutation of its own. The selected k-mers are put in text order and their hash
 are hashed to the slot's value: it agrees between two texts if they share the selected
 k-mers and their order. The likeness of two fingerprints is the share of equal slots.
 
-Texts move between machines once, with their row's key; tokens stay where their text
-is, sorted by (row, k-mer) inside the partition to number the occurrences.
+Neighbours are found on keys and lengths. Texts move between machines once, to their
+row's key, and their first quarters once more, to the row before; tokens stay where their
+text is, sorted by (row, k-mer) inside the partition to number the occurrences.
 
-Defined results: a null text is the empty text, whose slots hold one fixed value;
-rows that repeat both id and text count once; an empty table gives an empty table; further
-columns are not read.
+Defined results: a null text is the empty text, whose slots hold one fixed value; rows
+that repeat id and text are worked out once and returned as often as they occur; an empty
+table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -80,67 +81,94 @@ def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:
     return same / F.lit(float(slots))
 
 
-def with_neighbours(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n, prev_row, prev_n): rows by ascending id, and the row before each; the last comes before the first.
+def with_neighbours(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, doc_id, n, copies) by ascending id, each with what the row before it is; the last comes before the first.
 
-    Rows are ranged over partitions by id, and ordered inside each. Only the first and
-    last row of each partition meet in one task.
+    Rows are ranged over partitions by id, written so, and ordered inside each. Only the
+    last row of each partition meets the others' in one task.
     """
     order = [F.col("doc_id").asc_nulls_first(), "row"]
-    ranged = docs.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(*order)
-    inner = ranged.withColumns({"prev_row": F.lag("row").over(w), "prev_n": F.lag("n").over(w)})
-    ends = ranged.groupBy("part").agg(F.max_by(F.struct("row", "n"), F.struct(F.coalesce(F.col("doc_id").isNotNull(), F.lit(False)), "doc_id", "row")).alias("last"))
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order-minhash-ranges")
+    own = F.struct("row", "n", "copies", F.col("doc_id").alias("id"))
+    inner = ranged.withColumn("prev", F.lag(own).over(Window.partitionBy("part").orderBy(*order)))
+    ends = ranged.groupBy("part").agg(F.max_by(own, F.struct(F.col("doc_id").isNotNull(), "doc_id", "row")).alias("last"))
     across = Window.partitionBy(F.lit(0)).orderBy("part")
     whole = Window.partitionBy(F.lit(0))
     bridge = ends.select("part", F.coalesce(F.lag("last").over(across), F.max_by("last", "part").over(whole)).alias("before"))
-    return inner.join(bridge, "part").select(
-        "row", "doc_id", "n", F.coalesce("prev_row", "before.row").alias("prev_row"), F.when(F.col("prev_row").isNull(), F.col("before.n")).otherwise(F.col("prev_n")).alias("prev_n")
-    )
+    return inner.join(bridge, "part").select("row", "doc_id", "n", "copies", F.coalesce("prev", "before").alias("prev"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text): the key is a digest of id and text, so equal rows share it."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text)
+    return docs.select(F.unhex(F.md5(named)).alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct (doc_id, text) rows under a key of their own, spread by it."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("row", F.xxhash64("doc_id", "text")).repartition("row").dropDuplicates(["row"])
+def _counted(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("copies"))
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    """(row, text) once for each key, partitioned by it. Always these columns, so that the exchange is made once."""
+    return keyed.select("row", "text").repartition("row").dropDuplicates(["row"])
 
 
 def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, slots: int = SLOTS) -> DataFrame:
     """(id, fingerprint) of every document."""
-    rows = _rows(docs, id_col, text_col)
-    prints = fingerprints(rows, ["row"], "text", k, slots)
-    return rows.select("row", "doc_id").join(prints, "row", "left").select(F.col("doc_id").alias(id_col), F.coalesce("fingerprint", F.lit(EMPTY * slots)).alias("fingerprint"))
+    keyed = _keyed(docs, id_col, text_col)
+    prints = fingerprints(_texts(keyed), ["row"], "text", k, slots)
+    rows = _counted(keyed).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.join(prints, "row", "left").select(F.col("doc_id").alias(id_col), F.coalesce("fingerprint", F.lit(EMPTY * slots)).alias("fingerprint"))
+
+
+def _edited(head: Column) -> Column:
+    n = F.length("text")
+    return F.concat(F.substring("text", F.lit(1), n - (n / 4).cast("int")), head)
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, slots: int = SLOTS) -> DataFrame:
     """Fingerprints of every text, of its edited text, and how like they are to it and to the next text's.
 
     The edited text has its last quarter of code points replaced by the first as many
-    (or all) of the next document by ascending id, the first one after the last.
+    (or all) of the next document by ascending id, the first one after the last. Rows
+    that repeat id and text follow one another: all but the last of them have themselves
+    for the next document. Rows that share an id only are in the order of their digests.
     """
-    rows = _rows(docs, id_col, text_col)
-    before = with_neighbours(rows.select("row", "doc_id", F.length("text").alias("n")))
-    quarter = (F.col("prev_n") / 4).cast("int")
-    heads = rows.join(before.select("row", "prev_row", "prev_n"), "row").select(
-        F.col("prev_row").alias("row"), F.col("row").alias("next_row"), F.substring("text", F.lit(1), quarter).alias("head")
+    keyed = _keyed(docs, id_col, text_col)
+    placed = materialize(with_neighbours(_counted(keyed)).select("row", "prev"), "order-minhash-places")
+    texts = _texts(keyed)
+    heads = texts.join(placed.select("row", "prev").hint("merge"), "row").select(
+        F.col("prev.row").alias("row"), F.col("row").alias("next_row"), F.col("prev.id").alias("doc_id"), F.col("prev.copies").alias("copies"), F.substring("text", F.lit(1), (F.col("prev.n") / 4).cast("int")).alias("head")
     )
-    n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), n - (n / 4).cast("int")), F.col("head"))
-    both = rows.join(heads, "row").select("row", "doc_id", "next_row", "text", edited.alias("edited"))
-    sides = both.select("row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("s"))
+    own = F.substring("text", F.lit(1), (F.length("text") / 4).cast("int"))
+    again = F.when(F.col("copies") > 1, _edited(own))
+    both = texts.join(heads.hint("merge"), "row").select("row", "next_row", "doc_id", "copies", "text", _edited(F.col("head")).alias("edited"), again.alias("again"))
+    kinds = ("text", "edited", "again")
+    sides = both.select("row", F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate(kinds)))).alias("s")).where("s.text is not null")
     prints = fingerprints(sides.select("row", "s.side", "s.text"), ["row", "side"], "text", k, slots)
-    none = F.lit(EMPTY * slots)
-    by_row = prints.groupBy("row").agg(*(F.max(F.when(F.col("side") == i, F.col("fingerprint"))).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))))
-    facts = both.select("row", "doc_id", "next_row", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    known = facts.join(by_row, "row", "left").withColumns({c: F.coalesce(F.col(c), none) for c in ("fingerprint", "edited_fingerprint")})
+    by_row = prints.groupBy("row").agg(*(F.max(F.when(F.col("side") == i, F.unhex("fingerprint"))).alias(f"print_{c}") for i, c in enumerate(kinds)))
+    facts = both.select("row", "next_row", "doc_id", "copies", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha_edited"), F.unhex(F.sha2("again", 256)).alias("sha_again"))
+    # Digests and fingerprints travel as bytes and are spelt out at the end.
+    none = F.unhex(F.lit(EMPTY * slots))
+    known = facts.join(by_row, "row", "left").withColumns({f"print_{c}": F.coalesce(f"print_{c}", none) for c in kinds})
     known = materialize(known, "order-minhash")
-    following = known.select(F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
-    return known.join(following, "next_row").select(
+    following = known.select(F.col("row").alias("next_row"), F.col("print_text").alias("next_print"))
+    found = known.join(following, "next_row")
+
+    def version(kind: str, next_print: Column) -> Column:
+        return F.struct(F.col(f"sha_{kind}").alias("sha"), F.col(f"print_{kind}").alias("edited"), next_print.alias("next"))
+
+    repeats = F.array_repeat(version("again", F.col("print_text")), (F.col("copies") - 1).cast("int"))
+    rows = found.withColumn("v", F.explode(F.concat(F.array(version("edited", F.col("next_print"))), repeats)))
+    spelt = lambda c: F.lower(F.hex(c))
+    rows = rows.select("doc_id", "n_chars", spelt("v.sha").alias("sha"), spelt("print_text").alias("own"), spelt("v.edited").alias("edited"), spelt("v.next").alias("next"))
+    return rows.select(
         F.col("doc_id").alias(id_col),
         "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), slots).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint"), slots).alias("near_next"),
+        F.col("sha").alias("edited_sha256"),
+        F.col("own").alias("fingerprint"),
+        F.col("edited").alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("edited"), slots).alias("near_edited"),
+        likeness(F.col("own"), F.col("next"), slots).alias("near_next"),
     )

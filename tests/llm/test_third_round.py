@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from leafmill.llm import alignment, repair, setsketch
+from leafmill.llm import alignment, order_minhash, repair, setsketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = "doc_id long, text string, id string, s long, n long, label string, g int, block int"
@@ -292,3 +292,23 @@ def test_bitmaps_round_trip():
         times = rng.integers(1, 9, n)
         assert (alignment.times_of(alignment.planes_of(times), n) == times).all()
     assert alignment.planes_of(np.ones(5, np.int64)) is None
+
+
+# ---- order MinHash: repeated rows -------------------------------------------------
+def test_edit_report_returns_every_row(spark):
+    """Digests of the edited texts by plain Python, repeated ids and rows included."""
+    texts = [(5, "five words are in here now"), (1, "one"), (1, "one"), (1, "one"), (3, None), (2, ""), (9, "the last of all these documents"), (None, "no id at all here"), (7, "é" * 41)]
+    docs = spark.createDataFrame([(*r, *REST) for r in texts], ODD).repartition(3)
+    got = order_minhash.edit_report(docs).collect()
+    rows = sorted(((d, t or "") for d, t in texts), key=lambda r: (r[0] is not None, r[0] or 0))
+    want = []
+    for i, (d, t) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][1]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + following[:q]
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
+    ones = [r for r in got if r.doc_id == 1]
+    assert len(ones) == 3 and len({r.fingerprint for r in ones}) == 1 and sorted(r.near_next for r in ones)[-2:] == [1.0, 1.0]
+    prints = {(r.doc_id, r.fingerprint) for r in order_minhash.order_minhash(docs).collect()}
+    assert prints == {(r.doc_id, r.fingerprint) for r in got} and order_minhash.order_minhash(docs).count() == len(texts)

@@ -31,6 +31,7 @@ K = 3
 PIECE = r"[^\x20\x09-\x0D]{1,16}"
 PLACE_BITS = 30
 EMPTY = "0" * 8
+WIDER = 4
 
 
 def _keys(n: int) -> list[int]:
@@ -110,8 +111,12 @@ def _counted(keyed: DataFrame) -> DataFrame:
 
 
 def _texts(keyed: DataFrame) -> DataFrame:
-    """(row, text) once for each key, partitioned by it. Always these columns, so that the exchange is made once."""
-    return keyed.select("row", "text").repartition("row").dropDuplicates(["row"])
+    """(row, text) once for each key, partitioned by it. Always these columns, so that the exchange is made once.
+
+    A text's tokens take several times its room where they are sorted, hence the more partitions.
+    """
+    parts = WIDER * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.select("row", "text").repartition(parts, "row").dropDuplicates(["row"])
 
 
 def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, slots: int = SLOTS) -> DataFrame:

@@ -100,7 +100,7 @@ def _(spark, sf):
 
 @query(
     "review_envelope",
-    """
+    r"""
 WITH r AS (SELECT document_id AS source_document_id, reaction_text AS title, page_no, 'reaction.v1' AS schema_version, review_status, true AS schema_valid, entry_label FROM reactions
   UNION ALL SELECT document_id, table_title, page_no, 'table.v1', review_status, true, NULL FROM table_records)
 SELECT r.*, coalesce(regexp_replace(filename, '\.pdf$', ''), source_document_id) AS stem FROM r LEFT JOIN documents_cat d ON d.id = source_document_id

@@ -114,6 +114,11 @@ class Contractor:
         self.ids_text: tuple[dict, dict] = ({}, {})
         self.decoded: tuple[dict, dict] = ({}, {})
 
+    def close(self) -> None:
+        """Give back the task's memory: workers live on for tasks of other stages."""
+        self.clear()
+        self.con.close()
+
     def contract(self, pieces: Iterable[str]) -> None:
         """Adds the ids and the decoded bytes of pieces that are new here."""
         todo: list[tuple[str, bytes]] = []
@@ -201,17 +206,6 @@ class Contractor:
         return out
 
 
-_CONTRACTORS: dict[tuple[str, str], Contractor] = {}
-
-
-def contractor(key: str, ranks: list[tuple[int, bytes]], pattern: str) -> Contractor:
-    """One per Python worker; it starts each task empty."""
-    if (key, pattern) not in _CONTRACTORS:
-        _CONTRACTORS.clear()
-        _CONTRACTORS[key, pattern] = Contractor(ranks, pattern)
-    return _CONTRACTORS[key, pattern]
-
-
 def _chunks(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
     """Slices of about CHUNK_CHARS; a text is never cut."""
     import pyarrow.compute as pc
@@ -233,20 +227,21 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """
     sc = docs.sparkSession.sparkContext
     ranks = read_ranks(ranks_path)
-    key = hashlib.sha256(repr(ranks).encode()).hexdigest()
     sent = sc.broadcast(ranks)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(k, OUTPUTS[k]) for k in outputs)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = contractor(key, sent.value, pattern)
-        bpe.clear()
-        for batch in batches:
-            for part in _chunks(batch, text_col):
-                if len(bpe.ids_text[1]) > CACHE_PIECES:
-                    bpe.clear()
-                got = bpe.documents([t or "" for t in part.column(text_col).to_pylist()], outputs)
-                kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
-                yield pa.RecordBatch.from_arrays([part.column(id_col), *(pa.array(got[k], kinds.get(k, pa.string())) for k in outputs)], names=[id_col, *outputs])
+        bpe = Contractor(sent.value, pattern)
+        try:
+            for batch in batches:
+                for part in _chunks(batch, text_col):
+                    if len(bpe.ids_text[1]) > CACHE_PIECES:
+                        bpe.clear()
+                    got = bpe.documents([t or "" for t in part.column(text_col).to_pylist()], outputs)
+                    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
+                    yield pa.RecordBatch.from_arrays([part.column(id_col), *(pa.array(got[k], kinds.get(k, pa.string())) for k in outputs)], names=[id_col, *outputs])
+        finally:
+            bpe.close()
 
     return docs.select(id_col, text_col).mapInArrow(task, schema)
 

@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", token_ids),
 ]
 
-# A fitted field and resampling are not SQL; tests compare the stages with brute force.
+# A fitted field and resampling are not SQL; tests/llm holds the stages' operators to small fixtures.
 ORACLE_SQL = None
 
 

@@ -2,14 +2,17 @@
 
 A page is read as its sequence of leaf blocks: runs of text between block-level tags.
 A block is described by its tag path (tags and class or id words on the way down, each
-hashed to a place of a vector), by its words (hashed likewise) and by a few shares. A
+hashed to a place of a vector), by all its words (case and marks aside, hashed likewise,
+as shares of their number, a little less in short blocks) and by a few shares. A
 bidirectional LSTM in numpy reads a page's whole sequence both ways, so that every
 block is judged in the context of all others, and each block is kept or dropped.
 
 The labeller is trained on the driver from pages that ``example_page`` lays out by
 rule from a seed: articles of all kinds among menus, headers, footers, sidebars,
-notices, adverts, forms and comments, with random words. Its weights, a few thousand
-numbers, travel with the tasks.
+notices, adverts, forms and comments, with random words and, among what is not main
+text, the phrases of PHRASES, which also stand without a telling tag or class. Its
+weights, some seventy thousand numbers, travel with the tasks. Pages are labelled side by
+side, as many as BLOCKS_AT_ONCE allows at the length of the longest.
 
 Defined results: a null or empty page, or one without main text, gives the empty text;
 scripts, styles, markup and comments in the markup are never text; character
@@ -23,6 +26,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,15 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 HIDDEN = 12
-PATH_DIM = 96
-WORD_DIM = 24
+PATH_DIM = 509  # a prime, so that names which hash alike in their low bits stay apart
+WORD_DIM = 251
 EXTRA_DIM = 6
 INPUT_DIM = PATH_DIM + WORD_DIM + EXTRA_DIM
 PAGES_AT_ONCE = 256
+BLOCKS_AT_ONCE = 1 << 13
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[A-Za-z]+")
+MARKS = ".,:;!?%*#$&|()[]\"'"
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
@@ -63,7 +69,7 @@ def path_place(name: str) -> int:
 
 @lru_cache(maxsize=200_000)
 def word_place(word: str) -> int:
-    return _place(word, WORD_DIM)
+    return _place(word.strip(MARKS).lower(), WORD_DIM)
 
 
 class Block:
@@ -76,7 +82,9 @@ class Block:
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks of text in page order: white space folded, references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # each open tag with the names on the way down to it
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()  # tags of RAW without an end from here on
     parts: list[str] = []
     linked = in_link = 0
 
@@ -86,8 +94,8 @@ def leaf_blocks(page: str) -> list[Block]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                names = tuple(dict.fromkeys(n for _, own in stack for n in own))
-                out.append(Block(text, names, min(linked, len(text)), stack[-1][0] if stack else ""))
+                top, names = stack[-1] if stack else ("", ())
+                out.append(Block(text, names, min(linked, len(text)), top))
             parts.clear()
         linked = 0
 
@@ -106,13 +114,18 @@ def leaf_blocks(page: str) -> list[Block]:
                 in_link = 0
             elif tag in BLOCKS:
                 close()
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                while opened[tag]:
+                    top = stack.pop()[0]
+                    opened[top] -= 1
+                    if top == tag:
+                        break
         elif tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            if end is not None and not m.group().endswith("/>"):
-                at = end.start()
+            if tag not in unclosed and not m.group().endswith("/>"):
+                end = re.compile(f"</{tag}", re.I).search(page, at)
+                if end is not None:
+                    at = end.start()
+                else:
+                    unclosed.add(tag)
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
@@ -120,12 +133,16 @@ def leaf_blocks(page: str) -> list[Block]:
         elif tag in BLOCKS:
             close()
             while stack and stack[-1][0] in CLOSES.get(tag, ()):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             if tag not in VOID:
                 own = [tag]
                 for a in ATTRIBUTE.findall(m.group(3)) if m.group(3) else ():
                     own += [f".{n.lower()}" for n in NAME.findall("".join(a))]
-                stack.append((tag, tuple(own)))
+                names = stack[-1][1] if stack else ()
+                if more := tuple(n for n in dict.fromkeys(own) if n not in names):
+                    names += more
+                stack.append((tag, names))
+                opened[tag] += 1
     close()
     return out
 
@@ -135,9 +152,8 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         for n in b.path:
             x[i, path_place(n)] = 1
-        words = b.text.split(" ", 24)[:24]
-        for w in words:
-            x[i, PATH_DIM + word_place(w)] += 0.05
+        words = b.text.split(" ")
+        x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(list(map(word_place, words)), minlength=WORD_DIM) * (3.0 / (len(words) + 6))
         size = len(b.text)
         x[i, -EXTRA_DIM:] = (min(size, 1000) / 500, b.linked / size, b.top in ("p", "pre", "blockquote"), b.top in ("li", "td", "th"), b.top[:1] == "h" and b.top[1:].isdigit(), 1)
     return x
@@ -200,6 +216,7 @@ class Labeller:
         for d in "fb":
             w |= {f"{d}x": make(INPUT_DIM, 4 * HIDDEN), f"{d}h": make(HIDDEN, 4 * HIDDEN), f"{d}o": np.zeros(4 * HIDDEN, np.float32)}
             w[f"{d}o"][HIDDEN : 2 * HIDDEN] = 1
+            w[f"{d}x"][PATH_DIM : PATH_DIM + WORD_DIM] = 0  # words that training never met say nothing
         return cls(w | {"out": make(2 * HIDDEN, 1), "bias": np.zeros(1, np.float32)})
 
     def forward(self, pages: list[np.ndarray], keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -241,8 +258,12 @@ class Labeller:
         """Whether each block of each page is main text."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
-        for b in range(0, len(order), PAGES_AT_ONCE):
-            some = order[b : b + PAGES_AT_ONCE]
+        b = 0
+        while b < len(order):
+            some = order[b : b + 1]
+            while len(some) < PAGES_AT_ONCE and b + len(some) < len(order) and (len(some) + 1) * len(pages[order[b + len(some)]]) <= BLOCKS_AT_ONCE:
+                some.append(order[b + len(some)])
+            b += len(some)
             logits, _ = self.forward([pages[k] for k in some])
             for i, k in enumerate(some):
                 out[k] = logits[: len(pages[k]), i] > 0
@@ -250,6 +271,7 @@ class Labeller:
 
 
 MAIN = ["article", "main", 'div class="content"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'div id="story"', 'section class="text"', 'div class="main-content"', 'div role="main"', 'div class="post-body"']
+PLAIN = ["div", 'div class="wrapper"', 'div class="container"', 'div class="col"', 'div class="page"', 'div class="inner"', "section"]
 ASIDES = {
     "menu": ["nav", 'div class="menu"', 'ul class="nav"', 'div class="breadcrumb"', 'div id="navigation"', 'div class="navbar"', 'div class="pagination"', 'div class="toc"'],
     "header": ["header", 'div class="header"', 'div id="masthead"', 'div class="topbar"', 'div class="site-header"'],
@@ -260,20 +282,36 @@ ASIDES = {
     "form": ["form", 'form class="search"', 'div class="login"', 'div class="signup"', 'fieldset class="contact"', 'div class="social"', 'div class="share"'],
     "comments": ['div class="comments"', 'section class="comments"', 'div id="comments"', 'ol class="comment-list"', 'div class="comment"', 'div class="responses"', 'section id="discussion"', 'div class="reply"'],
 }
+# What such blocks often say; a block takes some of them.
+PHRASES = {
+    "menu": ["Home", "About us", "Contact", "Skip to content", "Next page", "Previous page", "Back to top", "All categories", "Archive", "Sign in", "Search"],
+    "header": ["Welcome to our website", "Sign in", "Register", "Menu", "Search this site", "Subscribe"],
+    "footer": ["All rights reserved", "Copyright", "Privacy policy", "Terms of use", "Contact us", "Imprint", "Powered by", "Cookie settings"],
+    "side": ["Related articles", "You may also like", "Most read", "Popular posts", "Recent posts", "Recommended for you", "Trending now", "Read more"],
+    "notice": ["We use cookies", "Accept all cookies to go on", "This website uses cookies", "Manage your cookie preferences", "By using this site you agree", "Sign up for our newsletter", "Subscribe now", "Please enable JavaScript", "Accept all", "Reject all"],
+    "ad": ["Advertisement", "Sponsored content", "Buy now", "Shop now", "Special offer", "Click here", "Limited time offer", "Free shipping", "Save now"],
+    "form": ["Your email address", "Password", "Submit", "Log in", "Sign up", "Send", "Enter your name", "Share this", "Follow us", "Required field"],
+    "comments": ["Leave a comment", "Reply", "Comments", "Log in to comment", "Report", "Posted by", "says"],
+}
+# Common words, which every kind of text holds.
+COMMON = "the of and to in a that is for it by this with as on from you your our us we are be at or not more all new now read was de la le el que en un una et les des du die der und das ist ein zu von".split()
 MARK = "\x02"  # stands before every main block's text in an example
 
 
 def example_page(rng: random.Random) -> str:
     """A page laid out by rule; main blocks' texts begin with MARK."""
     letters = "aeiounrtslhdcmpgbfvwyzkjxqéèüñçß"
-    word = lambda: "".join(rng.choices(letters, k=rng.randint(1, 11))) + rng.choice(["", "", "", "", ",", " |", "%%%", "!!", ";"])
+    word = lambda: (rng.choice(COMMON) if rng.random() < 0.3 else "".join(rng.choices(letters, k=rng.randint(1, 11)))) + rng.choice(["", "", "", "", ",", " |", "%%%", "!!", ";"])
     say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + rng.choice([".", "", "!"])
 
     def wrap(tag: str, inner: str) -> str:
         return f"<{tag}>{inner}</{tag.split()[0]}>"
 
-    def side(kind: str) -> str:
-        tag = rng.choice(ASIDES[kind])
+    def side(kind: str, outside: bool = True) -> str:
+        if outside and rng.random() < 0.15:
+            said = ". ".join(rng.sample(PHRASES[kind], rng.randint(2, 4)))
+            return wrap(rng.choice(["p", "div", "p", "div class=\"row\""]), said + rng.choice([".", ""]))
+        tag = ASIDES[kind][0] if rng.random() < 0.35 else rng.choice(ASIDES[kind])
         links = lambda: "<ul>" + "".join(f'<li><a href="/x">{say(1, 4)}</a></li>' for _ in range(rng.randint(2, 8))) + "</ul>"
         plain = lambda: "".join(wrap(rng.choice(["p", "div", "span"]), say(2, 30)) for _ in range(rng.randint(1, 3)))
         title = wrap(rng.choice(["h2", "h3", "h4"]), say(1, 4)) if rng.random() < 0.4 else ""
@@ -284,7 +322,7 @@ def example_page(rng: random.Random) -> str:
         elif kind == "menu":
             inner = links()
         elif kind in ("footer", "ad", "notice") and rng.random() < 0.6:
-            inner = say(3, 25)
+            inner = say(3, 25) if rng.random() < 0.7 else ". ".join(rng.sample(PHRASES[kind], rng.randint(1, 3)))
         else:
             inner = rng.choice([links, plain])()
         return wrap(tag, title + inner)
@@ -311,12 +349,12 @@ def example_page(rng: random.Random) -> str:
             elif r < 0.92:
                 out.append(f'<p>{m}<a href="/y">{say(2, 8)}</a> {say(1, 9)}</p>')
             else:
-                out.append(side(rng.choice(["side", "ad", "notice", "form", "comments"])))
+                out.append(side(rng.choice(["side", "ad", "notice", "form", "comments"]), False))
         if rng.random() < 0.25:
-            out.append(side("comments"))
+            out.append(side("comments", False))
         return "".join(out)
 
-    main = wrap(rng.choice(MAIN), body())
+    main = wrap(rng.choice(PLAIN if rng.random() < 0.1 else MAIN), body())
     if rng.random() < 0.3:
         main = wrap(rng.choice(["div", "main", 'div class="wrapper"', 'div class="container"', 'div id="page"']), main)
     before = "".join(side(rng.choice(["menu", "menu", "header", "ad", "notice", "side", "form"])) for _ in range(rng.randint(0, 4)))
@@ -327,7 +365,7 @@ def example_page(rng: random.Random) -> str:
 
 
 @lru_cache(maxsize=2)
-def train(pages: int = 1000, rounds: int = 14, rate: float = 0.01, seed: int = 5) -> Labeller:
+def train(pages: int = 1600, rounds: int = 14, rate: float = 0.01, seed: int = 5) -> Labeller:
     """A labeller fitted to example pages by Adam on their block labels."""
     rng = random.Random(seed)
     xs, ys = [], []
@@ -351,7 +389,10 @@ def train(pages: int = 1000, rounds: int = 14, rate: float = 0.01, seed: int = 5
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 step = rate * (0.3 if turn > rounds * 2 // 3 else 1)
-                model.w[k] = (model.w[k] * (1 - 0.01 * step) - step * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
+                fade = np.full((model.w[k].shape[0],) + (1,) * (model.w[k].ndim - 1), 0.01)
+                if k in ("fx", "bx"):  # most words are noise: what does not recur fades
+                    fade[PATH_DIM : PATH_DIM + WORD_DIM] = 1.0
+                model.w[k] = (model.w[k] * (1 - fade * step) - step * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
     return model
 
 

@@ -5,12 +5,14 @@ into blocks of at most BLOCK_ROWS vectors. A first pass scores every query again
 few blocks of the longest vectors, which gives each query a score that its k-th best
 cannot fall below. In the second pass every block compares this score with what its
 longest vector could reach. The quotient is the block's local cosine threshold:
-above 1 the block is left out; a high one prunes by coordinates (a vector with such a
+above 1 the block is left out (blocks that no query of a query block can use are left
+out before any vector moves, by their lengths alone); a high one prunes by coordinates (a vector with such a
 cosine must lie near the query in the query's largest coordinates); a low one prunes
 by length alone. Survivors are verified by exact integer products.
 
 Defined results: a vector that is null, empty of an id, or holds null or non-finite
-components takes no part; of rows sharing a vec_id the least vector counts; vectors
+components takes no part; rows that share a vec_id are candidates each, and queries
+whose best scores are ranked together, never against one another; vectors
 of different dimension are not compared; equal scores rank by smaller vec_id; a query
 with fewer candidates gets all of them; scores outside the 64-bit range saturate.
 """
@@ -21,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.session import materialize
+
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
 FOCUS = 3  # coordinates looked at by coordinate pruning
@@ -33,21 +36,19 @@ HIGH_COSINE = 0.5
 SLACK = 1e-9
 FIRST_BLOCKS = 2
 
-PACKED = "block long, dim int, longest double, ids array<long>, values binary"
+PACKED = "block long, dim int, longest double, ids array<long>, lens array<double>, values binary"
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v, norm2, dim): components floor(scale * x) of the vectors that take part."""
+    """(vec_id, row, v, norm2, dim): components floor(scale * x) of the vectors that take part, every row with a number."""
     v = F.transform(F.col("v"), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .where(~bad)
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
-        .select("vec_id", v.alias("v"))
+        .select("vec_id", F.monotonically_increasing_id().alias("row"), v.alias("v"))
         .withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
         .withColumn("dim", F.size("v"))
     )
@@ -61,8 +62,9 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for block, rows in part.groupby("block", sort=False):
             values = np.array(rows["v"].tolist(), dtype=np.int64).reshape(len(rows), -1)
-            out.append((block, values.shape[1], float(np.sqrt(rows["norm2"].max())), rows["vec_id"].to_numpy(), values.tobytes()))
-        return pd.DataFrame(out, columns=["block", "dim", "longest", "ids", "values"])
+            lens = np.sqrt(rows["norm2"].to_numpy())
+            out.append((block, values.shape[1], float(lens.max()), rows["vec_id"].to_numpy(), lens, values.tobytes()))
+        return pd.DataFrame(out, columns=["block", "dim", "longest", "ids", "lens", "values"])
 
     for batch in batches:
         rest = batch if rest is None else pd.concat([rest, batch])
@@ -93,7 +95,7 @@ def blocks(ints: DataFrame, rows: int) -> tuple[DataFrame, dict[int, list[int]]]
     places = ints.sparkSession.createDataFrame(first, "dim int, kind long, first long, parts long")
     spread = (
         marked.join(places, ["dim", "kind"])
-        .withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+        .withColumn("block", F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")))
         .select("block", "vec_id", "v", "norm2")
         .repartition(F.col("block"))
         .sortWithinPartitions("block")
@@ -185,28 +187,36 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     ``is_query`` is a condition on the column ``vec_id``.
     """
     spark = vectors.sparkSession
-    ints = integer_vectors(vectors, id_col, vector_col, scale).persist(StorageLevel.MEMORY_AND_DISK)
+    # Written once: row numbers stay as they are, whichever executors are lost.
+    ints = materialize(integer_vectors(vectors, id_col, vector_col, scale), "topk-vectors")
     candidates, c_blocks = blocks(ints, BLOCK_ROWS)
     queries, q_blocks = blocks(ints.where(is_query), QUERY_ROWS)
-    queries = queries.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    candidates = candidates.select("block", "ids", "values")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not q_blocks:
-        return empty
-
-    def searched(q: DataFrame, lists: dict[int, list[int]]) -> DataFrame:
-        wanted = spark.createDataFrame([(d, b) for d, b in lists.items()], "dim int, blocks array<long>")
-        pairs = q.join(F.broadcast(wanted), "dim").withColumn("block", F.explode("blocks")).drop("blocks")
-        found = pairs.join(candidates, "block").mapInPandas(_search(k), FOUND)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    candidates = materialize(candidates, "topk-candidates")
+    queries = materialize(queries.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("lens").alias("q_lens"), F.col("values").alias("q_values")), "topk-queries")
+
+    def searched(pairs: DataFrame, floors: DataFrame) -> DataFrame:
+        """The k best of each query over the pairs (q_block, block)."""
+        both = pairs.join(queries, "q_block").join(floors, "q_block").join(candidates.select("block", "ids", "values"), "block")
+        found = both.select("dim", "q_ids", "q_values", "floors", "ids", "values").mapInPandas(_search(k), FOUND)
         w = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", w).where(F.col("rank") <= k)
 
-    from pyspark.sql import Window
-
-    no_floor = queries.withColumn("floors", F.transform("q_ids", lambda _: F.lit(float("-inf"))))
-    first = searched(no_floor, {d: b[:FIRST_BLOCKS] for d, b in c_blocks.items()})
+    # A few blocks of each dimension, of the longest vectors.
+    few = spark.createDataFrame([(d, b) for d, at in c_blocks.items() for b in at[:FIRST_BLOCKS]], "dim int, block long")
+    no_floor = queries.select("q_block", F.transform("q_ids", lambda _: F.lit(float("-inf"))).alias("floors"))
+    first = searched(queries.select("q_block", "dim").join(few, "dim").drop("dim"), no_floor)
     floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") == k)
-    flat = queries.select("q_block", F.posexplode("q_ids").alias("at", "query_id")).join(floors.drop("n"), "query_id", "left")
-    flat = flat.groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))).alias("f"))
-    with_floor = queries.join(flat.select("q_block", F.col("f.floor").alias("floors")), "q_block")
-    return searched(with_floor, c_blocks).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    flat = queries.select("q_block", F.posexplode(F.arrays_zip("q_ids", "q_lens")).alias("at", "q"))
+    flat = flat.select("q_block", "at", F.col("q.q_ids").alias("query_id"), F.col("q.q_lens").alias("len")).join(floors.drop("n"), "query_id", "left")
+    floor = F.coalesce("floor", F.lit(float("-inf")))
+    # The least length of a candidate that could reach the floor of any query of the block.
+    need = F.when(floor <= 0, F.lit(float("-inf"))).when(F.col("len") > 0, floor / F.col("len")).otherwise(F.lit(float("inf")))
+    flat = materialize(
+        flat.groupBy("q_block").agg(F.min(need).alias("need"), F.array_sort(F.collect_list(F.struct("at", floor.alias("floor")))).alias("f")).select("q_block", "need", F.col("f.floor").alias("floors")),
+        "topk-floors",
+    )
+    lengths = candidates.select("block", "dim", "longest")
+    wanted = flat.select("q_block", "need").join(queries.select("q_block", "dim"), "q_block").join(lengths, "dim").where(F.col("longest") * (1 + SLACK) >= F.col("need"))
+    return searched(wanted.select("q_block", "block"), flat.select("q_block", "floors")).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.words import chunks, split_words
+from leafmill.llm.words import chunks, fresh, split_words
 from leafmill.session import materialize
 
 BUCKETS = 1 << 14
@@ -224,20 +224,26 @@ def cut_point(means: np.ndarray, good: np.ndarray) -> float:
     return float((means[i - 1] + means[i]) / 2) if i < len(means) else float(means[-1])
 
 
+def weight_names(docs: DataFrame) -> list[str]:
+    return fresh(docs.columns, "log_weight", "gumbel_key", "gumbel_noise")
+
+
 def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """The rows with ``log_weight`` and ``gumbel_key``, its sum with the row's noise."""
+    """The rows with ``log_weight`` and ``gumbel_key``, its sum with the row's noise.
+
+    Rows that have columns of these names get them under longer ones, by ``weight_names``.
+    """
     names = docs.columns
-    if {"log_weight", "gumbel_key", "gumbel_noise"} & set(names):
-        raise ValueError("the rows already have a column log_weight, gumbel_key or gumbel_noise")
+    weight_name, key_name, noise_name = weight_names(docs)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), 11) + F.lit(0.5)) / F.lit(2.0**53)
-    noisy = docs.withColumn("gumbel_noise", -F.log(-F.log(u)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType())])
+    noisy = docs.withColumn(noise_name, -F.log(-F.log(u)))
+    schema = T.StructType([*docs.schema.fields, T.StructField(weight_name, T.DoubleType()), T.StructField(key_name, T.DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, text_col):
             total, n = model.weigh(part.column(text_col))
             weight = np.minimum(total - model.prior * n, model.clean(part.column(text_col)))
-            noise = part.column("gumbel_noise").to_numpy(zero_copy_only=False)
+            noise = part.column(noise_name).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(weight), pa.array(weight + noise)], names=schema.names)
 
     return noisy.mapInArrow(task, schema)
@@ -277,4 +283,5 @@ def decide(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, seed: int = 0) -> DataFrame:
     """The rows that importance resampling keeps, with all their columns."""
     model, least, _ = decide(docs, labels, id_col, text_col, fit_rows, seed)
-    return weigh(docs, model, id_col, text_col, seed).where(F.col("gumbel_key") >= least).drop("log_weight", "gumbel_key")
+    weight, key, _ = weight_names(docs)
+    return weigh(docs, model, id_col, text_col, seed).where(F.col(key) >= least).drop(weight, key)

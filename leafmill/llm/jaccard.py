@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.graph import components
-from leafmill.llm.words import chunks, mix, powers, runs, split_words
+from leafmill.llm.words import chunks, fresh, mix, powers, runs, split_words
 from leafmill.session import materialize
 
 COORDINATES = 512
@@ -347,11 +347,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: st
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without near duplicates: of each component the row with the least id stays.
 
-    Of rows that repeat id and text one stays; rows without shingles or without id stay.
+    A component's rows are told apart by id and text, so a text that shares its id with a
+    copy of another stays; rows without id count after all others. Of rows that repeat id
+    and text one stays; rows without words stay, each of them.
     """
-    groups = near_duplicates(docs, width, share, id_col, text_col)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id")).distinct()
-    rest = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
-    return rest.dropDuplicates([id_col, text_col])
-
-
+    names = docs.columns
+    key_name, gone_name = fresh(names, "row_key", "gone_key")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    # Texts without a word are linked with nothing; they stay as they are.
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn(key_name, key)
+    groups = near_duplicates(keyed.select(key_name, text_col), width, share, key_name, text_col)
+    gone = groups.where(F.col("component_id") != F.col(key_name)).select(F.col(key_name).alias(gone_name)).distinct()
+    rest = keyed.join(gone, F.col(key_name) == F.col(gone_name), "left_anti")
+    return rest.dropDuplicates([key_name, text_col]).select(*names).unionByName(docs.where(~worded))

@@ -14,8 +14,9 @@ spans a source's blocks, of which there are BLOCKS at most, or one block's rows.
 
 Defined results: a null source is a source of its own; a null or empty text has no
 tokens and is taken once per epoch, the partial one included where its block is;
-repeated rows are taken independently; an empty table gives an empty table; further
-columns pass through.
+repeated rows are taken independently; rows of one id are ordered by their texts, and
+rows without id are dealt to blocks by their texts; an empty table gives an empty
+table; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.words import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
-OWN = ["mix_key", "mix_block", "mix_tokens"]
 
 
 def entropy(weights: list[float]) -> float:
@@ -65,18 +67,20 @@ def mixture(totals: list[int], budget: int, max_repeats: float | None, target_en
 def mix(docs: DataFrame, budget: int | None = None, max_repeats: float | None = 2.0, target_entropy: float | None = None, seed: str = "mix", blocks: int = 4096, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the mixture, a document once for each time it is taken.
 
-    Columns of ``docs`` without the text, if ``text_col`` was not asked for, plus
-    ``mix_tokens``, ``mix_epoch`` (0, 1, ...) and ``mix_block``. ``budget`` is in
-    words; by default as many as the documents have.
+    All columns of ``docs``, then ``mix_tokens``, ``mix_epoch`` (0, 1, ...), ``mix_block``
+    and ``mix_weight``; of these names, those that ``docs`` has itself end in underscores
+    here. ``budget`` is in words; by default as many as the documents have.
     """
     spark = docs.sparkSession
     digits = 3 if blocks <= 4096 else 4
-    marked = docs.withColumns(
-        {
-            "mix_key": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")),
-            "mix_tokens": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")),
-            "mix_order": F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))),
-        }
+    # The rows travel as one value, so that none of their names meets those made here.
+    text_hash = F.xxhash64(F.col(text_col))
+    marked = docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("mix_row"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("mix_key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("mix_tokens"),
+        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("|"), text_hash.cast("string"))))).alias("mix_order"),
+        F.struct(F.col(id_col), text_hash).alias("mix_tie"),
     ).withColumn("mix_block", F.pmod(F.conv(F.substring("mix_order", 1, digits), 16, 10).cast("int"), F.lit(blocks)))
     by_block = marked.groupBy("mix_key", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens"))
     totals = sorted((r[0], r[1] or 0) for r in by_block.groupBy("mix_key").agg(F.sum("block_tokens")).collect())
@@ -96,7 +100,7 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeats: float | None =
         .withColumn("mix_before", F.coalesce(F.sum("block_tokens").over(running), F.lit(0)))
         .drop("place", "block_tokens")
     )
-    inside = Window.partitionBy("mix_key", "mix_block").orderBy("mix_order", F.col(id_col)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("mix_key", "mix_block").orderBy("mix_order", "mix_tie").rowsBetween(Window.unboundedPreceding, 0)
     taken = (
         marked.join(placed, ["mix_key", "mix_block"])
         .withColumn("mix_end", F.col("mix_before") + F.sum("mix_tokens").over(inside))
@@ -104,4 +108,6 @@ def mix(docs: DataFrame, budget: int | None = None, max_repeats: float | None =
         .where("mix_copies > 0")
         .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
     )
-    return taken.drop("mix_key", "mix_order", "mix_full", "mix_left", "mix_before", "mix_end", "mix_copies")
+    made = ["mix_tokens", "mix_epoch", "mix_block", "mix_weight"]
+    named = zip(made, fresh(docs.columns, *made), strict=True)
+    return taken.select(*(F.col("mix_row").getField(c).alias(c) for c in docs.columns), *(F.col(a).alias(b) for a, b in named))

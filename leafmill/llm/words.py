@@ -133,3 +133,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text_col: str, size_of: int = CHUN
             to = max(at + 1, int(np.searchsorted(size, done + size_of, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as keep it apart from those taken (case aside)."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out

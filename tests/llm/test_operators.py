@@ -113,6 +113,18 @@ def test_jaccard_components(docs, rows, nothing):
     assert jaccard.near_duplicates(nothing).count() == 0
 
 
+def test_keep_one_on_clashing_columns_and_ids(spark):
+    """Rows are told apart by id and text; columns named as the stage's own pass through."""
+    copy = "one two three four five six seven eight"
+    rows = [(1, copy, "a"), (1, "another text that stays as it is here", "b"), (2, copy, "c"), (2, "a third text that shares its id with a copy", "d"), (None, copy, "e"), (None, "no id but words of its own are here", "f"), (None, None, "g"), (None, None, "h"), (5, "  ", "i"), (1, copy, "a")]
+    names = ["doc_id", "text", "gone_id", "row_key", "gone_key", "s", "id", "label", "node"]
+    df = spark.createDataFrame([(i, t, x, x, x, x, x, x, x) for i, t, x in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[2:]))
+    kept = jaccard.keep_one(df, 5, 80)
+    assert kept.columns == names
+    assert sorted(r.gone_id for r in kept.collect()) == ["a", "b", "d", "f", "g", "h", "i"]
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
 def test_jaccard_postings_meet():
     """Sets at the threshold always share a posting, at every size."""
     rng = np.random.default_rng(1)
@@ -194,6 +206,49 @@ def test_mixing_respects_weights(docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def brute_mixture(rows, max_repeats, seed="mix", blocks=4096):
+    """Which (id, epoch) are taken, by plain loops; rows have distinct ids."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    words = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
+    keys = {i: "n" if s is None else f"s{s}" for i, _, s, *_ in rows}
+    order = {i: md5(f"{seed}|{i}") for i in words}
+    block = {i: int(order[i][:3], 16) % blocks for i in words}
+    totals = collections.Counter()
+    for i in words:
+        totals[keys[i]] += words[i]
+    names = sorted(totals)
+    budget = sum(totals.values())
+    _, weights = mixing.mixture([totals[k] for k in names], budget, max_repeats, None)
+    taken = set()
+    for k, weight in zip(names, weights, strict=True):
+        own = [i for i in words if keys[i] == k]
+        quota = int(weight * budget + 1e-6)
+        full, left = divmod(quota, totals[k]) if totals[k] else (1, 0)
+        taken |= {(i, e) for i in own for e in range(full)}
+        used = 0
+        for b in sorted({block[i] for i in own}, key=lambda b: (md5(f"{seed}|{k}|{full}|{b}"), b)):
+            for i in sorted((i for i in own if block[i] == b), key=lambda i: order[i]):
+                used += words[i]
+                if used <= left and left > 0:
+                    taken.add((i, full))
+    return taken
+
+
+def test_mixing_equals_plain_loops(docs, rows):
+    for limit in (2.0, 1.0, None):
+        got = [(r.doc_id, r.mix_epoch) for r in mixing.mix(docs, max_repeats=limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_mixture(rows, limit)
+
+
+def test_mixing_on_clashing_columns_and_ids(spark):
+    names = ["mix_key", "mix_tokens", "MIX_block", "mix_weight", "mix_row", "mix_order", "place"]
+    rows = [(i % 3 if i % 5 else None, f"some words and number {i}" if i % 7 else None, "s", *(f"{n}{i}" for n in names)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.mix(df, max_repeats=2.0)
+    assert mixed.columns == [*df.columns, "mix_tokens_", "mix_epoch", "mix_block_", "mix_weight_"]
+    assert sorted(tuple(r) for r in mixed.select("mix_key", "mix_tokens", "MIX_block").collect()) == sorted((r[3], r[4], r[5]) for r in rows)
+
+
 def test_pii_patterns_and_field(spark, docs, nothing):
     text = "Mail a.b@c.d.e or x@y no. IP 1.2.3.4 and 300.1.1.1, card 4111 1111 1111 1111 or 4111 1111 1111 1112; +1 (017) 555-7713 é token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" end"
     spans = pii.base_spans(text)
@@ -319,6 +374,40 @@ def test_importance_parts_junk(spark, nothing):
     assert importance.kth_highest(values, "v", 1000, few=10) == sorted((float(x % 97) for x in range(5000)), reverse=True)[999]
 
 
+def test_importance_weights_equal_plain_loops(spark):
+    """Ratios, weights, noise and the choice, recomputed by loops; columns named as its own pass through."""
+    rng = random.Random(16)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "###", "x|y", "é"], k=rng.randint(1, 40))) for _ in range(120)] + [None, "", "ab"]
+    df = spark.createDataFrame([(i, t, "u", "v", "w") for i, t in enumerate(texts)], "doc_id long, text string, log_weight string, Gumbel_key string, gumbel_noise string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    model, least, weights = importance.decide(df, labels)
+    good = {i for i in range(0, 120, 2) if i % 4 > 0}
+
+    def grams(t):
+        data, words = (t or "").encode(), [w for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        code = importance.grams(pa.array([t or ""]))[0].tolist()
+        assert len(code) == max(0, len(data) - 2)
+        return code, [int(a == b) for a, b in zip(words, words[1:], strict=False)]
+
+    ratio = []
+    for part, size in ((0, importance.BUCKETS), (1, 2)):
+        raw = collections.Counter(g for t in texts for g in grams(t)[part])
+        target = collections.Counter(g for i, t in enumerate(texts) if i in good for g in grams(t)[part])
+        a, b = sum(target.values()) + 0.5 * size, sum(raw.values()) + 0.5 * size
+        ratio.append(lambda g, raw=raw, target=target, a=a, b=b: np.log((target[g] + 0.5) / a) - np.log((raw[g] + 0.5) / b))
+    got = {r.doc_id: r for r in weights.collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        code, pair = grams(t)
+        want = sum(map(ratio[0], code)) + sum(map(ratio[1], pair)) - model.prior * (len(code) + len(pair))
+        assert got[i].log_weight == pytest.approx(want, abs=1e-6)
+    k = sum(r.log_weight >= 0 for r in got.values())
+    assert least == sorted((r.gumbel_key for r in got.values()), reverse=True)[k - 1]
+    kept = importance.resample(df, labels)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.gumbel_key >= least}
+
+
 def test_page_text(spark):
     page = (
         "<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>"

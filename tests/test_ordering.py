@@ -1,6 +1,7 @@
 """Order-dependent helpers and the hit test against plain Python, with one hot group."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,22 @@ def test_ends_meet_rows_on_the_whole_key(spark):
     plan = O.with_ends(df, "g", ["at", "id"])._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert len(joins) == 1 and all(c in joins[0] for c in ("g#", "at#", "id#"))
+
+
+def _exchanges(df):
+    """Shuffles of the plan as it ran, by what they deal rows by."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.findall(r"(?<!Reused)Exchange hashpartitioning\((.*?), \d+\)", plan)
+
+
+def test_rows_of_a_page_move_once(hot):
+    group, order = ["document_id", "page_no"], ["reading_order", "id"]
+    for df in (O.gather(hot, group, order, ids=F.col("id")), O.gather_text(hot, group, order, F.col("id"), ",", "t")):
+        assert len(_exchanges(df)) == 1
+
+
+def test_rows_carry_their_order_columns_once(hot, hot_rows):
+    got = O.gather_rows(hot, ["document_id", "page_no"], ["reading_order", "id"])
+    assert got.schema["rows"].dataType.elementType.names == ["reading_order", "id"]
+    assert sum(len(r.rows) for r in got.collect()) == len(hot_rows)

@@ -226,28 +226,26 @@ def hit_test(clicks: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def page_view(documents: DataFrame, blocks: DataFrame, reactions: DataFrame, tables: DataFrame) -> DataFrame:
     """Everything one page shows: markdown, the records of each kind and the counts."""
-    spine = documents.filter("page_count > 0").select(
-        F.col("id").alias("document_id"),
-        F.col("page_count").alias("document_pages"),
-        F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page_no"),
-    )
     key = ["document_id", "page_no"]
     paged = {
         "blocks": (blocks, ORDER),
         "reactions": (reactions.withColumn("page_no", F.col("provenance.page_no")), ["_at", "id"]),
         "tables": (tables.withColumn("page_no", F.col("provenance.page_no")), ["_at", "id"]),
     }
-    out, kinds = spine, None
-    for name, (df, order) in paged.items():
+    # Totals, from one pass over document ids, meet a document's one row; lists meet its pages.
+    kinds = None
+    for name, (df, _) in paged.items():
         kind = df.select("document_id", F.lit(name).alias("_kind"))
         kinds = kind if kinds is None else kinds.unionByName(kind)
+    totals = kinds.groupBy("document_id").agg(*[F.count_if(F.col("_kind") == n).alias(f"{n}_total") for n in paged])
+    held = documents.filter("page_count > 0").select(F.col("id").alias("document_id"), F.col("page_count").alias("document_pages")).join(totals, "document_id", "left")
+    out = held.select("document_id", "document_pages", F.explode(F.sequence(F.lit(1), F.col("document_pages"))).alias("page_no"), *[f"{n}_total" for n in paged])
+    for name, (df, order) in paged.items():
         if "_at" in order:
             df = df.withColumn("_at", F.unix_micros("created_at"))
         lists = gather(df, key, order, **{name: F.struct(*[c for c in df.columns if c not in ("_at", *key)])})
         out = out.join(lists, key, "left")
-    # A page's counts and its markdown come from its lists, all totals from one pass over document ids.
-    totals = kinds.groupBy("document_id").agg(*[F.count_if(F.col("_kind") == n).alias(f"{n}_total") for n in paged])
-    out = out.join(totals, "document_id", "left")
+    # A page's counts and its markdown come from its lists.
     parts = F.transform("blocks", lambda r: _markdown_part(r["text"], r["block_type"]))
     out = out.withColumn("markdown", _markdown_page(F.col("page_no"), F.array_join(parts, "\n\n")))
     out = out.withColumns({f"{n}_on_page": F.when(F.col(n).isNotNull(), F.size(n)).otherwise(0).cast("bigint") for n in paged})

@@ -20,12 +20,23 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+# Bytes of a table that one file of a dealt stream holds, about.
+FILE_BYTES = 64 << 20
+
+
 def _batches(spark, sf, name, key, n=3):
-    """The whole table as a stream of n micro-batches, dealt by a hash of the key: rows come out of order."""
+    """The whole table as a stream of n micro-batches, dealt by a hash of the key: rows come out of order.
+
+    A batch takes as many files as the table's size asks for, so no task writes or reads a
+    whole batch; rows with one key lie in one file.
+    """
     path = scratch_path(spark, f"{name}-batches")
     t = D.table(spark, sf, name)
-    t.repartition(n, F.xxhash64(key)).write.option("maxRecordsPerFile", 0).parquet(path)
-    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    size = source.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(source).getLength()
+    files = 1 + size // (n * FILE_BYTES)
+    t.repartition(n * files, F.xxhash64(key)).write.option("maxRecordsPerFile", 0).parquet(path)
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _paths(spark, label):

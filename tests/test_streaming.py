@@ -224,3 +224,26 @@ def test_current_runs(spark):
     got = {r.run_id: r for r in SN.current_runs(runs, SN.fold_run_events(events(spark, EVENTS))).collect()}
     assert (got["x"].stage, got["x"].progress) == ("b", 0.2)
     assert (got["new"].stage, got["new"].progress, got["new"].status) == ("queued", 0.0, "running")
+
+
+def test_a_batch_is_made_of_several_files(spark, sf, monkeypatch):
+    """No task holds a whole micro-batch; still there are three, and a key's rows stay together."""
+    from leafmill.fixtures import q_stream
+
+    monkeypatch.setattr(q_stream, "FILE_BYTES", 20_000)
+    seen = []
+
+    def save(batch, batch_id):
+        files = batch.select("doc_id", "text", F.input_file_name().alias("f")).collect()
+        seen.append(files)
+
+    stream = q_stream._batches(spark, sf, "documents", "text")
+    stream.writeStream.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and all(len({r.f for r in b}) > 1 for b in seen)
+    want = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted(r.doc_id for b in seen for r in b) == sorted(want)
+    homes = {}
+    for b in seen:
+        for r in b:
+            homes.setdefault(r.text, set()).add(r.f)
+    assert all(len(h) == 1 for h in homes.values())

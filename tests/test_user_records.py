@@ -115,3 +115,27 @@ def test_known_fields_alone(blocks):
     assert got == {"conditions": {"catalyst": "Fe", "solvent": None, "temperature_c": 40, "time_h": 3}, "n": None}
     with pytest.raises(ValueError, match="object"):
         U.user_schema([1])
+
+
+def test_submissions_are_judged_once(spark):
+    """The schema's errors are found in a step of their own, which the joins read back."""
+    rows = [("d", 1, '{"n":"x"}', (1, "")), ("d", 2, '{"n":5}', (1, "5 %"))]
+    sent = spark.createDataFrame(rows, "document_id string, seq long, j string, provenance struct<page_no:int,source_text:string>").withColumn("payload", F.parse_json("j")).drop("j")
+    out = U.save_submitted(sent, sent.where("seq < 0").withColumn("id", F.lit("s")), {"n": 1.5})
+    assert [r.saved for r in out.orderBy("seq").collect()] == [False, True]
+    assert " expected " not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fallback_is_judged_once(blocks, monkeypatch):
+    """Candidates without any answer have one value to judge; null answers give the same records."""
+    asked, check = [], U.S.validate
+    monkeypatch.setattr(U.S, "validate", lambda node, v: asked.append(str(v)) or check(node, v))
+    found = K.reaction_candidates(blocks)
+    alone = U.final_payload(U.enrich_user_record(found, EXAMPLE))
+    assert len(asked) == 1 and "_told" in asked[0]
+    nulls = found.withColumns({c: F.lit(None).cast("variant") for c in ("answer", "repair")})
+    both = [
+        sorted((r.page_no, r.entry_no, r.payload, r.validation) for r in df.select("page_no", "entry_no", F.to_json("payload").alias("payload"), F.to_json("validation").alias("validation")).collect())
+        for df in (alone, U.final_payload(U.enrich_user_record(nulls, EXAMPLE)))
+    ]
+    assert both[0] == both[1] and both[0]

@@ -269,3 +269,15 @@ def test_json_arrays_of_all_documents(spark):
     for r in R.json_array_lines(lines, documents).orderBy("document_id", "created_at", "id").collect():
         parts[r.document_id] = parts.get(r.document_id, "") + r.value
     assert parts == {"d": "[1,2,3]", "e": "[9]", "empty": "[]"}
+
+
+def test_tables_are_read_in_as_many_tasks_as_partitions(spark):
+    """Small tables are not joined into one task for their few bytes."""
+    from leafmill.plans.extract import extract_tables
+
+    html = "<table><tr><th>A</th></tr><tr><td>1</td></tr></table>"
+    rows = [(f"b{i}", f"d{i % 7}", i, "table", html, [0.1, 0.1, 0.2, 0.2], None, 0, (None,)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, document_id string, page_no int, block_type string, text string, bbox_norm array<double>, image_path string, reading_order int, meta struct<table_body:string>")
+    out = extract_tables(df)
+    assert out.count() == 200
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

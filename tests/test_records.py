@@ -260,3 +260,12 @@ def test_percents_are_read_once(spark):
     texts = ["a 5% b 5 % c -7% d 3-8% .5% 1.50% 10 percent", "", None, "no sign", "-0.5%"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.percents(F.col("t"))).collect()]
     assert got == [["5", "7", "8", ".5", "1.50", "-7"], [], [], [], ["0.5", "-0.5"]]
+
+
+def test_candidates_stay_on_their_page(demo):
+    """Identities hold the page, so rows laid out by page are not dealt again for them."""
+    df = extract_reactions(demo)
+    assert df.count() == 6
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*fingerprint", plan)

@@ -24,3 +24,14 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.where("label <> old").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links (a, b); only links between two components are walked."""
+    for end in "ab":
+        links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    ends = links.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    onward = components(ends.where("a <> b")).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    moved = labels.join(onward, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    added = onward.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    return materialize(moved.unionByName(added), "labels")

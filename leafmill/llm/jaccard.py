@@ -12,11 +12,14 @@ band below as well.
 A bucket's members are points of an R-tree: coordinate i counts the member's shingles
 in the i-th of COORDINATES equal hash ranges. The sum of coordinate minima bounds the
 overlap, of two points or of a point and a node's upper corner; pairs that the bound
-lets through are verified on the sets themselves. In each of some rounds a document is
-compared with the least member of one of its buckets, and links join components. Then buckets
-that still hold several components search their R-trees for pairs across components,
-large buckets in blocks of members. Pairs inside one component need no test, so a group of
-thousands of near copies costs about one test for each.
+lets through are verified on the sets themselves. Buckets with the same least member are
+one, so that a pair that shares many postings is met a few times at most. In each of some
+rounds a document is compared with the least member it shares most postings with, and
+links join components. Then buckets that still hold several components search their
+R-trees across components, large buckets in blocks of members, and tell which members
+have a partner left; these members' sets come to the bucket's task, which verifies the
+likeliest pairs first and skips those it has already joined. So a task emits fewer links
+than members, no pair ever becomes a row, and pairs inside one component need no test.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing, each row by itself; a text with fewer words than ``width`` is one shingle;
@@ -31,17 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.graph import components
+from leafmill.llm.graph import joined
 from leafmill.llm.words import chunks, fresh, mix, powers, runs, split_words
 from leafmill.session import materialize
 
 COORDINATES = 512
 COARSE = 64
 LEAF = 32
-BLOCK_MEMBERS = 512
+BLOCK_MEMBERS, BLOCK_BYTES = 512, 1 << 24
 ROUNDS = 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,7 +167,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, s): members of buckets with two or more, the least one and the size."""
+    """Of rows sorted by (key, s): members of buckets with two or more, and the least one."""
     for batch in _grouped(batches, ["key"]):
         key, s = batch.column("key").to_numpy(), batch.column("s").to_numpy()
         new = _starts(key, s)
@@ -172,7 +175,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _starts(key)
         size = np.diff(np.append(first, len(key)))
         at = np.repeat(size, size) > 1
-        yield pa.RecordBatch.from_pydict({"key": key[at], "s": s[at], "least": np.repeat(s[first], size)[at], "size": np.repeat(size, size)[at]})
+        yield pa.RecordBatch.from_pydict({"least": np.repeat(s[first], size)[at], "s": s[at]})
 
 
 class RTree:
@@ -207,31 +210,76 @@ def coarse(points: np.ndarray) -> np.ndarray:
     return points.reshape(len(points), COARSE, -1).sum(2)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Of rows sorted by (least, block, other): batches, and each pair of blocks' pairs of
+    different components that the bound lets through (overlap bound, place, place)."""
+    for batch in _grouped(batches, ["least", "block", "other"]):
+        least, block, other, mine, label, n = (batch.column(c).to_numpy() for c in ("least", "block", "other", "mine", "label", "n"))
+        points = points_of(batch.column("point"))
+        rough = coarse(points)
+        bounds = np.append(_starts(least, block, other), len(least))
+        out = []
+        for b, e in zip(bounds[:-1], bounds[1:], strict=True):
+            left = np.arange(b, e)[mine[b:e] == block[b]]
+            right = left if block[b] == other[b] else np.arange(b, e)[mine[b:e] == other[b]]
+            if not len(left) or not len(right) or (label[b:e] == label[b]).all():
+                continue
+            tree = RTree(points[right], n[right])
+            found = []
+            for i in left:
+                at = right[tree.search(points[i], rough[i], n[i], share)]
+                at = at[label[at] != label[i]]
+                if right is left:
+                    at = at[at > i]
+                if len(at):
+                    found.append(np.stack([np.minimum(points[at], points[i]).sum(1) * 200 // (n[at] + n[i]), np.full(len(at), i), at]))
+            if found:
+                out.append(np.concatenate(found, 1))
+        yield batch, out
+
+
+def _open(share: int):
+    """Members with a possible partner in another component, by bucket."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, pairs in _blocks(batches, share):
+            at = pa.array(np.unique(np.concatenate([p[1:].ravel() for p in pairs])) if pairs else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("least", "s")], names=["least", "s"])
+
+    return task
+
+
 def _across(share: int):
-    """Of rows sorted by (key, block, other): pairs of different components that the bound lets through."""
+    """Links that join components of a pair of blocks; a pair whose ends are joined by then needs no test."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches, ["key", "block", "other"]):
-            key, block, other, mine, s, label, n = (batch.column(c).to_numpy() for c in ("key", "block", "other", "mine", "s", "label", "n"))
-            points = points_of(batch.column("point"))
-            rough = coarse(points)
-            found: set[tuple[int, int]] = set()
-            bounds = np.append(_starts(key, block, other), len(key))
-            for b, e in zip(bounds[:-1], bounds[1:], strict=True):
-                left = np.arange(b, e)[mine[b:e] == block[b]]
-                right = left if block[b] == other[b] else np.arange(b, e)[mine[b:e] == other[b]]
-                if not len(left) or not len(right) or (label[b:e] == label[b]).all():
-                    continue
-                tree = RTree(points[right], n[right])
-                for i in left:
-                    at = right[tree.search(points[i], rough[i], n[i], share)]
-                    for x in s[at[label[at] != label[i]]].tolist():
-                        found.add((min(s[i], x), max(s[i], x)))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        for batch, blocks in _blocks(batches, share):
+            s, label, shingles = batch.column("s").to_numpy(), batch.column("label").to_numpy(), batch.column("shingles")
+            out: list[tuple[int, int]] = []
+            for pairs in blocks:
+                joined: dict[int, int] = {}
+                for i, j in pairs[1:, np.argsort(-pairs[0], kind="stable")].T.tolist():
+                    a, b = root(joined, int(label[i])), root(joined, int(label[j]))
+                    if a != b and linked(*(np.frombuffer(shingles[k].as_buffer(), np.uint64) for k in (i, j)), share):
+                        joined[a] = b
+                        out.append((s[i], s[j]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return task
 
 
+def root(joined: dict[int, int], x: int) -> int:
+    while (up := joined.get(x, x)) != x:
+        joined[x] = x = joined.get(up, up)
+    return x
+
+
+def linked(one: np.ndarray, two: np.ndarray, share: int) -> bool:
+    small, large = (one, two) if len(one) < len(two) else (two, one)
+    both = int((large[np.searchsorted(large, small).clip(0, len(large) - 1)] == small).sum())
+    return 100 * both >= share * (len(one) + len(two) - both)
+
+
 def _bounded(share: int):
     """Pairs whose sum of coordinate minima does not rule the similarity out."""
 
@@ -270,9 +318,7 @@ def _verify(share: int):
                 if b is None:
                     at, own = (a, salt), shingles
                 elif at == (a, salt):
-                    small, large = (own, shingles) if len(own) < len(shingles) else (shingles, own)
-                    both = int((large[np.searchsorted(large, small).clip(0, len(large) - 1)] == small).sum())
-                    if 100 * both >= share * (len(own) + len(shingles) - both):
+                    if linked(own, shingles, share):
                         out.append((a, b))
                 else:
                     raise RuntimeError("a set is missing")
@@ -296,41 +342,51 @@ def link(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id
     id_type = docs.schema[id_col].dataType.simpleString()
     facts = materialize(texts.mapInArrow(_facts(width), f"id {id_type}, n long, s long, point binary"), "jaccard-facts")
     posted = texts.select("text").mapInArrow(_postings(width, share), "key long, s long")
-    buckets = materialize(posted.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_stars, "key long, s long, least long, size long"), "jaccard-buckets")
+    stars = posted.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_stars, "least long, s long")
+    buckets = materialize(stars.groupBy("least", "s").agg(F.count("*").alias("times")), "jaccard-buckets")
     wanted = buckets.select("s").distinct()
     classes = facts.where("s is not null").groupBy("s").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("point").alias("point"))
     known = materialize(classes.join(wanted, "s"), "jaccard-classes")
     chosen = texts.join(known.select(F.col("id").alias("want"), "s"), F.col("id").eqNullSafe(F.col("want"))).select("s", "text")
     sets = materialize(chosen.mapInArrow(_sets(width), "s long, shingles binary"), "jaccard-sets")
     ends = [known.select(F.col("s").alias(e), F.col("n").alias(f"n_{e}"), F.col("point").alias(f"point_{e}")) for e in "ab"]
-    # Some rounds of one comparison a class: with the least class of one of its buckets,
-    # drawn by hash among those of other components.
-    links = known.limit(0).select(F.col("s").alias("a"), F.col("s").alias("b"))
+    # Some rounds of one comparison a class: with the least member it shares most postings
+    # with, among those of other components it has not met.
     labels = known.limit(0).select(F.col("s").alias("node"), F.col("s").alias("label"))
-    met = links
-    for turn in range(ROUNDS):
-        one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("s", "least"))
-        open_pairs = buckets.where("s <> least").select("s", "least").join(one, "s", "left").join(two, "least", "left")
-        open_pairs = open_pairs.where(F.coalesce("label_s", "s") != F.coalesce("label_least", "least"))
-        stars = materialize(open_pairs.groupBy(F.col("s").alias("b")).agg(F.min_by("least", F.xxhash64("s", "least", F.lit(turn))).alias("a")).select("a", "b"), "jaccard-stars")
-        met = met.unionByName(stars)
+    met = known.limit(0).select(F.col("s").alias("least"), "s")
+    for _ in range(ROUNDS):
+        pairs = named(buckets.where("s <> least"), labels, "s", "least").where("label_s <> label_least").join(met, ["least", "s"], "left_anti")
+        stars = materialize(pairs.groupBy(F.col("s").alias("b")).agg(F.max_by("least", F.struct("times", F.xxhash64("s", "least"))).alias("a")).select("a", "b"), "jaccard-stars")
+        met = met.unionByName(stars.select(F.col("a").alias("least"), F.col("b").alias("s")))
         near = stars.join(ends[0], "a").join(ends[1], "b").mapInArrow(_bounded(share), "a long, b long")
-        links = links.unionByName(materialize(verified(near, sets, share), "jaccard-links"))
-        labels = components(links)
-    open_ = buckets.select("key", "s").join(labels, F.col("s") == labels["node"], "left").select("key", "s", F.coalesce("label", "s").alias("label"))
-    mixed = open_.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    parts = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+        labels = joined(labels, materialize(verified(near, sets, share), "jaccard-links"))
+    rows = blocks(named(buckets.select("least", "s"), labels, "s"), known, F.count("*") / BLOCK_MEMBERS)
+    partnered = materialize(rows.mapInArrow(_open(share), "least long, s long").distinct(), "jaccard-open")
+    rows = blocks(named(partnered, labels, "s"), known.join(sets, "s"), F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") * 8 / BLOCK_BYTES))
+    links = rows.mapInArrow(_across(share), "a long, b long").distinct()
+    return facts.drop("point"), joined(labels, materialize(links, "jaccard-links"))
+
+
+def named(rows: DataFrame, labels: DataFrame, *cols: str) -> DataFrame:
+    """The rows with the label of each column's class; a class without links is its own."""
+    for c in cols:
+        rows = rows.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+        rows = rows.withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
+    return rows
+
+
+def blocks(members: DataFrame, classes: DataFrame, parts: Column) -> DataFrame:
+    """Members of buckets (least) with several labels, dealt out as pairs of blocks with what ``classes`` hold."""
+    sized = members.join(classes.select("s", "n"), "s").groupBy("least")
+    mixed = sized.agg(F.ceil(parts).cast("int").alias("parts"), F.min("label_s").alias("low"), F.max("label_s").alias("high")).where("low <> high")
     rows = (
-        open_.join(mixed.select("key", parts.alias("parts")), "key")
-        .join(known.select("s", "n", "point"), "s")
+        members.join(mixed.select("least", "parts"), "least")
         .withColumn("mine", F.pmod(F.xxhash64("s"), F.col("parts").cast("long")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("mine", "with").alias("block"), F.greatest("mine", "with").alias("other"), "mine", "s", "label", "n", "point")
+        .select("least", F.least("mine", "with").alias("block"), F.greatest("mine", "with").alias("other"), "mine", "s", F.col("label_s").alias("label"))
+        .join(classes.drop("id"), "s")
     )
-    found = rows.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other").mapInArrow(_across(share), "a long, b long")
-    across = materialize(found.distinct().join(met, ["a", "b"], "left_anti"), "jaccard-across")
-    more = verified(across, sets, share)
-    return facts.drop("point"), components(links.unionByName(materialize(more, "jaccard-more")))
+    return rows.repartition("least", "block", "other").sortWithinPartitions("least", "block", "other")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -125,6 +125,33 @@ def test_keep_one_on_clashing_columns_and_ids(spark):
     assert jaccard.keep_one(df.limit(0)).count() == 0
 
 
+def test_jaccard_pairs_never_become_rows(spark, monkeypatch):
+    """A family of near copies, some linked, some just below, without the rounds that join it cheaply."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(160), 1 if i % 2 else 3):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    sizes: dict[str, int] = {}
+    write = jaccard.materialize
+
+    def counted(df, label, *codec):
+        out = write(df, label, *codec)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, 4, 85).collect()}
+    assert got == brute_components([(i, t) for i, t in rows], 4, 85)
+    assert 1 < len({c for _, c in got.values()}) <= 35
+    assert max(sizes.values()) <= 4 * len(rows), sizes
+
+
 def test_jaccard_postings_meet():
     """Sets at the threshold always share a posting, at every size."""
     rng = np.random.default_rng(1)

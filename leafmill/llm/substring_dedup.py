@@ -3,7 +3,8 @@
 A window of ``width`` words is repeated if its word sequence starts anywhere else too.
 Every window holds an anchor, the least of its runs of ANCHOR words by hash, so equal
 windows have equal anchors at equal places. Consecutive windows that share an anchor
-form a region (all their words). Regions are counted by anchor and content with partial
+form a region (all their words). Anchors are counted first, and only regions of those
+that occur again are kept; regions are counted by anchor and content with partial
 aggregation: a region that occurs twice as a whole has only repeated windows; an anchor
 with a single region has none. What is left are anchors with several different
 regions, at the edges of copied passages. Their regions are the reference shards: one
@@ -246,13 +247,21 @@ def _removed(width: int):
     return task
 
 
-def repeated_windows(texts: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+def meet(texts: DataFrame, copies: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (t, ...) with the text that stands for the word sequence t; texts move once, and once the rows are few."""
+    asked = rows.join(copies.select("t", F.col("one").alias("want")), "t")
+    return texts.join(asked, F.col("id").eqNullSafe(F.col("want"))).drop("want")
+
+
+def repeated_windows(texts: DataFrame, copies: DataFrame, width: int) -> DataFrame:
     """(t, first, bits): of the text with sequence hash t, the repeated ones among those from ``first`` on.
 
-    ``texts`` are all texts; ``chosen`` has one for each word sequence, with its hash.
+    ``texts`` are all texts; ``copies`` names the row that stands for each word sequence t.
     """
-    posts = texts.select("text").mapInArrow(_posts(width), POSTS)
-    posts = materialize(posts, "dedup-posts")
+    every = texts.select("text").mapInArrow(_posts(width), POSTS)
+    # Most anchors occur once, so their regions are counted by the anchor alone and never written.
+    shared = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "dedup-anchors")
+    posts = materialize(every.join(shared, "anchor", "left_semi"), "dedup-posts")
     place = F.xxhash64("t", "first")
     by_region = posts.groupBy("anchor", "region").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min("t").alias("t"))
     by_region = materialize(by_region.select("anchor", "region", (F.col("low") != F.col("high")).alias("whole"), "t"), "dedup-regions")
@@ -261,7 +270,7 @@ def repeated_windows(texts: DataFrame, chosen: DataFrame, width: int) -> DataFra
     # Where a region lies: in the text that stands for it, at the least place there.
     first = posts.join(asked.select("anchor", "region", "t"), ["anchor", "region", "t"]).groupBy("anchor", "region", "t").agg(F.min("first").alias("first"), F.min("last").alias("last"))
     wanted = first.groupBy("t").agg(F.collect_list(F.struct("anchor", "region", "first", "last")).alias("wanted"))
-    cut = materialize(chosen.join(wanted, "t").select("text", "t", "wanted").mapInArrow(_cut_out(width), "anchor long, region long, words binary").dropDuplicates(["anchor", "region"]), "dedup-shards")
+    cut = materialize(meet(texts, copies, wanted).select("text", "t", "wanted").mapInArrow(_cut_out(width), "anchor long, region long, words binary").dropDuplicates(["anchor", "region"]), "dedup-shards")
     sized = cut.join(shards, "anchor")
     few = sized.where(F.col("regions") <= SHARD_REGIONS).select("anchor", "region", "words")
     matched = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(width), "anchor long, region long, bits long")
@@ -284,11 +293,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     id_type = docs.schema[id_col].dataType.simpleString()
     facts = materialize(texts.mapInArrow(_facts, f"id {id_type}, n long, t long, digest string"), "dedup-facts")
     copies = facts.groupBy("t").agg(F.count("*").alias("copies"), F.min("id").alias("one"))
-    # One text for each word sequence.
-    chosen = texts.join(copies.select("t", F.col("one").alias("want")), F.col("id").eqNullSafe(F.col("want"))).select("id", "t", "text")
-    found = repeated_windows(texts, chosen, width)
+    found = repeated_windows(texts, copies, width)
     spans = found.groupBy("t").agg(F.collect_list(F.struct("first", "bits")).alias("spans"))
-    parted = chosen.join(spans, "t").select("id", "t", "text", "spans").mapInArrow(_removed(width), f"id {id_type}, t long, removed long, kept string")
+    parted = meet(texts, copies, spans).select("id", "t", "text", "spans").mapInArrow(_removed(width), f"id {id_type}, t long, removed long, kept string")
     parted = parted.dropDuplicates(["t"]).select("t", "removed", F.sha2("kept", 256).alias("rest"))
     out = facts.join(copies.select("t", "copies"), "t").join(parted, "t", "left")
     gone = (F.col("copies") > 1) & (F.col("n") >= width)

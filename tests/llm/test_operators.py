@@ -540,6 +540,26 @@ def test_substring_removal(docs, rows, nothing, monkeypatch, shard):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_substring_writes_only_shared_anchors(spark, monkeypatch):
+    """Passages without a copy are counted by their anchors and never written."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[100 * i : 100 * i + 100])) for i in range(30)]
+    rows[7] = (7, rows[7][1] + " " + " ".join(words[:50]))
+    sizes: dict[str, int] = {}
+    write = substring_dedup.materialize
+
+    def counted(df, label, *codec):
+        out = write(df, label, *codec)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df, 20).collect()}
+    assert got == {i: 50 * (i in (0, 7)) for i in range(30)}
+    assert 0 < sizes["dedup-posts"] < 30 and sizes["dedup-regions"] < 30, sizes
+
+
 def test_suffix_automaton_counts():
     rng = random.Random(8)
     for _ in range(200):

@@ -5,7 +5,10 @@ table (left id, right id, merged id). The text pieces it has not met yet are lai
 out as token-position rows; a recursive query joins neighbouring rows with the
 merge table and contracts the minimum-rank pair of every piece until none is left.
 An ordered aggregation gives each piece's ids and, over the vocabulary's bytes,
-its decoded bytes. A piece is contracted once per task, however often it occurs.
+its decoded bytes; both go to flat arrays, from which whole documents are taken. A
+piece is contracted once as long as a task keeps it, however often it occurs. Past
+CACHE_PIECES segments a task keeps those met again since they were learnt and forgets
+the others, most of which are words that occur once; so its memory is bounded.
 
 The pair contracted in a step is the leftmost one of minimum rank, so a piece takes
 as many steps as it has merges. A piece of more than LONG_BYTES, such as a text
@@ -22,10 +25,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -39,34 +45,32 @@ OUTPUTS = {
 
 CHUNK_CHARS = 1_500_000
 LONG_BYTES = 1024
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
+# Pieces of one query: its rows stay in memory until it ends.
+QUERY_PIECES = 20_000
 
 # Every space before a visible character starts a new piece, so texts can be cut there.
 CUT = r" (?=\S)"
 
 # A row is a token at a place: k is its piece (upper 32 bits) and its first byte's
 # position (lower 32). A pair belongs to its left row; contracting it keeps that row
-# and drops the next.
+# and drops the next, whose row before is the contracted one. One sort serves a step.
 CONTRACT = """
 WITH RECURSIVE step(k, t, done) AS (
     SELECT k, t, false FROM start
   UNION ALL
     (WITH pairs AS MATERIALIZED (
-        SELECT a.k, a.t, g.m
-        FROM (SELECT k, t, CASE WHEN lead(k) OVER o >> 32 = k >> 32 THEN (t::BIGINT << 32) | lead(t) OVER o END AS pair
+        SELECT a.k, a.t, a.before, g.m, (g.m::BIGINT << 32) | (a.k & 4294967295) AS spot
+        FROM (SELECT k, t, lag(k) OVER o AS before, CASE WHEN lead(k) OVER o >> 32 = k >> 32 THEN (t::BIGINT << 32) | lead(t) OVER o END AS pair
               FROM step WHERE NOT done WINDOW o AS (ORDER BY k)) a
         LEFT JOIN merges g ON g.pair = a.pair),
-    best AS MATERIALIZED (
-        SELECT k >> 32 AS w, min((m::BIGINT << 32) | (k & 4294967295)) AS first FROM pairs GROUP BY 1)
-    SELECT k, CASE WHEN hit THEN m ELSE t END, first IS NULL
-    FROM (
-        SELECT k, t, m, first, hit, lag(hit) OVER (ORDER BY k) AS gone
-        FROM (SELECT k, t, m, first, ((m::BIGINT << 32) | (k & 4294967295)) = first AS hit
-              FROM pairs JOIN best ON best.w = pairs.k >> 32))
-    WHERE gone IS NOT TRUE)
+    best AS MATERIALIZED (SELECT k >> 32 AS w, min(spot) AS first FROM pairs GROUP BY 1)
+    SELECT k, CASE WHEN spot = first THEN m ELSE t END, first IS NULL
+    FROM pairs JOIN best ON best.w = pairs.k >> 32
+    WHERE first IS NULL OR before IS DISTINCT FROM (w << 32) | (first & 4294967295))
 )
-SELECT k >> 32 AS w, list(t ORDER BY k) AS ids, string_agg(hex(v.bytes), '' ORDER BY k) AS decoded
-FROM step JOIN vocab v ON v.id = step.t WHERE done GROUP BY 1
+SELECT k >> 32 AS w, list(t ORDER BY k) AS ids, string_agg(v.hexed, '' ORDER BY k) AS decoded
+FROM step JOIN vocab v ON v.id = step.t WHERE done GROUP BY 1 ORDER BY 1
 """
 
 
@@ -89,7 +93,8 @@ class Contractor:
         for i, b in ranks:
             self.bytes_of[i] = b
         self.con = con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
-        vocab = pa.table({"id": pa.array([i for i, _ in ranks], pa.int32()), "bytes": pa.array([b for _, b in ranks], pa.binary())})
+        self.digits = pa.array([f"{i}," for i in range(len(self.bytes_of))], pa.binary())
+        vocab = pa.table({"id": pa.array([i for i, _ in ranks], pa.int32()), "hexed": [b.hex() for _, b in ranks]})
         con.register("vocab_in", vocab)
         con.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         con.unregister("vocab_in")
@@ -103,16 +108,53 @@ class Contractor:
         self.one = np.array([whole.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.one < 0).any():
             raise ValueError("the vocabulary must hold every single byte")
-        self.pieces: dict[str, tuple[list[int], bytes]] = {}
+        self.pieces: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         """Forget the pieces met so far."""
+        # The entry of a piece or segment numbers a run of ids and a run of decoded bytes.
         self.pieces.clear()
         self.blank = {""}
-        # By segment: ids as text with a comma after each, decoded bytes. [0] starts a text, [1] follows a space.
-        self.ids_text: tuple[dict, dict] = ({}, {})
-        self.decoded: tuple[dict, dict] = ({}, {})
+        # Segments: [0] starts a text, [1] follows a space.
+        self.segments: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.ids, self.id_ends = array("i"), array("q", [0])
+        self.decoded, self.decoded_ends = bytearray(), array("q", [0])
+        self.met_again = bytearray()
+
+    def trim(self) -> None:
+        """Forgets the entries that no later text or segment asked for; all, where that leaves too many."""
+        again = np.frombuffer(bytes(self.met_again), np.bool_)
+        old = np.flatnonzero(again)
+        flags = bytes(self.met_again)
+        pieces, first, later = ({k: i for k, i in held.items() if flags[i]} for held in (self.pieces, *self.segments))
+        (ids, id_ends), (decoded, decoded_ends) = self.ids_of(old), self.decoded_of(old)
+        decoded = decoded.to_pybytes()[: int(decoded_ends[-1])]
+        self.clear()
+        if len(old) > CACHE_PIECES // 2:
+            return
+        self.add(ids.tobytes(), id_ends[1:], decoded, decoded_ends[1:])
+        place = (np.cumsum(again) - 1).tolist()
+        for held, kept in zip((self.pieces, *self.segments), (pieces, first, later), strict=True):
+            held.update((k, place[i]) for k, i in kept.items())
+
+    def add(self, ids: bytes, id_ends: np.ndarray, decoded: bytes, decoded_ends: np.ndarray) -> int:
+        """Appends runs, given end by end, and tells the first one's entry."""
+        entry, n, m = len(self.id_ends) - 1, len(self.ids), len(self.decoded)
+        self.ids.frombytes(ids)
+        self.decoded += decoded
+        self.id_ends.frombytes((id_ends + n).astype(np.int64).tobytes())
+        self.decoded_ends.frombytes((decoded_ends + m).astype(np.int64).tobytes())
+        self.met_again += bytes(len(id_ends))
+        return entry
+
+    def mark(self, entries: np.ndarray, known: int) -> None:
+        """Notes the use of entries that were there before."""
+        np.frombuffer(self.met_again, np.uint8)[entries[entries < known]] = 1
+
+    def add_one(self, ids: list[int]) -> int:
+        decoded = b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.add(np.array(ids, np.int32).tobytes(), np.array([len(ids)]), decoded, np.array([len(decoded)]))
 
     def close(self) -> None:
         """Give back the task's memory: workers live on for tasks of other stages."""
@@ -125,23 +167,28 @@ class Contractor:
         for x in pieces:
             raw = x.encode("utf-8", "surrogatepass")
             if (one := self.whole.get(raw)) is not None:
-                self.pieces[x] = ([one], self.bytes_of[one])
+                self.pieces[x] = self.add_one([one])
             elif len(raw) > LONG_BYTES:
-                ids = self.contract_long(raw)
-                self.pieces[x] = (ids, b"".join(map(self.bytes_of.__getitem__, ids)))
+                self.pieces[x] = self.add_one(self.contract_long(raw))
             else:
                 todo.append((x, raw))
-        if not todo:
-            return
+        for at in range(0, len(todo), QUERY_PIECES):
+            self.contract_rows(todo[at : at + QUERY_PIECES])
+
+    def contract_rows(self, todo: list[tuple[str, bytes]]) -> None:
+        """The same for pieces that one query contracts."""
+        joined = b"".join([raw for _, raw in todo])
         lens = np.array([len(raw) for _, raw in todo])
         ends = np.cumsum(lens)
         k = (np.repeat(np.arange(len(todo)), lens) << 32) + np.arange(ends[-1]) - np.repeat(ends - lens, lens)
-        t = self.one[np.frombuffer(b"".join(raw for _, raw in todo), np.uint8)]
-        self.con.register("start", pa.table({"k": k, "t": t}))
+        self.con.register("start", pa.table({"k": k, "t": self.one[np.frombuffer(joined, np.uint8)]}))
         got = self.con.sql(CONTRACT).to_arrow_table()
         self.con.unregister("start")
-        for k, ids, hexed in zip(*(got[c].to_pylist() for c in ("w", "ids", "decoded")), strict=True):
-            self.pieces[todo[k][0]] = (ids, bytes.fromhex(hexed))
+        ids = pc.list_flatten(got["ids"]).to_numpy().astype(np.int32, copy=False)
+        hexed = "".join(got["decoded"].to_pylist())
+        id_ends, hex_ends = (np.cumsum(count(got[c]).to_numpy()) for c, count in (("ids", pc.list_value_length), ("decoded", pc.binary_length)))
+        entry = self.add(ids.tobytes(), id_ends, bytes.fromhex(hexed), hex_ends // 2)
+        self.pieces.update((x, i) for i, (x, _) in enumerate(todo, entry))
 
     def contract_long(self, raw: bytes) -> list[int]:
         """The ids of one long piece: the leftmost pair of minimum rank first, from a heap."""
@@ -167,18 +214,58 @@ class Contractor:
 
     def learn(self, first: set[str], later: set[str]) -> None:
         """Ids and bytes of text segments that are new here."""
-        new = [(k, s, self.find(" " * k + s)) for k, segments in ((0, first), (1, later)) for s in segments]
-        self.contract({x for _, _, found in new for x in found if x not in self.pieces})
-        for k, s, found in new:
-            parts = [self.pieces[x] for x in found]
-            ids = [i for part, _ in parts for i in part]
-            self.ids_text[k][s] = "".join(f"{i}," for i in ids)
-            self.decoded[k][s] = b"".join(b for _, b in parts)
+        self.keep(0, list(first), [self.find(s) for s in first])
+        segments = list(later)
+        self.keep(1, segments, self.find_each(segments))
+
+    def find_each(self, segments: list[str]) -> list[list[str]]:
+        """The pieces of every segment, each behind a space: one search over all, cut where segments begin."""
+        found = self.find("".join([f" {s}" for s in segments]))
+        starts = np.cumsum([0, *(len(s) + 1 for s in segments)])
+        places = np.cumsum([0, *map(len, found)])
+        at = np.searchsorted(places, starts)
+        if places[-1] != starts[-1] or (places[at] != starts).any():  # a match across segments, or characters left out
+            return [self.find(" " + s) for s in segments]
+        cuts = at.tolist()
+        return [found[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def keep(self, kind: int, segments: list[str], found: list[list[str]]) -> None:
+        before = len(self.met_again)
+        self.contract({x for some in found for x in some if x not in self.pieces})
+        entry_of, known = self.pieces.__getitem__, self.segments[kind]
+        known.update((s, entry_of(some[0])) for s, some in zip(segments, found, strict=True) if len(some) == 1)
+        several = [(s, some) for s, some in zip(segments, found, strict=True) if len(some) != 1]
+        counts = np.array([len(some) for _, some in several], np.int64)
+        runs = np.fromiter((entry_of(x) for _, some in several for x in some), np.int64, int(counts.sum()))
+        self.mark(runs, before)
+        ids, id_ends = self.ids_of(runs)
+        decoded, decoded_ends = self.decoded_of(runs)
+        last = np.cumsum(counts)
+        entry = self.add(ids.tobytes(), id_ends[last], decoded.to_pybytes(), decoded_ends[last])
+        known.update((s, i) for i, (s, _) in enumerate(several, entry))
+
+    def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries one after another, and where each begins and the last ends."""
+        at = np.frombuffer(self.id_ends, np.int64)
+        lens = at[entries + 1] - at[entries]
+        ends = np.cumsum(lens)
+        places = np.repeat(at[entries] - ends + lens, lens) + np.arange(lens.sum())
+        return (np.frombuffer(self.ids, np.int32)[places] if len(places) else np.zeros(0, np.int32)), np.concatenate([[0], ends])
+
+    def decoded_of(self, entries: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+        """The same of the decoded bytes."""
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.decoded_ends) - 1, [None, pa.py_buffer(self.decoded_ends), pa.py_buffer(self.decoded)])
+        return _run(held.take(pa.array(entries)))
 
     def documents(self, texts: list[str], outputs: tuple[str, ...]) -> dict[str, list]:
+        """The named outputs of every text."""
+        return {k: v.to_pylist() for k, v in self.columns(texts, outputs).items()}
+
+    def columns(self, texts: list[str], outputs: tuple[str, ...]) -> dict[str, pa.Array]:
+        """The same as Arrow columns."""
         cut = [t.split(" ") for t in texts]
         first = {c[0] for c in cut}
-        later = set().union(*(c[1:] for c in cut)).difference(self.ids_text[1]) if cut else set()
+        later = set().union(*(c[1:] for c in cut)).difference(self.segments[1]) if cut else set()
         self.blank.update(s for s in later if s[:1].isspace())
         if later & self.blank:  # spaces that other white space follows: cut anew
             for k, c in enumerate(cut):
@@ -186,30 +273,46 @@ class Contractor:
                     cut[k] = re.split(CUT, texts[k])
                     first.add(cut[k][0])
                     later.update(cut[k][1:])
-        self.learn(first.difference(self.ids_text[0]), later.difference(self.ids_text[1], self.blank))
-        out: dict[str, list] = {k: [] for k in outputs}
-        for c in cut:
-            head, rest = c[0], c[1:]
-            ids = (self.ids_text[0][head] + "".join(map(self.ids_text[1].__getitem__, rest)))[:-1]
-            if "n_tokens" in out:
-                out["n_tokens"].append(ids.count(",") + bool(ids))
-            if "ids" in out:
-                out["ids"].append(list(map(int, ids.split(","))) if ids else [])
-            if "ids_sha256" in out:
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-            if "decoded" in out or "decoded_sha256" in out:
-                whole = self.decoded[0][head] + b"".join(map(self.decoded[1].__getitem__, rest))
-                if "decoded" in out:
-                    out["decoded"].append(whole)
-                if "decoded_sha256" in out:
-                    out["decoded_sha256"].append(hashlib.sha256(whole).hexdigest())
+        before = len(self.met_again)
+        self.learn(first.difference(self.segments[0]), later.difference(self.segments[1], self.blank))
+        heads, rests = self.segments[0].__getitem__, self.segments[1].__getitem__
+        counts = np.array([len(c) for c in cut], np.int64)
+        entries = np.fromiter(chain.from_iterable(chain((heads(c[0]),), map(rests, c[1:])) for c in cut), np.int64, int(counts.sum()))
+        self.mark(entries, before)
+        last = np.concatenate([[0], np.cumsum(counts)])
+        ids, id_ends = self.ids_of(entries)
+        id_ends = id_ends[last]
+        out: dict[str, pa.Array] = {}
+        if "n_tokens" in outputs:
+            out["n_tokens"] = pa.array(np.diff(id_ends))
+        if "ids" in outputs:
+            out["ids"] = pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), pa.array(ids, pa.int32()))
+        if "ids_sha256" in outputs:
+            digits, at = _run(self.digits.take(pa.array(ids)))
+            view, at = memoryview(digits), at[id_ends].tolist()
+            # A text's last comma is left out.
+            out["ids_sha256"] = pa.array([hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:], strict=False)], pa.string())
+        if "decoded" in outputs or "decoded_sha256" in outputs:
+            decoded, at = self.decoded_of(entries)
+            view, at = memoryview(decoded), at[last].tolist()
+            texts_back = [view[a:b] for a, b in zip(at, at[1:], strict=False)]
+            if "decoded" in outputs:
+                out["decoded"] = pa.array(map(bytes, texts_back), pa.binary())
+            if "decoded_sha256" in outputs:
+                out["decoded_sha256"] = pa.array([hashlib.sha256(b).hexdigest() for b in texts_back], pa.string())
         return out
 
 
+def _run(values: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """All values' bytes on end, and where each begins and the last ends."""
+    wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
+    _, ends, data = values.buffers()
+    at = np.frombuffer(ends, wide)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, wide)
+    return data if data is not None else pa.py_buffer(b""), at
+
+
 def _chunks(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
     """Slices of about CHUNK_CHARS; a text is never cut."""
-    import pyarrow.compute as pc
-
     start = size = 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()):
         if size and size + n > CHUNK_CHARS:
@@ -235,11 +338,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         try:
             for batch in batches:
                 for part in _chunks(batch, text_col):
-                    if len(bpe.ids_text[1]) > CACHE_PIECES:
-                        bpe.clear()
-                    got = bpe.documents([t or "" for t in part.column(text_col).to_pylist()], outputs)
-                    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
-                    yield pa.RecordBatch.from_arrays([part.column(id_col), *(pa.array(got[k], kinds.get(k, pa.string())) for k in outputs)], names=[id_col, *outputs])
+                    if len(bpe.segments[1]) > CACHE_PIECES:
+                        bpe.trim()
+                    got = bpe.columns([t or "" for t in part.column(text_col).to_pylist()], outputs)
+                    yield pa.RecordBatch.from_arrays([part.column(id_col), *(got[k] for k in outputs)], names=[id_col, *outputs])
         finally:
             bpe.close()
 

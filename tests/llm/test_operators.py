@@ -84,6 +84,44 @@ def test_bpe_on_random_characters():
     assert machine.documents(texts, ("ids",))["ids"] == [whole.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_queries_are_bounded_and_segments_share_their_pieces(monkeypatch):
+    machine = bpe.Contractor(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=machine.whole, special_tokens={})
+    monkeypatch.setattr(bpe, "QUERY_PIECES", 40)
+    sizes, contract = [], machine.contract_rows
+    monkeypatch.setattr(machine, "contract_rows", lambda todo: (sizes.append(len(todo)), contract(todo)))
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshé", k=rng.randrange(6, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=50)) for _ in range(60)] + ["", "it's qzqzqz's, (qzqzqz)", "a \n b\n\n c  "]
+    for _ in range(2):  # a cleared machine starts anew
+        got = machine.documents(texts, ("n_tokens", "ids", "decoded"))
+        assert got["ids"] == [whole.encode_ordinary(t) for t in texts]
+        assert got["n_tokens"] == [len(x) for x in got["ids"]] and got["decoded"] == [t.encode() for t in texts]
+        assert max(sizes) <= 40 and sum(sizes) > 250
+        plain = next(w for w in words if f" {w}" in machine.pieces)
+        assert machine.segments[1][plain] == machine.pieces[f" {plain}"]
+        machine.clear()
+        sizes.clear()
+
+
+def test_bpe_keeps_what_it_met_again():
+    machine = bpe.Contractor(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=machine.whole, special_tokens={})
+    encode = lambda texts: machine.documents(texts, ("ids", "decoded"))
+    encode(["a oncezq twicezq, morezq"])
+    encode(["b twicezq, x"])
+    machine.trim()
+    assert set(machine.segments[1]) == {"twicezq,"} and machine.blank == {""}
+    texts = ["a oncezq twicezq, morezq twicezq", "", "  \n c"]
+    got = encode(texts)
+    assert got["ids"] == [whole.encode_ordinary(t) for t in texts] and got["decoded"] == [t.encode() for t in texts]
+
+
+def test_bpe_finds_pieces_that_cross_a_cut_segment_by_segment():
+    machine = bpe.Contractor(bpe.read_ranks(RANKS), r"\S+ \S+|\S+|\s+")
+    assert machine.find_each(["ab", "cd", "ef"]) == [[" ", "ab"], [" ", "cd"], [" ", "ef"]]
+
+
 def brute_components(rows, width, share):
     sets, parent = {}, {}
     for i, t, *_ in rows:

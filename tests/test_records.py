@@ -269,3 +269,21 @@ def test_candidates_stay_on_their_page(demo):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\([^)]*fingerprint", plan)
+
+
+def test_stored_identities_meet_new_rows_on_their_page(demo, tmp_path):
+    """Neither side of the check against stored records is dealt by whole identities; a rerun appends nothing."""
+    spark, path = demo.sparkSession, str(tmp_path / "stored")
+    whole = extract_reactions(demo)
+    whole.filter("entry_no = 0").write.parquet(path)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rest = extract_reactions(demo, stored=spark.read.parquet(path))
+        assert sorted(r.fingerprint for r in rest.collect()) == sorted(r.fingerprint for r in whole.filter("entry_no > 0").collect())
+        plan = rest._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\([^)]*fingerprint", plan)
+        rest.write.mode("append").parquet(path)
+        assert extract_reactions(demo, stored=spark.read.parquet(path)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)

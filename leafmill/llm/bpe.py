@@ -93,7 +93,7 @@ class Contractor:
         for i, b in ranks:
             self.bytes_of[i] = b
         self.con = con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
-        self.digits = pa.array([f"{i}," for i in range(len(self.bytes_of))], pa.binary())
+        self.digits = pa.array([f"{i}," for i in range(len(self.bytes_of))], pa.large_binary())
         vocab = pa.table({"id": pa.array([i for i, _ in ranks], pa.int32()), "hexed": [b.hex() for _, b in ranks]})
         con.register("vocab_in", vocab)
         con.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")

@@ -23,10 +23,14 @@ table gives an empty table; further columns are not read, whatever their names.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -54,23 +58,26 @@ CUT = r" (?=\S)"
 
 # A row is a token at a place: k is its piece (upper 32 bits) and its first byte's
 # position (lower 32). A pair belongs to its left row; contracting it keeps that row
-# and drops the next, whose row before is the contracted one. One sort serves a step.
+# and drops the next, whose row before is the contracted one. Rows start in the order of
+# k and one thread keeps it, so a step needs no sort; rows out of order are an error.
 CONTRACT = """
 WITH RECURSIVE step(k, t, done) AS (
     SELECT k, t, false FROM start
   UNION ALL
     (WITH pairs AS MATERIALIZED (
         SELECT a.k, a.t, a.before, g.m, (g.m::BIGINT << 32) | (a.k & 4294967295) AS spot
-        FROM (SELECT k, t, lag(k) OVER o AS before, CASE WHEN lead(k) OVER o >> 32 = k >> 32 THEN (t::BIGINT << 32) | lead(t) OVER o END AS pair
-              FROM step WHERE NOT done WINDOW o AS (ORDER BY k)) a
+        FROM (SELECT k, t, lag(k) OVER o AS before, CASE WHEN lag(k) OVER o >= k THEN error('rows out of order')
+                     WHEN lead(k) OVER o >> 32 = k >> 32 THEN (t::BIGINT << 32) | lead(t) OVER o END AS pair
+              FROM step WHERE NOT done WINDOW o AS ({order})) a
         LEFT JOIN merges g ON g.pair = a.pair),
     best AS MATERIALIZED (SELECT k >> 32 AS w, min(spot) AS first FROM pairs GROUP BY 1)
     SELECT k, CASE WHEN spot = first THEN m ELSE t END, first IS NULL
     FROM pairs JOIN best ON best.w = pairs.k >> 32
     WHERE first IS NULL OR before IS DISTINCT FROM (w << 32) | (first & 4294967295))
 )
-SELECT k >> 32 AS w, list(t ORDER BY k) AS ids, string_agg(v.hexed, '' ORDER BY k) AS decoded
-FROM step JOIN vocab v ON v.id = step.t WHERE done GROUP BY 1 ORDER BY 1
+SELECT w, list(t) AS ids, string_agg(hexed, '') AS decoded
+FROM (SELECT k >> 32 AS w, t, v.hexed FROM step JOIN vocab v ON v.id = step.t WHERE done ORDER BY k)
+GROUP BY 1 ORDER BY 1
 """
 
 
@@ -80,37 +87,47 @@ def read_ranks(path: str) -> list[tuple[int, bytes]]:
         return [(int(rank), base64.b64decode(token)) for token, rank in (line.split() for line in f if line.strip())]
 
 
+def merge_table(ranks: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of tokens that makes a token, the left id in the upper 32 bits, and the token made."""
+    whole = {b: i for i, b in ranks}
+    rows = [(whole[b[:k]], whole[b[k:]], i) for i, b in ranks for k in range(1, len(b)) if b[:k] in whole and b[k:] in whole]
+    return np.array([(a << 32) | b for a, b, _ in rows], np.int64), np.array([m for _, _, m in rows], np.int32)
+
+
 class Contractor:
     """Ids and bytes of text pieces, by recursive queries over one task's DuckDB."""
 
-    def __init__(self, ranks: list[tuple[int, bytes]], pattern: str):
+    def __init__(self, ranks: list[tuple[int, bytes]], pattern: str, merges: tuple[np.ndarray, np.ndarray] | None = None):
         import duckdb
         import regex
 
         self.find = regex.compile(pattern).findall
+        self.out_of_order = duckdb.InvalidInputException
         self.whole = {b: i for i, b in ranks}
         self.bytes_of = [b""] * (max((i for i, _ in ranks), default=-1) + 1)
         for i, b in ranks:
             self.bytes_of[i] = b
-        self.con = con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
+        self.con = con = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": "true"})
         self.digits = pa.array([f"{i}," for i in range(len(self.bytes_of))], pa.large_binary())
         vocab = pa.table({"id": pa.array([i for i, _ in ranks], pa.int32()), "hexed": [b.hex() for _, b in ranks]})
         con.register("vocab_in", vocab)
         con.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         con.unregister("vocab_in")
-        whole = self.whole
-        rows = [(whole[b[:k]], whole[b[k:]], i) for i, b in ranks for k in range(1, len(b)) if b[:k] in whole and b[k:] in whole]
-        pair, merged = [(a << 32) | b for a, b, _ in rows], [m for _, _, m in rows]
-        con.register("merges_in", pa.table({"pair": pa.array(pair, pa.int64()), "m": pa.array(merged, pa.int32())}))
+        self.merges = merge_table(ranks) if merges is None else merges
+        con.register("merges_in", pa.table({"pair": self.merges[0], "m": self.merges[1]}))
         con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         con.unregister("merges_in")
-        self.pairs = dict(zip(pair, merged, strict=True))
-        self.one = np.array([whole.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.one = np.array([self.whole.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.one < 0).any():
             raise ValueError("the vocabulary must hold every single byte")
         self.pieces: dict[str, int] = {}
         self.clear()
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The token that a pair makes, for long pieces."""
+        return dict(zip(*(x.tolist() for x in self.merges), strict=True))
+
     def clear(self) -> None:
         """Forget the pieces met so far."""
         # The entry of a piece or segment numbers a run of ids and a run of decoded bytes.
@@ -160,18 +177,23 @@ class Contractor:
         """Give back the task's memory: workers live on for tasks of other stages."""
         self.clear()
         self.con.close()
+        give_back()
 
     def contract(self, pieces: Iterable[str]) -> None:
         """Adds the ids and the decoded bytes of pieces that are new here."""
         todo: list[tuple[str, bytes]] = []
+        tokens: list[tuple[str, bytes, int]] = []
         for x in pieces:
             raw = x.encode("utf-8", "surrogatepass")
             if (one := self.whole.get(raw)) is not None:
-                self.pieces[x] = self.add_one([one])
+                tokens.append((x, raw, one))
             elif len(raw) > LONG_BYTES:
                 self.pieces[x] = self.add_one(self.contract_long(raw))
             else:
                 todo.append((x, raw))
+        ids, ends = np.array([one for *_, one in tokens], np.int32), np.cumsum([len(raw) for _, raw, _ in tokens], dtype=np.int64)
+        entry = self.add(ids.tobytes(), np.arange(1, len(tokens) + 1), b"".join([raw for _, raw, _ in tokens]), ends)
+        self.pieces.update((x, i) for i, (x, *_) in enumerate(tokens, entry))
         for at in range(0, len(todo), QUERY_PIECES):
             self.contract_rows(todo[at : at + QUERY_PIECES])
 
@@ -182,12 +204,16 @@ class Contractor:
         ends = np.cumsum(lens)
         k = (np.repeat(np.arange(len(todo)), lens) << 32) + np.arange(ends[-1]) - np.repeat(ends - lens, lens)
         self.con.register("start", pa.table({"k": k, "t": self.one[np.frombuffer(joined, np.uint8)]}))
-        got = self.con.sql(CONTRACT).to_arrow_table()
+        try:
+            got = self.con.sql(CONTRACT.format(order="")).to_arrow_table()
+        except self.out_of_order:
+            got = self.con.sql(CONTRACT.format(order="ORDER BY k")).to_arrow_table()
         self.con.unregister("start")
         ids = pc.list_flatten(got["ids"]).to_numpy().astype(np.int32, copy=False)
-        hexed = "".join(got["decoded"].to_pylist())
-        id_ends, hex_ends = (np.cumsum(count(got[c]).to_numpy()) for c, count in (("ids", pc.list_value_length), ("decoded", pc.binary_length)))
-        entry = self.add(ids.tobytes(), id_ends, bytes.fromhex(hexed), hex_ends // 2)
+        decoded = bytes.fromhex("".join(got["decoded"].to_pylist()))
+        if decoded != joined:  # the ids stand in the same order
+            raise RuntimeError("the ids of a piece do not decode to it")
+        entry = self.add(ids.tobytes(), np.cumsum(pc.list_value_length(got["ids"]).to_numpy()), decoded, ends)
         self.pieces.update((x, i) for i, (x, _) in enumerate(todo, entry))
 
     def contract_long(self, raw: bytes) -> list[int]:
@@ -212,11 +238,25 @@ class Contractor:
                     heapq.heappush(heap, (new, j))
         return [t for t in tokens if t >= 0]
 
-    def learn(self, first: set[str], later: set[str]) -> None:
+    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct segments of some texts, the number of each text's every one, and where texts begin and the last ends."""
+        lists = pc.split_pattern(texts, " ")
+        names, code, last = _coded(lists)
+        later = np.ones(len(code), np.bool_)
+        later[last[:-1]] = False
+        self.blank.update(s for s in names if s[:1].isspace())
+        blank = np.fromiter(map(self.blank.__contains__, names), np.bool_, len(names))
+        odd = np.unique(np.searchsorted(last, np.flatnonzero(later & blank[code]), "right") - 1)
+        if len(odd):  # spaces that other white space follows: cut anew
+            place = np.arange(len(lists))
+            place[odd] = len(lists) + np.arange(len(odd))
+            anew = pa.array([re.split(CUT, t) for t in texts.take(pa.array(odd)).to_pylist()], lists.type)
+            names, code, last = _coded(pa.concat_arrays([lists, anew]).take(pa.array(place)))
+        return names, code, last
+
+    def learn(self, kind: int, segments: list[str]) -> None:
         """Ids and bytes of text segments that are new here."""
-        self.keep(0, list(first), [self.find(s) for s in first])
-        segments = list(later)
-        self.keep(1, segments, self.find_each(segments))
+        self.keep(kind, segments, self.find_each(segments) if kind else [self.find(s) for s in segments])
 
     def find_each(self, segments: list[str]) -> list[list[str]]:
         """The pieces of every segment, each behind a space: one search over all, cut where segments begin."""
@@ -231,18 +271,20 @@ class Contractor:
 
     def keep(self, kind: int, segments: list[str], found: list[list[str]]) -> None:
         before = len(self.met_again)
-        self.contract({x for some in found for x in some if x not in self.pieces})
-        entry_of, known = self.pieces.__getitem__, self.segments[kind]
-        known.update((s, entry_of(some[0])) for s, some in zip(segments, found, strict=True) if len(some) == 1)
-        several = [(s, some) for s, some in zip(segments, found, strict=True) if len(some) != 1]
-        counts = np.array([len(some) for _, some in several], np.int64)
-        runs = np.fromiter((entry_of(x) for _, some in several for x in some), np.int64, int(counts.sum()))
+        pieces = list(chain.from_iterable(found))
+        self.contract(set(pieces).difference(self.pieces))
+        runs = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        single = counts == 1
+        entries = np.empty(len(found), np.int64)
+        entries[single] = runs[(np.cumsum(counts) - counts)[single]]
+        runs, last = runs[np.repeat(~single, counts)], np.cumsum(counts[~single])
         self.mark(runs, before)
         ids, id_ends = self.ids_of(runs)
         decoded, decoded_ends = self.decoded_of(runs)
-        last = np.cumsum(counts)
         entry = self.add(ids.tobytes(), id_ends[last], decoded.to_pybytes(), decoded_ends[last])
-        known.update((s, i) for i, (s, _) in enumerate(several, entry))
+        entries[~single] = np.arange(entry, entry + len(last))
+        self.segments[kind].update(zip(segments, entries.tolist(), strict=True))
 
     def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of entries one after another, and where each begins and the last ends."""
@@ -261,25 +303,22 @@ class Contractor:
         """The named outputs of every text."""
         return {k: v.to_pylist() for k, v in self.columns(texts, outputs).items()}
 
-    def columns(self, texts: list[str], outputs: tuple[str, ...]) -> dict[str, pa.Array]:
+    def columns(self, texts: list[str] | pa.Array, outputs: tuple[str, ...]) -> dict[str, pa.Array]:
         """The same as Arrow columns."""
-        cut = [t.split(" ") for t in texts]
-        first = {c[0] for c in cut}
-        later = set().union(*(c[1:] for c in cut)).difference(self.segments[1]) if cut else set()
-        self.blank.update(s for s in later if s[:1].isspace())
-        if later & self.blank:  # spaces that other white space follows: cut anew
-            for k, c in enumerate(cut):
-                if not self.blank.isdisjoint(c[1:]):
-                    cut[k] = re.split(CUT, texts[k])
-                    first.add(cut[k][0])
-                    later.update(cut[k][1:])
+        names, code, last = self.cut(pc.fill_null(pa.array(texts, pa.large_string()), ""))
+        head = np.zeros(len(code), np.bool_)
+        head[last[:-1]] = True
         before = len(self.met_again)
-        self.learn(first.difference(self.segments[0]), later.difference(self.segments[1], self.blank))
-        heads, rests = self.segments[0].__getitem__, self.segments[1].__getitem__
-        counts = np.array([len(c) for c in cut], np.int64)
-        entries = np.fromiter(chain.from_iterable(chain((heads(c[0]),), map(rests, c[1:])) for c in cut), np.int64, int(counts.sum()))
+        entries = np.empty(len(code), np.int64)
+        for kind, rows in enumerate((head, ~head)):
+            used = np.unique(code[rows])
+            mine = [names[i] for i in used.tolist()]
+            held = self.segments[kind]
+            self.learn(kind, [s for s in mine if s not in held])
+            entry = np.zeros(len(names), np.int64)
+            entry[used] = np.fromiter(map(held.__getitem__, mine), np.int64, len(mine))
+            entries[rows] = entry[code[rows]]
         self.mark(entries, before)
-        last = np.concatenate([[0], np.cumsum(counts)])
         ids, id_ends = self.ids_of(entries)
         id_ends = id_ends[last]
         out: dict[str, pa.Array] = {}
@@ -303,6 +342,20 @@ class Contractor:
         return out
 
 
+def _coded(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct values of some lists, the number of each value, and where lists begin and the last ends."""
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+
+
+def give_back() -> None:
+    """Returns freed memory, which the allocators keep, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _run(values: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
     """All values' bytes on end, and where each begins and the last ends."""
     wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
@@ -330,17 +383,19 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """
     sc = docs.sparkSession.sparkContext
     ranks = read_ranks(ranks_path)
-    sent = sc.broadcast(ranks)
+    sent = sc.broadcast((ranks, merge_table(ranks)))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(k, OUTPUTS[k]) for k in outputs)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Contractor(sent.value, pattern)
+        give_back()  # what tasks of earlier stages left in this worker
+        ranks, merges = sent.value
+        bpe = Contractor(ranks, pattern, merges)
         try:
             for batch in batches:
                 for part in _chunks(batch, text_col):
                     if len(bpe.segments[1]) > CACHE_PIECES:
                         bpe.trim()
-                    got = bpe.columns([t or "" for t in part.column(text_col).to_pylist()], outputs)
+                    got = bpe.columns(part.column(text_col), outputs)
                     yield pa.RecordBatch.from_arrays([part.column(id_col), *(got[k] for k in outputs)], names=[id_col, *outputs])
         finally:
             bpe.close()

@@ -122,6 +122,29 @@ def test_bpe_finds_pieces_that_cross_a_cut_segment_by_segment():
     assert machine.find_each(["ab", "cd", "ef"]) == [[" ", "ab"], [" ", "cd"], [" ", "ef"]]
 
 
+def test_bpe_rows_out_of_order_are_an_error_or_sorted():
+    machine = bpe.Contractor(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    raw = b" unsorting"
+    k = np.arange(len(raw))[::-1]
+    machine.con.register("start", pa.table({"k": k, "t": machine.one[np.frombuffer(raw, np.uint8)[k]]}))
+    with pytest.raises(machine.out_of_order, match="out of order"):
+        machine.con.sql(bpe.CONTRACT.format(order="")).to_arrow_table()
+    got = machine.con.sql(bpe.CONTRACT.format(order="ORDER BY k")).to_arrow_table()
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=machine.whole, special_tokens={})
+    assert got["ids"].to_pylist() == [whole.encode_ordinary(raw.decode())] and bytes.fromhex(got["decoded"][0].as_py()) == raw
+
+
+def test_bpe_reads_slices_of_columns_with_nulls():
+    machine = bpe.Contractor(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=machine.whole, special_tokens={})
+    texts = ["left out", None, "", " ", "  two \n\n lines  ", "plain words, plain", "\x85 odd \x85 space", None, "a  b c"]
+    for kind in (pa.string(), pa.large_string()):
+        got = machine.columns(pa.array(texts, kind).slice(1), ("n_tokens", "ids", "decoded"))
+        assert got["ids"].to_pylist() == [whole.encode_ordinary(t or "") for t in texts[1:]]
+        assert got["decoded"].to_pylist() == [(t or "").encode() for t in texts[1:]]
+    assert machine.columns(pa.array([], pa.string()), ("ids",))["ids"].to_pylist() == []
+
+
 def brute_components(rows, width, share):
     sets, parent = {}, {}
     for i, t, *_ in rows:

@@ -23,11 +23,8 @@ table gives an empty table; further columns are not read, whatever their names.
 from __future__ import annotations
 
 import base64
-import ctypes
-import gc
 import hashlib
 import re
-import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property
@@ -39,6 +36,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from leafmill.llm.words import tidy
+
 OUTPUTS = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType()),
@@ -177,7 +176,6 @@ class Contractor:
         """Give back the task's memory: workers live on for tasks of other stages."""
         self.clear()
         self.con.close()
-        give_back()
 
     def contract(self, pieces: Iterable[str]) -> None:
         """Adds the ids and the decoded bytes of pieces that are new here."""
@@ -348,14 +346,6 @@ def _coded(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
 
 
-def give_back() -> None:
-    """Returns freed memory, which the allocators keep, to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def _run(values: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
     """All values' bytes on end, and where each begins and the last ends."""
     wide = np.int64 if pa.types.is_large_binary(values.type) else np.int32
@@ -387,7 +377,6 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(k, OUTPUTS[k]) for k in outputs)])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()  # what tasks of earlier stages left in this worker
         ranks, merges = sent.value
         bpe = Contractor(ranks, pattern, merges)
         try:
@@ -400,7 +389,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         finally:
             bpe.close()
 
-    return docs.select(id_col, text_col).mapInArrow(task, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(task), schema)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.words import chunks, fresh, split_words
+from leafmill.llm.words import chunks, fresh, split_words, tidy
 from leafmill.session import materialize
 
 BUCKETS = 1 << 14
@@ -246,7 +246,7 @@ def weigh(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             noise = part.column(noise_name).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(weight), pa.array(weight + noise)], names=schema.names)
 
-    return noisy.mapInArrow(task, schema)
+    return noisy.mapInArrow(tidy(task), schema)
 
 
 def kth_highest(values: DataFrame, column: str, k: int, few: int = 2000) -> float:

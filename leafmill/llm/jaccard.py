@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.graph import joined
-from leafmill.llm.words import chunks, fresh, mix, powers, runs, split_words
+from leafmill.llm.words import chunks, fresh, mix, powers, runs, split_words, tidy
 from leafmill.session import materialize
 
 COORDINATES = 512
@@ -340,15 +340,15 @@ def link(docs: DataFrame, width: int = 5, share: int = 80, id_col: str = "doc_id
     """(documents: id, n, s; classes: s, label) for classes that have links. ``share`` is the similarity in hundredths."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    facts = materialize(texts.mapInArrow(_facts(width), f"id {id_type}, n long, s long, point binary"), "jaccard-facts")
-    posted = texts.select("text").mapInArrow(_postings(width, share), "key long, s long")
+    facts = materialize(texts.mapInArrow(tidy(_facts(width)), f"id {id_type}, n long, s long, point binary"), "jaccard-facts")
+    posted = texts.select("text").mapInArrow(tidy(_postings(width, share)), "key long, s long")
     stars = posted.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_stars, "least long, s long")
     buckets = materialize(stars.groupBy("least", "s").agg(F.count("*").alias("times")), "jaccard-buckets")
     wanted = buckets.select("s").distinct()
     classes = facts.where("s is not null").groupBy("s").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("point").alias("point"))
     known = materialize(classes.join(wanted, "s"), "jaccard-classes")
     chosen = texts.join(known.select(F.col("id").alias("want"), "s"), F.col("id").eqNullSafe(F.col("want"))).select("s", "text")
-    sets = materialize(chosen.mapInArrow(_sets(width), "s long, shingles binary"), "jaccard-sets")
+    sets = materialize(chosen.mapInArrow(tidy(_sets(width)), "s long, shingles binary"), "jaccard-sets")
     ends = [known.select(F.col("s").alias(e), F.col("n").alias(f"n_{e}"), F.col("point").alias(f"point_{e}")) for e in "ab"]
     # Some rounds of one comparison a class: with the least member it shares most postings
     # with, among those of other components it has not met.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from leafmill.llm.words import Words, chunks, split_words
+from leafmill.llm.words import Words, chunks, split_words, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", "secret", "number")
@@ -451,4 +451,4 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
                 columns[names.index(length_col)] = pa.array([None if t is None else len(t) for t in done], kind)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(tidy(task), docs.schema)

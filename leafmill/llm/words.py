@@ -7,7 +7,10 @@ code points give the same words. A word's 64-bit hash depends on its bytes alone
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,6 +138,27 @@ def chunks(batches: Iterator[pa.RecordBatch], text_col: str, size_of: int = CHUN
             at = to
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task, which also returns the worker's freed memory to the system before and after: workers live on for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns freed memory, which the allocators keep, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores after it as keep it apart from those taken (case aside)."""
     seen, out = {t.lower() for t in taken}, []

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, page_text, pii, substring_dedup, topk
+from leafmill.llm import bpe, context_tree, importance, jaccard, mixing, order_minhash, page_text, pii, substring_dedup, topk, words
 from leafmill.llm.words import split_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,6 +145,16 @@ def test_bpe_reads_slices_of_columns_with_nulls():
     assert machine.columns(pa.array([], pa.string()), ("ids",))["ids"].to_pylist() == []
 
 
+def test_tasks_give_back_memory_before_and_after(monkeypatch):
+    told = []
+    monkeypatch.setattr(words, "give_back", lambda: told.append("given"))
+    task = words.tidy(lambda batches: (told.append(b) or b for b in batches))
+    assert list(task(iter([1, 2]))) == [1, 2] and told == ["given", 1, 2, "given"]
+    with pytest.raises(ZeroDivisionError):
+        list(words.tidy(lambda batches: (1 // b for b in batches))(iter([0])))
+    assert told[4:] == ["given", "given"]
+
+
 def brute_components(rows, width, share):
     sets, parent = {}, {}
     for i, t, *_ in rows:

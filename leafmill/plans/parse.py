@@ -8,19 +8,34 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.functions.ordering import dense_position
 from leafmill.operators.blocks import item_columns, normalize_blocks
-from leafmill.operators.merge import image_path_rewrite, overlap_keep_first, page_tree_keep_first, rebase_page
+from leafmill.operators.merge import image_path_rewrite, overlap_keep_first, page_tree_keep_first
 from leafmill.session import materialize
 from leafmill.sources.layout import layout_items_scan, page_sizes, page_tree_scan, read_page_tree, tree_pages, without_items
 
 
+KEYS = ["document_id", "chunk_ord"]
+SPAN = ["chunk_id", "start_page"]
+
+
+def completed_windows(payloads: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Payloads of completed windows with chunk_id and start_page: text moves once, before it is parsed."""
+    spans = chunks.filter("status = 'completed'").select(*KEYS, *SPAN)
+    return payloads.select(*KEYS, "payload").join(spans, KEYS)
+
+
+def on_global_pages(rows: DataFrame) -> DataFrame:
+    """Rows of windows that hold their start_page, with page_idx as the page of the document."""
+    return rows.withColumn("page_idx", F.col("start_page") + F.coalesce("page_idx", F.lit(0))).drop("start_page")
+
+
 def scanned_items(payloads: DataFrame, chunks: DataFrame) -> DataFrame:
     """Typed items of completed windows with global pages, written once.
 
     ``payloads`` has document_id, chunk_ord, payload (JSON text). The JSON is
     parsed here only; page ownership and positions later read key columns.
     """
-    rows = rebase_page(layout_items_scan(payloads, ["document_id", "chunk_ord"]), chunks.filter("status = 'completed'"))
-    return materialize(item_columns(rows, ["document_id", "chunk_ord", "chunk_id", "pos", "page_idx"]), "layout-items")
+    rows = on_global_pages(layout_items_scan(completed_windows(payloads, chunks), [*KEYS, *SPAN]))
+    return materialize(item_columns(rows, [*KEYS, "chunk_id", "pos", "page_idx"]), "layout-items", "zstd")
 
 
 def scanned_trees(trees: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -29,9 +44,9 @@ def scanned_trees(trees: DataFrame, chunks: DataFrame) -> DataFrame:
     ``trees`` has document_id, chunk_ord and payload (JSON text). Sizes and ownership
     later read their own columns.
     """
-    read = trees.select("document_id", "chunk_ord", read_page_tree(F.col("payload")).alias("pages"))
-    pages = rebase_page(tree_pages(read, ["document_id", "chunk_ord"]), chunks.filter("status = 'completed'"))
-    return materialize(pages, "layout-trees")
+    read = completed_windows(trees, chunks).select(*KEYS, *SPAN, read_page_tree(F.col("payload")).alias("pages"))
+    pages = on_global_pages(tree_pages(read, [*KEYS, *SPAN]))
+    return materialize(pages.select(*KEYS, "pos", "page", "page_idx", "chunk_id"), "layout-trees", "zstd")
 
 
 def merged_items(scanned: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -54,12 +69,11 @@ def parse_documents(
     items = merged_items(scanned, images)
     if trees is None:
         return normalize_blocks(items, supplied_sizes)
-    keys = ["document_id", "chunk_ord"]
     tree = scanned_trees(trees, chunks)
     # Sizes travel without the page's blocks; blocks travel for lonely documents only.
     size_only = tree.withColumn("page", F.struct(F.col("page.page_size").alias("page_size")))
     sizes = page_sizes(page_tree_keep_first(size_only), supplied_sizes)
-    fallback = page_tree_scan(page_tree_keep_first(without_items(tree, scanned)), keys)
+    fallback = page_tree_scan(page_tree_keep_first(without_items(tree, scanned)), KEYS)
     stand_in = fallback.select(
         "document_id",
         "page_idx",

@@ -12,6 +12,7 @@ from leafmill.functions import variants as V
 from leafmill.operators import blocks as B
 from leafmill.operators import merge as M
 from leafmill.operators import windows as W
+from leafmill.plans import parse
 from leafmill.plans.parse import merged_items, parse_documents, scanned_items
 from leafmill.sources import layout as L
 
@@ -199,6 +200,21 @@ def test_tree_stands_in_only_without_items(spark):
         assert [round(x, 3) for x in r.bbox_norm] == [0.1, 0.1, 0.5, 0.5]
 
 
+def test_texts_of_windows_move_before_they_are_parsed(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(parse, "materialize", lambda df, label, *codec: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or df)
+    chunks = chunk_rows(spark, [0, 2])
+    df = spark.createDataFrame([("d", 1, items_json([("a", 1)])), ("d", 2, items_json([("b", 1)]))], "document_id string, chunk_ord int, payload string")
+    got = sorted((r.page_idx, r.chunk_ord) for r in parse.scanned_items(df, chunks).collect())
+    assert got == [(1, 1), (3, 2)]
+    trees = spark.createDataFrame([("d", 2, '{"pdf_info": [{"page_idx": 1}, {}]}'), ("d", 3, '{"pdf_info": [{}]}')], df.schema)
+    got = parse.scanned_trees(trees, chunks)
+    assert got.columns == ["document_id", "chunk_ord", "pos", "page", "page_idx", "chunk_id"]
+    assert sorted((r.chunk_ord, r.pos, r.page_idx) for r in got.collect()) == [(2, 0, 3), (2, 1, 2)]
+    for plan in plans.values():
+        assert 0 <= plan.index("Generate posexplode") < plan.index("Join Inner"), plan
+
+
 def test_merged_index_is_document_wide(spark):
     chunks = chunk_rows(spark, [0, 2])
     rows = [("d", 1, items_json([("a", 0), ("a", 1), ("a", 2)])), ("d", 2, items_json([("b", 0), ("b", 1)]))]

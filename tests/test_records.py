@@ -287,3 +287,21 @@ def test_stored_identities_meet_new_rows_on_their_page(demo, tmp_path):
         assert extract_reactions(demo, stored=spark.read.parquet(path)).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_parts_follow_what_a_task_holds(spark, monkeypatch):
+    """One shuffle partition in the session, and yet no task hashes more evidence than it may hold."""
+    from leafmill.plans import extract as P
+
+    monkeypatch.setattr(P, "HASHED_BYTES", 2_000, raising=False)
+    df = spark.createDataFrame([block(i, i, f"CCO>>CC{'C' * i}\n{SHEET}") for i in range(1, 41)], BLOCKS)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = extract_reactions(df)
+        rows = out.select("page_no", "entry_no", "provenance", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert len(rows) == 240 and len({r.part for r in rows}) >= 8
+    assert all(list(r.provenance.block_ids) == [f"b{r.page_no}"] for r in rows)
+    assert {r.part for r in rows if r.page_no == 7} == {r.part for r in rows if r.page_no == 7 and r.entry_no == 0}

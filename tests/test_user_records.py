@@ -139,3 +139,42 @@ def test_fallback_is_judged_once(blocks, monkeypatch):
         for df in (alone, U.final_payload(U.enrich_user_record(nulls, EXAMPLE)))
     ]
     assert both[0] == both[1] and both[0]
+
+
+def test_typed_judging_equals_variant_judging(spark):
+    """Known fields judged as they are typed give what their variant gives, whatever the example makes of them."""
+    texts = ["85", "null", "a → b", "1e3", None, "CC>>O", " 7 "]
+    cols = "document_id string, page_no int, entry_no int, known_text string, known_smiles string, known_latex string, yield_percent double, inherited_conditions struct<catalyst:string,temperature_c:double,time_h:double>"
+    rows = [("d", i, j, t, texts[-1 - i], texts[j], y, c) for i, t in enumerate(texts) for j, (y, c) in enumerate([(None, None), (64.0, ("null", 80.0, None)), (31.5, ("12", -0.0, 2.5)), (-0.0, ("Pd", None, 1e20))])]
+    found = spark.createDataFrame(rows, cols).selectExpr("*", "'text' as source_type", "cast(null as string) as entry_label", "known_text as whole_text").cache()
+    odd = [
+        {"reaction_text": None, "reaction_latex": 1, "reaction_smiles": True, "tags": [""], "yield_percent": "", "conditions": {"catalyst": 1.5, "temperature_c": "", "time_h": [1]}},
+        {"reaction_text": [""], "reaction_latex": "", "yield_percent": None, "conditions": {"catalyst": "", "temperature_c": {"at": 1}, "more": None}, "solvent": {"name": "", "parts": {"a": [1]}}},
+        {"reaction_smiles": {"left": ""}, "yield_percent": True, "conditions": "", "n": None},
+        {"yield_percent": {"low": 1}, "reaction_text": ""},
+    ]
+    for example in odd:
+        nulls = found.withColumns({c: F.lit(None).cast("variant") for c in ("answer", "repair")})
+        one, two = (
+            sorted(
+                (r.page_no, r.entry_no, r.j, r.p, r.validation)
+                for r in U.final_payload(U.enrich_user_record(df, example).withColumn("p", F.to_json("payload"))).select("page_no", "entry_no", F.to_json("payload").alias("j"), "p", F.to_json("validation").alias("validation")).collect()
+            )
+            for df in (found, nulls)
+        )
+        assert one == two and len(one) == 28, example
+
+
+def test_a_rerun_makes_no_record_of_a_stored_one(spark, blocks):
+    """Records without answer are made after the choice by identity; the identity is the one of the whole record."""
+    example = {"reaction_text": "", "yield_percent": "", "solvent": {"name": "", "parts": [1]}}
+    first = extract_for_example(blocks, example)
+    stored = materialize(U.saved(first.filter("page_no < 7")), "stored")
+    again = extract_for_example(blocks, example, stored=stored)
+    assert sorted((r.page_no, r.fingerprint) for r in again.collect()) == sorted((r.page_no, r.fingerprint) for r in first.collect() if r.page_no == 7)
+    whole = R.with_fingerprint(U.stored_core(first))
+    assert sorted((r.page_no, r.fingerprint) for r in whole.collect()) == sorted((r.page_no, r.fingerprint) for r in first.collect())
+    plan = again._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    chosen = next(i for i, line in enumerate(plan) if "Window" in line)
+    assert any("to_variant_object" in line for line in plan[:chosen])
+    assert not any("to_variant_object" in line for line in plan[chosen:])

@@ -305,3 +305,9 @@ def test_parts_follow_what_a_task_holds(spark, monkeypatch):
     assert len(rows) == 240 and len({r.part for r in rows}) >= 8
     assert all(list(r.provenance.block_ids) == [f"b{r.page_no}"] for r in rows)
     assert {r.part for r in rows if r.page_no == 7} == {r.part for r in rows if r.page_no == 7 and r.entry_no == 0}
+
+
+def test_patterns_of_a_page_run_once(demo):
+    """What a pattern found is compared as a column; the plan holds each pattern once."""
+    plan = R.source_facts(K.candidate_pages(demo, percents=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in (X.CONDITION_LINE, X.CATALYST, X.SMILES_TOKEN, X.LATEX_SPAN)] == [1, 1, 1, 1]
